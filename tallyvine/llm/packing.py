@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 import math
 import re
 import zlib
@@ -17,45 +18,44 @@ from .common import materialize, single_thread, small_batches, texts_of
 
 #: Rows of one length that one task ranks.
 RANKED_TOGETHER = 50_000
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
-#: Texts are cut before a blank or line feed that follows a word, where no token of the byte-level pattern can lie across.
-CUT = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
-#: Any other white space could join such a run, and an added token splits the text first: those texts are encoded whole.
-WHOLE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|<\|")
+#: Texts that the rank-based encoder leaves to the tokenizer itself: an added token or white space other than blank and line
+#: feed (libraries differ there), and scripts whose character classes changed between Unicode versions.
+UNUSUAL = re.compile(r"<\||[^ -~\n\xa1-\u02ff\u0370-\u0373\u0391-\u03a1\u03a3-\u03ff\u0400-\u0482\u048a-\u04ff]")
 
 _loaded: dict[int, tuple] = {}
 
 
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """Token bytes by id, if the file is a plain byte-level BPE whose merges come in the order of their ids; else None."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex") or model.get("ignore_merges"):
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    char = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    added = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(char[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
+    return ranks if made == sorted(made) and len(ranks) == len(made) + 256 else None
+
+
 def _worker_state(key: int, content) -> tuple:
+    """The tokenizer, and an encoder that gives the same ids from its ranks several times faster (None: not of that kind)."""
     if key not in _loaded:
         single_thread()
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        _loaded[key] = (Tokenizer.from_str(content.value.decode()), {})
+        ranks = _ranks(json.loads(content.value))
+        _loaded[key] = (Tokenizer.from_str(content.value.decode()), ranks and tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}))
     return _loaded[key]
 
 
-def _id_bytes(texts: list[str], tok, memory: dict[str, bytes]) -> list[bytes]:
-    """The token ids of each text as little-endian unsigned 32-bit numbers."""
-    encode = lambda ws: [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch(ws, add_special_tokens=False)]
-    whole = [i for i, t in enumerate(texts) if WHOLE.search(t)]
-    skip = set(whole)
-    parts = [[] if i in skip else CUT.findall(t) for i, t in enumerate(texts)]
-    new = set().union(*parts) - memory.keys()
-    if len(memory) + len(new) > REMEMBERED:
-        memory.clear()
-        new = set().union(*parts)
-    words = list(new)
-    for i in range(0, len(words), 20_000):
-        memory.update(zip(words[i : i + 20_000], encode(words[i : i + 20_000])))
-    get = memory.__getitem__
-    out = [b"".join(map(get, p)) for p in parts]
-    for w in words:
-        if len(w) > LONGEST_REMEMBERED:
-            del memory[w]
-    for i in whole:
-        out[i] = encode([texts[i]])[0]
-    return out
+def _id_bytes(text: str, tok, fast) -> bytes:
+    """The token ids of a text as little-endian unsigned 32-bit numbers."""
+    if fast is None or UNUSUAL.search(text):
+        return np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,17 +71,15 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, memory = _worker_state(key, content)
+        tok, fast = _worker_state(key, content)
         for pdf in batches:
             rows = []
-            texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
-            for at in range(0, len(texts), 200):
-                for d, b in zip(ids[at : at + 200], _id_bytes(texts[at : at + 200], tok, memory)):
-                    b += end
-                    n = len(b) // 4
-                    first = n % capacity or capacity
-                    bounds = [0, *range(first, n + 1, capacity)]
-                    rows += [(d, p, s, e - s, zlib.crc32(b[4 * s : 4 * e])) for p, (s, e) in enumerate(zip(bounds, bounds[1:]))]
+            for d, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
+                b = _id_bytes(text, tok, fast) + end
+                n = len(b) // 4
+                first = n % capacity or capacity
+                bounds = [0, *range(first, n + 1, capacity)]
+                rows += [(d, p, s, e - s, zlib.crc32(b[4 * s : 4 * e])) for p, (s, e) in enumerate(zip(bounds, bounds[1:]))]
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64", "piece": "int32"} | {c: "int64" for c in ("start", "length", "ids_crc32")})
 
