@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, line_dedup, packing, token_counts, topk
+from . import ann, chat, jaccard, line_dedup, packing, pii, token_counts, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data in every document."""
+    out = pii.find(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of every conversation in every participant's perspective."""
     return chat.rotate(_read(spark, sf_dir, "conversations"))
@@ -41,13 +47,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document and its number of links."""
+    return jaccard.jaccard_join(_read(spark, sf_dir, "documents"))
+
+
 def op9_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest integer inner products for every twentieth vector."""
     return topk.exact_top_k(_read(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kmeans_tree, op3_pattern_packing, op5_perspectives, op6_line_runs, op7_token_counts, op9_block_topk)
+    f.__name__: f for f in (op1_kmeans_tree, op3_pattern_packing, op4_skip_chain_pii, op5_perspectives, op6_line_runs, op7_token_counts, op8_chosen_path, op9_block_topk)
 }
 
 ORACLE_SQL: dict[str, str] = {
