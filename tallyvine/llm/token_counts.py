@@ -54,7 +54,7 @@ def _word_lengths(texts: list[str], encode, memory: dict[str, int]) -> list[int]
     """Blanks and line feeds never lie within a token of these tokenizers (white space is dropped), so texts are cut there
     and each distinct word is encoded once."""
     parts = [t.replace("\n", " ").split(" ") for t in texts]
-    new = set().union(*parts) - memory.keys()
+    new = {w for w in set().union(*parts) if w not in memory}
     if len(memory) + len(new) > REMEMBERED:
         memory.clear()
         new = set().union(*parts)
