@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard, line_dedup, packing, pii, token_counts, topk
+from . import ann, bpe, chat, jaccard, line_dedup, packing, pii, quality, token_counts, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"))
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under its language's trusted text, and whether it is kept."""
+    return quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of 1024 tokens."""
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -57,8 +62,14 @@ def op9_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_read(spark, sf_dir, "embeddings"))
 
 
+def op10_hof_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and what they decode to, as hashes."""
+    out = bpe.encode(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kmeans_tree, op3_pattern_packing, op4_skip_chain_pii, op5_perspectives, op6_line_runs, op7_token_counts, op8_chosen_path, op9_block_topk)
+    f.__name__: f for f in (op1_kmeans_tree, op2_kneser_ney, op3_pattern_packing, op4_skip_chain_pii, op5_perspectives, op6_line_runs, op7_token_counts, op8_chosen_path, op9_block_topk, op10_hof_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
