@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TopK, materialize, small_batches, usable_vector
+from .common import TopK, draw, materialize, small_batches, usable_vector
 
 #: Bounds of the fitting sample, and of what meets in one task.
 SAMPLE, CALIBRATION, TOGETHER, QUERIES_TOGETHER = 20_000, 256, 8192, 4096
@@ -97,7 +97,7 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, the k nearest found by inner product.
 
-    The tree is fitted on sample_rows rows at most (the smallest hashes of their ids), and leaf visits are widened on held
+    The tree is fitted on sample_rows rows at most (of the lowest hashes of their ids), and leaf visits are widened on held
     queries until `recall` of the sample's true neighbours are found. Every row is indexed: it goes to its leaf, and a
     branch's rows are dealt over as many groups of bounded size as its count asks for, so one crowded leaf is shared out.
     Scores are inner products in doubles of the original vectors, summed in one fixed order. Vectors that are null, empty or
@@ -116,7 +116,7 @@ def nearest(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, total = dims[0]["d"], dims[0]["count"]
     rows = rows.where(F.size("v") == dim)
-    drawn = rows.orderBy(F.xxhash64("vec_id")).limit(sample_rows).toPandas()
+    drawn = draw(rows, sample_rows, "vec_id").toPandas().sort_values("vec_id")
     sample = np.stack(drawn["v"].tolist()).astype(np.float64)
     tree = fit_tree(sample, fan)
     tries = sample[:: max(1, len(sample) // CALIBRATION)][:CALIBRATION]

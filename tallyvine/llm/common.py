@@ -51,6 +51,15 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *m
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
+def draw(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """At most n rows of df, about n if it has more: those of the lowest hashes of key. Tasks send no more than they hold of these."""
+    total = df.count()
+    if total > n:
+        cut = int(-(2**63) + min(1.0, n / total) * 2.0**64)
+        df = df.where(F.xxhash64(*key) <= F.lit(min(cut, 2**63 - 1)))
+    return df.limit(n)
+
+
 def usable_vector(vec: Column) -> Column:
     """True for arrays of at least one component, all of them finite numbers."""
     return F.coalesce((F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))

@@ -92,20 +92,8 @@ def _merged(runs: DataFrame) -> DataFrame:
     return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
 
 
-def dedup_lines(docs: DataFrame, least: int = 20, in_docs: int = 3, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, n_lines, n_dropped: every row of docs without its repeated lines.
-
-    A key is a line without ASCII blanks at its ends and with A-Z lower-cased. Keys of at least `least` code points found in
-    at least in_docs rows lose all their lines except in the largest doc_id holding them; the other lines stay. A null or
-    empty text is one empty line. Rows that repeat a doc_id count as documents each and share the fate of that id; a row
-    without an id keeps only keys that no row with an id holds. An empty table gives no rows; other columns are ignored.
-
-    Counts are pre-aggregated before each shuffle, so a line of every document is one row a task; the join that marks
-    victims is a plain equi-join whose hot keys adaptive execution splits.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    base = texts_of(docs, id_col, text_col)
+def _victims(base: DataFrame, least: int, in_docs: int, batches: int, fanout: int) -> DataFrame:
+    """lost_id, lost: the hashes that each doc_id of base(doc_id, text) loses."""
     hashes = line_hashes(base, least)
     if batches > 1:
         cuts = base.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
@@ -116,31 +104,59 @@ def dedup_lines(docs: DataFrame, least: int = 20, in_docs: int = 3, batches: int
     for i in reversed(range(len(cuts))):
         batch = F.when(F.col("doc_id") > F.lit(cuts[i]), F.lit(i)).otherwise(batch)
     hashes = materialize(hashes.withColumn("batch", batch), "hashes", "batch")
-    runs = Runs(spark, fanout)
+    runs = Runs(base.sparkSession, fanout)
     for i in range(len(cuts) + 1):
         runs.add(hashes.where(F.col("batch") == i).select("doc_id", "h1", "h2"))
     doomed = materialize(_merged(runs.all()).where(F.col("n") >= in_docs).select("h1", "h2", "keeper"), "doomed")
     victims = hashes.join(doomed, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")) | F.col("keeper").isNull())
     # Rows of one doc_id may differ in text; each drops what it holds of the set.
-    lost = victims.groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
-    both = base.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").select("doc_id", "text", F.col("lost.h1").alias("a"), F.col("lost.h2").alias("b"))
+    return victims.groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
+
+
+def _without(least: int):
+    """A function of (text, h1s, h2s): text without the lines of these hashes, its lines before and those dropped."""
+
+    @F.pandas_udf("text string, n_lines long, n_dropped long")
+    def cleaned(texts: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, x, y in zip(texts.tolist(), a.tolist(), b.tolist()):
+            if x is None or isinstance(x, float):
+                out.append((t, t.count("\n") + 1, 0))
+                continue
+            h = np.stack([np.asarray(x, "<i8"), np.asarray(y, "<i8")], 1).tobytes()
+            gone = {h[i : i + 16] for i in range(0, len(h), 16)}
+            cut = {i for i, k in _keys(t, least) if k in gone}
+            lines = t.split("\n")
+            out.append(("\n".join(x for i, x in enumerate(lines) if i not in cut), len(lines), len(cut)))
+        return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"], index=texts.index)
 
-    def without(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            texts, lines, dropped = [], [], []
-            for t, a, b in zip(pdf["text"].tolist(), pdf["a"].tolist(), pdf["b"].tolist()):
-                if a is None or (isinstance(a, float)):
-                    texts.append(t)
-                    lines.append(t.count("\n") + 1)
-                    dropped.append(0)
-                    continue
-                h = np.stack([np.asarray(a, "<i8"), np.asarray(b, "<i8")], 1).tobytes()
-                gone = {h[i : i + 16] for i in range(0, len(h), 16)}
-                cut = {i for i, x in _keys(t, least) if x in gone}
-                all_lines = t.split("\n")
-                texts.append("\n".join(x for i, x in enumerate(all_lines) if i not in cut))
-                lines.append(len(all_lines))
-                dropped.append(len(cut))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": pd.Series(texts, index=pdf.index, dtype=object), "n_lines": pd.Series(lines, index=pdf.index, dtype="int64"), "n_dropped": pd.Series(dropped, index=pdf.index, dtype="int64")})
-
-    return both.mapInPandas(without, "doc_id long, text string, n_lines long, n_dropped long")
+    return cleaned
+
+
+def dedup_lines(docs: DataFrame, least: int = 20, in_docs: int = 3, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, n_lines, n_dropped: every row of docs without its repeated lines.
+
+    A key is a line without ASCII blanks at its ends and with A-Z lower-cased. Keys of at least `least` code points found in
+    at least in_docs rows lose all their lines except in the largest doc_id holding them; the other lines stay. A null or
+    empty text is one empty line. Rows that repeat a doc_id count as documents each and share the fate of that id; a row
+    without an id keeps no key that was found often enough. An empty table gives no rows; other columns are ignored.
+
+    Counts are pre-aggregated before each shuffle, so a line of every document is one row a task; the join that marks
+    victims is a plain equi-join whose hot keys adaptive execution splits.
+    """
+    small_batches(docs.sparkSession)
+    base = texts_of(docs, id_col, text_col)
+    lost = _victims(base, least, in_docs, batches, fanout)
+    both = base.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").select("doc_id", "text", F.col("lost.h1").alias("a"), F.col("lost.h2").alias("b"))
+    return both.select("doc_id", _without(least)("text", "a", "b").alias("out")).select("doc_id", "out.text", "out.n_lines", "out.n_dropped")
+
+
+def dedup_lines_of(docs: DataFrame, least: int = 20, in_docs: int = 3, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs, whole, with the texts that dedup_lines() gives; chars_col, where docs has it, is the length of the new text. Null texts become empty."""
+    small_batches(docs.sparkSession)
+    lost = _victims(texts_of(docs, id_col, text_col), least, in_docs, batches, fanout)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("own_id"))
+    both = rows.join(lost, F.col("own_id").eqNullSafe(F.col("lost_id")), "left")
+    new = _without(least)(F.coalesce(F.col("row").getField(text_col), F.lit("")), F.col("lost.h1"), F.col("lost.h2"))
+    out = both.select("row", new.alias("new")).select(*[F.col("new.text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import draw, small_batches, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -221,15 +221,30 @@ def _listed(spans) -> str:
 
 
 def fit(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Crf:
-    """A CRF trained on at most sample_docs texts that hold a variable (the smallest hashes of their text). Texts longer than
+    """A CRF trained on at most sample_docs texts that hold a variable (of the lowest hashes). Texts longer than
     20,000 characters are not drawn."""
     base = texts_of(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
-    drawn = base.select("text").orderBy(F.xxhash64("text"), "text").limit(sample_docs)
-    return train([r["text"] for r in drawn.collect()])
+    return train(sorted(r["text"] for r in draw(base, sample_docs, "doc_id", "text").collect()))
 
 
-def find(docs: DataFrame, crf: Crf | None = None, redact: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans (and text with every span as [KIND] if redact) for every row.
+def redact_texts(docs: DataFrame, crf: Crf | None = None, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs with every span replaced by its kind in brackets; chars_col, where docs has it, is the length of the new text."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    crf = crf or fit(docs, id_col=id_col, text_col=text_col)
+    model = spark.sparkContext.broadcast((crf.unary.astype("float32"), crf.chain, crf.skip))
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series) -> pd.Series:
+        own = Crf(*model.value)
+        return pd.Series([t if t is None else redacted(t, all_spans(t, own)[1]) for t in texts], index=texts.index, dtype=object)
+
+    out = docs.withColumn(text_col, cleaned(F.col(text_col)))
+    return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
+
+
+def find(docs: DataFrame, crf: Crf | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans for every row.
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind, joined by commas. Counts are of the fixed
     patterns. Null and empty texts have no spans; repeated rows and null ids are returned as they come; other columns are
@@ -247,12 +262,12 @@ def find(docs: DataFrame, crf: Crf | None = None, redact: bool = False, id_col:
             for t in pdf["text"].tolist():
                 base, every = all_spans(t, own)
                 n = [sum(k == i for _, _, k in base) for i in range(len(KINDS))]
-                rows.append((*n, _listed(base), _listed(every), *([redacted(t, every)] if redact else [])))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans", *["text"] * redact], index=pdf.index)
+                rows.append((*n, _listed(base), _listed(every)))
+            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans"], index=pdf.index)
             out.insert(0, "doc_id", pdf["doc_id"])
             yield out
 
-    kind = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string" + ", text string" * redact
+    kind = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string"
     return texts_of(docs, id_col, text_col).mapInPandas(scan, kind)
 
 
