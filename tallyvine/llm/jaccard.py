@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, texts_of
@@ -15,6 +15,8 @@ from .common import materialize, small_batches, texts_of
 SAMPLES, TRIED = 48, 2
 #: Sets of a bucket that one task compares with one another.
 BLOCK = 128
+#: The longest list of ids that is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[str, int] = {}
@@ -80,7 +82,7 @@ def _spanning(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> list[tuple[int,
 def _compare(x: pd.DataFrame, y: pd.DataFrame | None, bucket: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions (in x, in y) of the pairs of sets that reach the threshold and meet first in this bucket; y None: within x.
 
-    Sizes and samples rule out most pairs; the rest is counted exactly through an inverted list of the block's shingles.
+    Common shingles are counted exactly, by products of the blocks' incidence matrices in strips of bounded width.
     """
     own = y is None
     y = x if own else y
@@ -163,6 +165,23 @@ def _paths(sets: DataFrame, seed: int, small: int, depth: int, stay: float) -> D
     return ends
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without all but one row of each class of near copies: the one of the smallest id stays, whole.
+
+    Rows with a null id stay. Of rows that repeat an id and its text one stays.
+    """
+    found = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
+    gone = materialize(found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    own = F.col(id_col).cast("long")
+    kept = docs.join(F.broadcast(gone) if few else gone, own == F.col("gone_id"), "left_anti")
+    again = materialize(docs.groupBy(own.alias("again_id")).agg(F.count("*").alias("n")).where("n > 1 and again_id is not null").select("again_id"), "again")
+    if not again.limit(1).count():
+        return kept
+    twice = kept.join(again, own == F.col("again_id"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, own == F.col("again_id"), "left_anti").unionByName(twice)
+
+
 def jaccard_join(
     docs: DataFrame, threshold: float = 0.8, n: int = 5, runs: int = 4, small: int = 32, depth: int = 4, stay: float = 0.7, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -183,35 +202,31 @@ def jaccard_join(
     small_batches(spark)
     base = texts_of(docs, id_col, text_col)
 
-    def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def key_of(s: np.ndarray) -> tuple[int, int]:
         import xxhash
 
-        for pdf in batches:
-            rows = []
-            for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                s = shingles(t, n)
-                b = s.tobytes()
-                k = xxhash.xxh3_128_digest(b)
-                rows.append((d, int.from_bytes(k[:8], "little", signed=True), int.from_bytes(k[8:], "little", signed=True), len(s)))
-            out = pd.DataFrame(rows, columns=["doc_id", "k1", "k2", "n"])
-            yield out.astype({"doc_id": "Int64", "k1": "int64", "k2": "int64", "n": "int64"})
-
-    keyed = materialize(base.mapInPandas(to_sets, "doc_id long, k1 long, k2 long, n long"), "sets")
-    full = keyed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    copies = materialize(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("copies")), "classes")
+        k = xxhash.xxh3_128_digest(s.tobytes())
+        return int.from_bytes(k[:8], "little", signed=True), int.from_bytes(k[8:], "little", signed=True)
 
-    def to_samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(d, s) for d, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()) if d == d and d is not None and len(s := shingles(t, n))]
+            found = [shingles(t, n) for t in pdf["text"].tolist()]
+            keys = [key_of(s) for s in found]
             yield pd.DataFrame({
-                "set_id": np.array([d for d, _ in found], "int64"),
-                "sample": [_sampled(s).tolist() for _, s in found],
-                "shingles": [s.tobytes() for _, s in found],
+                "doc_id": pdf["doc_id"],
+                "k1": np.array([k for k, _ in keys], "int64"),
+                "k2": np.array([k for _, k in keys], "int64"),
+                "n": np.array([len(s) for s in found], "int64"),
+                "sample": [_sampled(s).tolist() if len(s) else None for s in found],
             })
 
-    # Only a set's first row goes on: one row of the smallest doc_id, even if that id is repeated.
-    firsts = base.join(copies.select("set_id"), F.col("doc_id") == F.col("set_id"), "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(firsts.mapInPandas(to_samples, "set_id long, sample array<int>, shingles binary"), "samples")
+    keyed = materialize(base.mapInPandas(to_sets, "doc_id long, k1 long, k2 long, n long, sample array<int>"), "sets")
+    full = keyed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    copies = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    copies = materialize(copies.withColumn("set_id", F.monotonically_increasing_id()), "classes")
+    # The sample of a set comes from its first row.
+    of_set = keyed.select("k1", "k2", F.col("doc_id").alias("first"), "sample").join(copies, ["k1", "k2", "first"])
+    sets = materialize(of_set.select("set_id", "sample").dropDuplicates(["set_id"]), "samples")
     ends = None
     for r in range(runs):
         one = _paths(sets.select("set_id", "sample"), r, small, depth, stay)
@@ -219,17 +234,49 @@ def jaccard_join(
     # Buckets of up to `small` sets are compared once for each distinct membership.
     few = ends.where(F.col("size") <= small).groupBy("bucket").agg(F.array_sort(F.collect_set("set_id")).alias("members"))
     few = few.where(F.size("members") > 1).groupBy("members").agg(F.min("bucket").alias("bucket"))
-    few = few.select("bucket", F.explode("members").alias("set_id"), F.lit(1).alias("blocks"))
+    few = few.select("bucket", F.explode("members").alias("set_id"))
+    seen = few.join(sets, "set_id").groupBy("bucket").agg(F.collect_list(F.struct("set_id", "sample")).alias("members"))
+
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The members of each bucket that agree with another one on enough samples for the threshold to be possible."""
+        for pdf in batches:
+            at, ids = [], []
+            for bucket, members in zip(pdf["bucket"].tolist(), pdf["members"].tolist()):
+                x = np.array([m["sample"] for m in members])
+                agree = (x[:, None, :] == x[None, :, :]).sum(2)
+                np.fill_diagonal(agree, 0)
+                kept = [members[i]["set_id"] for i in np.nonzero(agree.max(1) >= least)[0]]
+                at += [bucket] * len(kept)
+                ids += kept
+            yield pd.DataFrame({"bucket": np.array(at, "int64"), "set_id": np.array(ids, "int64")})
+
+    # five standard deviations below what a pair at the threshold agrees on
+    least = max(1, int(SAMPLES * threshold - 5 * (SAMPLES * threshold * (1 - threshold)) ** 0.5))
+    few = seen.mapInPandas(likely, "bucket long, set_id long").withColumn("blocks", F.lit(1))
     large = ends.where(F.col("size") > small).select("bucket", "set_id", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     met = materialize(few.unionByName(large).distinct(), "met")
     own = met.groupBy("set_id").agg(F.collect_set("bucket").alias("buckets"))
-    loads = met.join(own, "set_id").join(sets.select("set_id", "shingles"), "set_id")
+
+    def to_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [shingles(t, n) for t in pdf["text"].tolist()]
+            keys = [key_of(s) for s in found]
+            yield pd.DataFrame({"k1": np.array([k for k, _ in keys], "int64"), "k2": np.array([k for _, k in keys], "int64"), "shingles": [s.tobytes() for s in found]})
+
+    # Only sets that met another are read again; their list is broadcast if it was counted to be short.
+    wanted = materialize(copies.join(own, "set_id"), "wanted")
+    listed = wanted.select(F.col("first").alias("wanted_id")).distinct()
+    if wanted.count() <= BROADCAST_ROWS:
+        listed = F.broadcast(listed)
+    again = base.join(listed, F.col("doc_id") == F.col("wanted_id"), "left_semi").mapInPandas(to_shingles, "k1 long, k2 long, shingles binary")
+    again = wanted.join(again, ["k1", "k2"]).dropDuplicates(["set_id"]).select("set_id", "buckets", "copies", "shingles")
+    loads = met.join(materialize(again, "shingles"), "set_id")
     block = F.pmod(F.xxhash64("set_id", "bucket"), F.col("blocks")).cast("int")
     loads = loads.withColumn("block", block)
     # Block b meets the blocks from b on: a set is sent to every pair of blocks that its own block is in.
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     loads = loads.withColumn("other", partner).select(
-        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "set_id", "buckets", "shingles"
+        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "set_id", "buckets", "copies", "shingles"
     )
 
     def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -249,16 +296,18 @@ def jaccard_join(
         out = [(int(s), None, int(c)) for s, c in zip(ids, links) if c] + [(x, r, 0) for r, x in forest]
         return pd.DataFrame(out, columns=["a", "b", "n"]).astype({"a": "int64", "b": "Int64", "n": "int64"})
 
-    loads = loads.join(copies.select("set_id", "copies"), "set_id")
     found = materialize(loads.groupBy("bucket", "lo", "hi").applyInPandas(verify, "a long, b long, n long"), "links")
     counts = found.groupBy("a").agg(F.sum("n").alias("others"))
     roots = classes_of(found.where(F.col("b").isNotNull()).select("a", "b"), copies.select(F.col("set_id").alias("node")))
     about = copies.join(roots, F.col("set_id") == F.col("node")).join(counts, F.col("set_id") == F.col("a"), "left")
-    about = about.select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), F.col("root"), "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    about = materialize(about, "about")
+    names = about.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("class"))
+    about = about.join(names, F.col("root") == F.col("of"))
+    about = about.select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), F.col("class"), "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
     same = (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return keyed.join(about, same, "left").select(
         "doc_id",
-        F.coalesce("root", "doc_id").alias("class_id"),
+        F.coalesce("class", "doc_id").alias("class_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
     )
