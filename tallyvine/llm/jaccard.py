@@ -14,7 +14,7 @@ from .common import materialize, small_batches, texts_of
 #: Min-wise samples of a set's tokens from which paths choose, and those that one node tries.
 SAMPLES, TRIED = 48, 2
 #: Sets of a bucket that one task compares with one another.
-BLOCK = 128
+BLOCK = 256
 #: The longest list of ids that is broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -39,7 +39,7 @@ def shingles(text: str, n: int = 5) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > 500_000:
+    if len(_words) > 200_000:
         _words.clear()
     for w in {w for w in words if w not in _words}:
         _words[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
