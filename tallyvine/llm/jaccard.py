@@ -135,15 +135,16 @@ def classes_of(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFram
     return nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def _paths(sets: DataFrame, seed: int, small: int, depth: int, stay: float) -> DataFrame:
-    """One run of the chosen-path recursion: bucket, set_id of the buckets it ends in.
+def _paths(sets: DataFrame, runs: int, small: int, depth: int, stay: float) -> DataFrame:
+    """All runs of the chosen-path recursion, side by side from roots of their own: bucket, set_id, size of the buckets they end in.
 
     A node is a bucket with its parent's path; it tries TRIED of the sampled tokens, picked by its hash, and a set follows each of
     them into the bucket of the token that it holds. Buckets of one set end at once; those of up to `small` sets end to be
     compared; larger ones are split again, up to `depth` times or until a split leaves them whole (near copies of one another,
     which no token tells apart).
     """
-    at = sets.select("set_id", "sample", F.xxhash64(F.lit(seed)).alias("node"), F.lit(1 << 62).alias("size"))
+    roots = F.explode(F.sequence(F.lit(1), F.lit(runs)))
+    at = sets.select("set_id", roots.alias("run"), "sample").select("set_id", F.xxhash64("run").alias("node"), F.lit(1 << 62).alias("size"), "sample")
     ends = None
     for level in range(depth):
         tried = F.explode(F.sequence(F.lit(0), F.lit(TRIED - 1))).alias("t")
@@ -151,17 +152,18 @@ def _paths(sets: DataFrame, seed: int, small: int, depth: int, stay: float) -> D
         first = F.pmod(F.xxhash64("node", F.lit("first")), F.lit(SAMPLES))
         place = F.pmod(first + F.col("t") * (1 + F.pmod(F.xxhash64("node", F.lit("step")), F.lit(SAMPLES - 1))), F.lit(SAMPLES))
         down = at.select("set_id", "sample", "node", "size", tried)
-        down = down.select("set_id", "sample", F.col("size").alias("parent"), F.xxhash64("node", "t", F.get("sample", place.cast("int"))).alias("node"))
-        held = down if level == depth - 1 else down
-        counts = materialize(held.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1), "counts")
-        down = held.join(counts, "node")
+        down = down.select("set_id", F.col("size").alias("parent"), F.xxhash64("node", "t", F.get("sample", place.cast("int"))).alias("node"))
+        counts = materialize(down.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1), "counts")
+        down = down.join(counts, "node")
         over = (F.col("size") <= small) | (F.col("size") > F.col("parent") * F.lit(stay)) | F.lit(level == depth - 1)
-        down = materialize(down.select("set_id", "sample", "node", "size", over.alias("over")), "paths")
+        down = materialize(down.select("set_id", "node", "size", over.alias("over")), "paths")
         done = down.where("over").select(F.col("node").alias("bucket"), "set_id", "size")
         ends = done if ends is None else ends.unionByName(done)
-        at = down.where("not over").select("set_id", "sample", "node", "size")
-        if not at.limit(1).count():
+        at = down.where("not over").select("set_id", "node", "size")
+        left = at.count()
+        if not left:
             break
+        at = sets.join(F.broadcast(at) if left <= BROADCAST_ROWS // 4 else at, "set_id")
     return ends
 
 
@@ -227,10 +229,7 @@ def jaccard_join(
     # The sample of a set comes from its first row.
     of_set = keyed.select("k1", "k2", F.col("doc_id").alias("first"), "sample").join(copies, ["k1", "k2", "first"])
     sets = materialize(of_set.select("set_id", "sample").dropDuplicates(["set_id"]), "samples")
-    ends = None
-    for r in range(runs):
-        one = _paths(sets.select("set_id", "sample"), r, small, depth, stay)
-        ends = one if ends is None else ends.unionByName(one)
+    ends = _paths(sets, runs, small, depth, stay)
     # Buckets of up to `small` sets are compared once for each distinct membership.
     few = ends.where(F.col("size") <= small).groupBy("bucket").agg(F.array_sort(F.collect_set("set_id")).alias("members"))
     few = few.where(F.size("members") > 1).groupBy("members").agg(F.min("bucket").alias("bucket"))
