@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .common import small_batches, texts_of
 
 #: Bytes of text whose words are encoded together; a longer text is a batch of its own.
-BATCH_BYTES = 24 << 20
-#: Sizes of the rank map's two tables, and a bound above every token id.
-SLOTS, BUCKETS, IDS = 1 << 18, 1 << 16, 1 << 16
+BATCH_BYTES = 6 << 20
+#: A bound above every token id, and the entry of a pair that is no token.
+IDS, EMPTY = 1 << 16, 1 << 40
 #: Texts are cut before a blank or line feed that follows a word, where no match of the pattern can lie across; texts with
 #: other white space are matched whole.
 CUT = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
@@ -40,37 +40,40 @@ def merges_of(ranks: dict[bytes, int]) -> np.ndarray:
     return np.array(out or np.empty((0, 3)), np.int64)
 
 
-def _mixes(a, b, by: tuple[int, ...]) -> tuple:
-    """Two hashes of a pair of ids, by products that stay below 2**63."""
-    return a * by[0] + b * by[1], a * by[2] + b * by[3]
+def rank_tables(merges: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shift, mark, slots): the rank map as a sparse matrix, its rows laid over one another without overlap.
 
-
-def rank_tables(merges: np.ndarray, tries: int = 50) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
-    """(multipliers, shift of each bucket, entry of each slot) of a map without collisions.
-
-    The entry of a pair is (left + 1) << 32 | (right + 1) << 16, plus the merged id in the low bits; an empty one is 0.
+    The entry of a pair is slots[shift[left] + right] = mark[left] | merged id, with mark = left << 16; what no pair owns is EMPTY.
     """
-    entry = (merges[:, 0] + 1) << 32 | (merges[:, 1] + 1) << 16 | merges[:, 2]
-    rng = np.random.default_rng(1)
-    for _ in range(tries):
-        by = tuple(int(x) | 1 for x in rng.integers(1 << 30, 1 << 34, 4))
-        first, second = _mixes(merges[:, 0], merges[:, 1], by)
-        bucket, home = (first >> 17) & (BUCKETS - 1), (second >> 17) & (SLOTS - 1)
-        if len(np.unique(bucket * SLOTS + home)) < len(merges):
-            continue
-        shift, slots, free = np.zeros(BUCKETS, np.int64), np.zeros(SLOTS, np.int64), np.ones(SLOTS, bool)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-        for b in np.argsort(-np.diff(cuts), kind="stable"):
-            own = order[cuts[b] : cuts[b + 1]]
-            d = next((d for d in range(SLOTS) if free[(home[own] + d) & (SLOTS - 1)].all()), None)
-            if d is None or not len(own):
+    shift, mark = np.full(width, 1 << 30, np.int64), np.arange(width, dtype=np.int64) << 16
+    free = np.ones(4 * width + 4 * len(merges) + 8, bool)
+    slots = np.full(len(free), EMPTY, np.int64)
+    order = np.lexsort((merges[:, 1], merges[:, 0]))
+    rows = merges[order]
+    cuts = np.searchsorted(rows[:, 0], np.arange(width + 1))
+    low = start = width  # all below low is taken; rows as long as the last one found no place between low and start
+    length = 0
+    for left in np.argsort(-np.diff(cuts), kind="stable"):
+        own = rows[cuts[left] : cuts[left + 1]]
+        if not len(own):
+            break
+        right = own[:, 1]
+        if len(own) != length:
+            length, start = len(own), low
+        at = max(start, low)
+        while True:
+            tried = at + np.nonzero(free[at : at + 512])[0] - right[0]
+            fits = np.nonzero(free[tried[:, None] + right].all(1))[0]
+            if len(fits):
+                shift[left] = tried[fits[0]]
                 break
-            at = (home[own] + d) & (SLOTS - 1)
-            shift[b], slots[at], free[at] = d, entry[own], False
-        if not len(own) or d is not None:
-            return by, shift, slots
-    raise ValueError("no map without collisions was found")
+            at += 512
+        start = at
+        place = shift[left] + right
+        slots[place], free[place] = mark[left] | own[:, 2], False
+        while not free[low]:
+            low += 1
+    return shift, mark, slots[: np.nonzero(~free)[0].max(initial=0) + 1]
 
 
 def _literal(values, kind: str = "bigint") -> Column:
@@ -78,25 +81,23 @@ def _literal(values, kind: str = "bigint") -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def fold_merges(symbols: Column, by: tuple[int, ...], shift: Column, slots: Column) -> Column:
-    """The ids that ranked merging leaves of an array of ids (bigint): in each step the pair of lowest rank, leftmost first, becomes one.
+def fold_merges(symbols: Column, shift: Column, mark: Column, slots: Column) -> Column:
+    """The ids that ranked merging leaves of an array of ids (int): in each step the pair of lowest rank, leftmost first, becomes one.
 
-    An entry differs from its pair's bits in the low 16 bits alone, so the exclusive or is the merged id for a pair in the map
-    and larger than any id for every other pair.
+    An entry differs from its row's mark in the low 16 bits alone, so the exclusive or is the merged id for a pair in the map
+    and larger than any id, or null, for every other pair.
     """
 
     def ranked(a: Column, b: Column) -> Column:
-        first, second = _mixes(a, b, by)
-        at = F.get(shift, F.shiftright(first, 17).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) + F.shiftright(second, 17).bitwiseAND(F.lit(SLOTS - 1))
-        return F.get(slots, at.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).bitwiseXOR((a + 1) * F.lit(1 << 32) + (b + 1) * F.lit(1 << 16))
+        return F.get(slots, F.get(shift, a) + b).bitwiseXOR(F.get(mark, a))
 
     def step(s: Column, _: Column) -> Column:
         ranks = F.zip_with(s, F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), ranked)  # null at the end
-        best = F.transform(F.array(ranks), lambda r: F.struct(F.array_min(r).alias("id"), F.array_position(r, F.array_min(r)).cast("int").alias("at")))
+        best = F.transform(F.array(ranks), lambda r: F.struct(F.array_min(r).alias("id"), F.array_position(r, F.array_min(r)).cast("int").alias("at")))  # a let
         merged = F.transform(
             best,
             lambda m: F.when(
-                m["id"] < IDS, F.concat(F.slice(s, F.lit(1), m["at"] - 1), F.array(m["id"]), F.slice(s, m["at"] + 2, F.size(s)))
+                m["id"] < IDS, F.concat(F.slice(s, F.lit(1), m["at"] - 1), F.array(m["id"].cast("int")), F.slice(s, m["at"] + 2, F.size(s)))
             ).otherwise(s),
         )
         return F.get(merged, F.lit(0))
@@ -125,7 +126,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     if max(ranks.values(), default=0) >= IDS:
         raise ValueError(f"ids of {IDS} and more are not supported")
     known = spark.sparkContext.broadcast(ranks)
-    by, shift, slots = rank_tables(merges_of(ranks))
+    shift, mark, slots = rank_tables(merges_of(ranks), max(ranks.values(), default=0) + 1)
     single = [ranks[bytes([b])] for b in range(256)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +148,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 of_run += [direct[w] if w in direct else IDS + words.setdefault(w, len(words)) for w in own]
                 sizes.append(len(own))
             flat = np.frombuffer(b"".join(words), np.uint8)
-            symbols = np.array(single, np.int64)[flat]
+            symbols = np.array(single, np.int32)[flat]
             ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(symbols))
             return pa.RecordBatch.from_arrays(
@@ -173,28 +174,28 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         if texts:
             yield flush(ids, texts)
 
-    rows = texts_of(docs, id_col, text_col).mapInArrow(cut, "doc_ids array<long>, words array<array<long>>, of_run binary, sizes binary, codes array<binary>")
-    merged = F.transform("words", lambda w: fold_merges(w, by, _literal(shift), _literal(slots)))
+    rows = texts_of(docs, id_col, text_col).mapInArrow(cut, "doc_ids array<long>, words array<array<int>>, of_run binary, sizes binary, codes array<binary>")
+    merged = F.transform("words", lambda w: fold_merges(w, _literal(shift, "int"), _literal(mark), _literal(slots)))
     rows = rows.withColumn("words", merged)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         direct = {i: t for t, i in known.value.items()}
+        name = {i: str(i) for i in direct}
         for batch in batches:
             for r in range(batch.num_rows):
                 one = batch.slice(r, 1)
                 ids = one.column(0)[0].as_py()
                 lists = one.column(1)[0].values
-                off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-                parts = [flat[s:e].tolist() for s, e in zip(off, off[1:])]
+                off, flat = lists.offsets.to_numpy().tolist(), lists.values.to_numpy().tolist()
                 of_run, sizes = (np.frombuffer(one.column(c)[0].as_py(), "<i4").tolist() for c in (2, 3))
                 text, data, count = [], [], []
                 at = 0
                 for n in sizes:
                     own: list[int] = []
                     for w in of_run[at : at + n]:
-                        own += [w] if w < IDS else parts[w - IDS]
+                        own += [w] if w < IDS else flat[off[w - IDS] : off[w - IDS + 1]]
                     at += n
-                    text.append(" ".join(map(str, own)))
+                    text.append(" ".join([name[i] for i in own]))
                     data.append(b"".join([direct[i] for i in own]))
                     count.append(len(own))
                 counts = np.array(count, np.int64)
