@@ -32,7 +32,7 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tallyvine/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
