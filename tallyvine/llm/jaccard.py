@@ -254,7 +254,7 @@ def jaccard_join(
     few = seen.mapInPandas(likely, "bucket long, set_id long").withColumn("blocks", F.lit(1))
     large = ends.where(F.col("size") > small).select("bucket", "set_id", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     met = materialize(few.unionByName(large).distinct(), "met")
-    own = met.groupBy("set_id").agg(F.collect_set("bucket").alias("buckets"))
+    own = met.groupBy("set_id").agg(F.collect_list(F.struct("bucket", "blocks")).alias("places"))  # runs * TRIED ** depth at most
 
     def to_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -265,11 +265,12 @@ def jaccard_join(
     # Only sets that met another are read again; their list is broadcast if it was counted to be short.
     wanted = materialize(copies.join(own, "set_id"), "wanted")
     listed = wanted.select(F.col("first").alias("wanted_id")).distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        listed = F.broadcast(listed)
+    few_wanted = wanted.count() <= BROADCAST_ROWS // 10
+    if few_wanted:
+        listed, wanted = F.broadcast(listed), F.broadcast(wanted)
     again = base.join(listed, F.col("doc_id") == F.col("wanted_id"), "left_semi").mapInPandas(to_shingles, "k1 long, k2 long, shingles binary")
-    again = wanted.join(again, ["k1", "k2"]).dropDuplicates(["set_id"]).select("set_id", "buckets", "copies", "shingles")
-    loads = met.join(materialize(again, "shingles"), "set_id")
+    again = again.join(wanted, ["k1", "k2"]).select("set_id", F.col("places.bucket").alias("buckets"), "copies", "shingles", F.explode("places").alias("place"))
+    loads = again.select("set_id", "buckets", "copies", "shingles", "place.bucket", "place.blocks")
     block = F.pmod(F.xxhash64("set_id", "bucket"), F.col("blocks")).cast("int")
     loads = loads.withColumn("block", block)
     # Block b meets the blocks from b on: a set is sent to every pair of blocks that its own block is in.
@@ -280,6 +281,7 @@ def jaccard_join(
 
     def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bucket, lo, hi = key
+        pdf = pdf.drop_duplicates("set_id")  # rows that repeat an id and its text
         if lo == hi:
             x = pdf.reset_index(drop=True)
             i, j = _compare(x, None, bucket, threshold)
@@ -289,7 +291,7 @@ def jaccard_join(
             i, j = _compare(x, y, bucket, threshold) if len(x) and len(y) else (np.empty(0, int), np.empty(0, int))
             ids = np.concatenate([x["set_id"].to_numpy(), y["set_id"].to_numpy()])
             j = j + len(x)
-        weight = pdf.drop_duplicates("set_id").set_index("set_id")["copies"].reindex(ids).to_numpy() if len(ids) else ids
+        weight = pdf.set_index("set_id")["copies"].reindex(ids).to_numpy() if len(ids) else ids
         links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids)) if len(ids) else np.empty(0)
         forest = _spanning(i, j, ids)
         out = [(int(s), None, int(c)) for s, c in zip(ids, links) if c] + [(x, r, 0) for r, x in forest]
