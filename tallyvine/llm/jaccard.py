@@ -14,7 +14,7 @@ from .common import materialize, small_batches, texts_of
 #: Min-wise samples of a set's tokens from which paths choose, and those that one node tries.
 SAMPLES, TRIED = 48, 2
 #: Sets of a bucket that one task compares with one another.
-BLOCK = 256
+BLOCK = 512
 #: The longest list of ids that is broadcast.
 BROADCAST_ROWS = 1_000_000
 
