@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from .common import small_batches, texts_of
 
 #: Bytes of text whose words are encoded together; a longer text is a batch of its own.
 BATCH_BYTES = 6 << 20
+#: Words of one row, and the distinct words that a task remembers before it begins anew.
+ROW_WORDS, TASK_WORDS = 1 << 14, 1 << 20
 #: A bound above every token id, and the entry of a pair that is no token.
 IDS, EMPTY = 1 << 16, 1 << 40
 #: Texts are cut before a blank or line feed that follows a word, where no match of the pattern can lie across; texts with
@@ -117,8 +120,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     decoded is what the ids stand for, piece by piece. Null and empty texts have no ids. Repeated rows and null ids are
     returned as they come; other columns are ignored; an empty table gives no rows.
 
-    In one pass without a shuffle: a batch of documents is cut into words and becomes a row of its distinct words; the fold
-    runs over that row's words; then the documents are put together from their words' ids. Memory is that of a batch.
+    In one pass without a shuffle: a task cuts its texts into words, batch by batch, and hands on rows of the distinct words it
+    has not met before, then a row that holds the batch's texts as word numbers; the fold runs over the rows of words; then the
+    documents are put together from their words' ids. Rows of a partition keep their order through these steps, so a word is
+    folded once a task. A task that has met TASK_WORDS words forgets them all and says so in the next row, which bounds memory.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -134,70 +139,93 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
         match, direct = regex.compile(pattern), known.value
 
-        def flush(ids: list, texts: list[str]) -> pa.RecordBatch:
+        words: dict[bytes, int] = {}
+
+        def fresh_row(fresh: list[bytes], reset: bool) -> pa.RecordBatch:
+            symbols = np.array(single, np.int32)[np.frombuffer(b"".join(fresh), np.uint8)]
+            ends = np.cumsum([0, *map(len, fresh)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(symbols))
+            return row([], pa.ListArray.from_arrays(pa.array([0, len(fresh)], pa.int32()), lists), b"", b"", [], reset)
+
+        def row(ids: list, lists: pa.Array, of_run: bytes, sizes: bytes, codes: list[bytes], reset: bool) -> pa.RecordBatch:
+            columns = [
+                pa.array([ids], pa.list_(pa.int64())),
+                lists,
+                pa.array([of_run], pa.binary()),
+                pa.array([sizes], pa.binary()),
+                pa.array([codes], pa.list_(pa.binary())),
+                pa.array([reset], pa.bool_()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["doc_ids", "words", "of_run", "sizes", "codes", "reset"])
+
+        def flush(ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
+            reset = len(words) >= TASK_WORDS
+            if reset:
+                words.clear()
+            known_before = len(words)
             runs: dict[str, int] = {}
             codes = []
             for t in texts:
                 part = match.findall(t) if OTHER_SPACE.search(t) else CUT.findall(t)
-                codes.append(np.fromiter((runs.setdefault(x, len(runs)) for x in part), np.int32, len(part)))
-            words: dict[bytes, int] = {}
+                codes.append(np.fromiter((runs.setdefault(x, len(runs)) for x in part), np.int32, len(part)).astype("<i4").tobytes())
             of_run, sizes = [], []
             for x in runs:
                 own = [w.encode("utf-8", "surrogatepass") for w in match.findall(x)]
                 # tokens keep their id; other words are numbered from IDS on
                 of_run += [direct[w] if w in direct else IDS + words.setdefault(w, len(words)) for w in own]
                 sizes.append(len(own))
-            flat = np.frombuffer(b"".join(words), np.uint8)
-            symbols = np.array(single, np.int32)[flat]
-            ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(symbols))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids], pa.list_(pa.int64())),
-                    pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), lists),
-                    pa.array([np.array(of_run, "<i4").tobytes()], pa.binary()),
-                    pa.array([np.array(sizes, "<i4").tobytes()], pa.binary()),
-                    pa.array([[c.astype("<i4").tobytes() for c in codes]], pa.list_(pa.binary())),
-                ],
-                ["doc_ids", "words", "of_run", "sizes", "codes"],
-            )
+            fresh = list(islice(words, known_before, None))
+            for s in range(0, len(fresh), ROW_WORDS):
+                yield fresh_row(fresh[s : s + ROW_WORDS], reset and s == 0)
+            none = pa.array([[]], pa.list_(pa.list_(pa.int32())))
+            yield row(ids, none, np.array(of_run, "<i4").tobytes(), np.array(sizes, "<i4").tobytes(), codes, reset and not fresh)
 
         ids, texts, size = [], [], 0
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if texts and size + len(t) > BATCH_BYTES:
-                    yield flush(ids, texts)
+                    yield from flush(ids, texts)
                     ids, texts, size = [], [], 0
                 ids.append(d)
                 texts.append(t)
                 size += len(t)
         if texts:
-            yield flush(ids, texts)
+            yield from flush(ids, texts)
 
-    rows = texts_of(docs, id_col, text_col).mapInArrow(cut, "doc_ids array<long>, words array<array<int>>, of_run binary, sizes binary, codes array<binary>")
+    rows = texts_of(docs, id_col, text_col).mapInArrow(cut, "doc_ids array<long>, words array<array<int>>, of_run binary, sizes binary, codes array<binary>, reset boolean")
     merged = F.transform("words", lambda w: fold_merges(w, _literal(shift, "int"), _literal(mark), _literal(slots)))
     rows = rows.withColumn("words", merged)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         direct = {i: t for t, i in known.value.items()}
         name = {i: str(i) for i in direct}
+        flat, ends = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]  # ids of the task's words, and where each word's end
         for batch in batches:
             for r in range(batch.num_rows):
                 one = batch.slice(r, 1)
-                ids = one.column(0)[0].as_py()
+                if one.column(5)[0].as_py():
+                    flat, ends = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
                 lists = one.column(1)[0].values
-                off, flat = lists.offsets.to_numpy().tolist(), lists.values.to_numpy().tolist()
-                of_run, sizes = (np.frombuffer(one.column(c)[0].as_py(), "<i4").tolist() for c in (2, 3))
-                text, data, count = [], [], []
-                at = 0
-                for n in sizes:
-                    own: list[int] = []
-                    for w in of_run[at : at + n]:
-                        own += [w] if w < IDS else flat[off[w - IDS] : off[w - IDS + 1]]
-                    at += n
-                    text.append(" ".join([name[i] for i in own]))
-                    data.append(b"".join([direct[i] for i in own]))
-                    count.append(len(own))
+                if len(lists):
+                    sizes = np.diff(lists.offsets.to_numpy())
+                    ends.append(ends[-1][-1] + np.cumsum(sizes))
+                    flat.append(lists.flatten().to_numpy())
+                ids = one.column(0)[0].as_py()
+                if not ids:
+                    continue
+                flat, ends = [np.concatenate(flat)], [np.concatenate(ends)]
+                of_run, sizes = (np.frombuffer(one.column(c)[0].as_py(), "<i4").astype(np.int64) for c in (2, 3))
+                merged = of_run >= IDS
+                at = np.where(merged, of_run - IDS, 0)
+                n = np.where(merged, np.diff(ends[0], append=0)[at], 1)
+                source = np.where(merged, ends[0][at], len(flat[0]) + np.arange(len(of_run)))
+                stop = np.cumsum(n)
+                own = np.concatenate([flat[0], of_run])[np.repeat(source - stop + n, n) + np.arange(n.sum())].tolist()
+                bounds = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+                text, data, count = [], [], np.diff(bounds)
+                for a, b in zip(bounds, bounds[1:]):
+                    text.append(" ".join([name[i] for i in own[a:b]]))
+                    data.append(b"".join([direct[i] for i in own[a:b]]))
                 counts = np.array(count, np.int64)
                 codes = one.column(4)[0].as_py()
                 for s in range(0, len(codes), 500):

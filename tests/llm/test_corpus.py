@@ -78,6 +78,24 @@ def test_bpe_round_trip(spark):
     assert all(bytes(r["first"]) == bytes(r["decoded"]) and r["n_tokens"] == len(r["ids"].split()) for r in got)
 
 
+def test_bpe_remembers_and_forgets(spark, monkeypatch):
+    """Words met in earlier batches of a task, and tasks that begin anew, give the same ids as the library."""
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "BATCH_BYTES", 200)
+    monkeypatch.setattr(bpe, "ROW_WORDS", 3)
+    words = [f"zq{chr(97 + i % 26)}xv{i % 37}wkj éßü{i % 11}" for i in range(400)]
+    rows = [(i, " ".join(words[i : i + 15])) for i in range(0, 380)] + [(1000, None), (1001, "")]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    lib = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    for limit in (1, 25, 1 << 20):
+        monkeypatch.setattr(bpe, "TASK_WORDS", limit)
+        got = {r.doc_id: r for r in bpe.encode(docs_of(spark, rows).coalesce(1), path, public_tokenizers.PATTERN).collect()}
+        for d, t in rows:
+            ids = lib.encode_ordinary(t or "")
+            assert (got[d].ids, got[d].n_tokens, bytes(got[d].decoded)) == (" ".join(map(str, ids)), len(ids), (t or "").encode())
+
+
 def test_line_dedup(spark):
     line = "A repeated line of many letters"
     rows = [*AWKWARD, (10, f"{line}\nkeep"), (11, f" {line.upper()}\t\nshort"), (12, f"{line}\n{line}"), (13, "short\nshort")]
