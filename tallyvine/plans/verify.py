@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import Refused, leaves_of, link_column, load
+from ..functions.signatures import signature_fault
 from . import outcome, topology
 
 ZERO = bytes(32)
@@ -71,13 +72,19 @@ def order(rev: DataFrame) -> DataFrame:
     return _conditions(topology.timestamp_violations(rev.where("parse_error is null")), 2.0, "SCHEMA_OR_CHAIN_FAILED")
 
 
+def signatures(rev: DataFrame) -> DataFrame:
+    """Stage 4: signatures that do not fit what they sign or are not by the key that their signer names."""
+    signed = rev.where("parse_error is null and kind = 'signature'")
+    return _conditions(signed.where(signature_fault(F.col("raw"), F.col("hash_alg")).isNotNull()), 4.0, "VERIFICATION_FAILED")
+
+
 def verify(rev: DataFrame, policy: str = "strict", known: DataFrame | None = None, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, conditions) of decoded trees. more: further conditions, as of templates, proofs or signatures.
+    """(outcomes, conditions) of decoded trees. more: further conditions, as of templates or proofs.
 
     A tree whose structure fails is not hashed any further, one whose hashes fail is not checked for order, and so on;
     a tree that cannot be read fails.
     """
-    found = structural(rev, known).unionByName(hashes(rev)).unionByName(order(rev))
+    found = structural(rev, known).unionByName(hashes(rev)).unionByName(order(rev)).unionByName(signatures(rev))
     if more is not None:
         found = found.unionByName(more)
     found = outcome.gate(found)
