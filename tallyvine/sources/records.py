@@ -21,7 +21,7 @@ KINDS = {
     "object": (COMMON | {"payloads"}, {"previous_revision", "leaves"}),
     "template": (COMMON | {"schema"}, {"previous_revision", "verification", "derives_from", "ancestry", "bounds"}),
     "signature": (COMMON | {"previous_revision", "signer", "signature"}, set()),
-    "anchor": (COMMON | {"structural_links", "compositional_links"}, {"previous_revision", "leaves"}),
+    "anchor": (COMMON | {"structural_links"}, {"previous_revision", "compositional_links", "leaves"}),
 }
 
 
@@ -63,6 +63,8 @@ def _row(tree: str, link: str, r: dict, name) -> tuple:
         if not isinstance(c, dict) or set(c) != {"hash", "role"}:
             raise Refused("malformed compositional link")
         comp.append((_bytes(c["hash"], "compositional link"), c["role"]))
+    if not comp:  # an empty list is hashed as an absent one
+        r = {k: v for k, v in r.items() if k != "compositional_links"}
     return (tree, key, alg, kind, prev, r["revision_type"], _bytes(r["nonce"], "nonce", 16), ts, r["version"], r["method"], r.get("leaves"), r.get("signer"), structural, comp, name, render(r), None)
 
 
