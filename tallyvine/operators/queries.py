@@ -192,7 +192,7 @@ def template_edges(spark, sf_dir):
   SELECT l.link, l.depth + 1, t.link, t.derives_from FROM l JOIN t ON t.link = l.next
 ) SELECT link, depth, ancestor FROM l""")
 def lineage(spark, sf_dir):
-    return templates.lineage(template_edges(spark, sf_dir))
+    return templates.lineage(template_edges(spark, sf_dir)).where("fault is null").select("link", "depth", "ancestor")
 
 
 @query("""SELECT c_custkey AS link, CAST(coalesce(CASE WHEN c_custkey % 3 = 0 THEN 10 + c_custkey % 7 END, CASE WHEN n_nationkey % 2 = 0 THEN 100 + n_nationkey END, 1000 + n_regionkey) AS BIGINT) AS depth_limit

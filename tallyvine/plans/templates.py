@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def resolve(wanted: DataFrame, *sources: DataFrame) -> DataFrame:
     """wanted(scope, digest) with source (its number, null if none has it) and template, from sources(scope, digest, template) in order of priority.
@@ -28,22 +30,41 @@ def nearest(*levels: Column) -> Column:
     return F.coalesce(*levels)
 
 
-def lineage(templates: DataFrame, most: int = 9) -> DataFrame:
-    """link, depth, ancestor of templates(link, derives_from), nearest first, depth 0 is the template itself; at most `most` steps."""
-    up = templates.select(F.col("link").alias("ancestor"), F.col("derives_from").alias("next"))
-    level = templates.select("link", F.lit(0).alias("depth"), F.col("link").alias("ancestor"), F.col("derives_from").alias("next"))
-    out = level
-    for d in range(1, most + 1):
-        level = level.where("next is not null").select("link", F.col("next").alias("ancestor")).join(up, "ancestor").select("link", F.lit(d).alias("depth"), "ancestor", "next")
+def lineage(templates: DataFrame, most: int | None = None) -> DataFrame:
+    """link, depth, ancestor, fault of templates(link, derives_from), nearest first, depth 0 is the template itself.
+
+    All lineages are followed to their ends, a join a step. fault is null, or why a lineage does not go on from this row:
+    "unresolved" if the ancestor that is named is not in the table, "cycle" if it was met before, "too_deep" if it is more
+    than `most` steps up (without `most` none is).
+    """
+    up = templates.where("link is not null").select(F.col("link").alias("ancestor"), F.col("derives_from").alias("next"), F.lit(True).alias("has"))
+    level = templates.select("link", F.lit(0).alias("depth"), F.col("link").alias("ancestor"), F.col("derives_from").alias("next"), F.lit(None).cast("string").alias("fault"))
+    level = out = materialize(level, "lineage")
+    d = 0
+    while level.where("next is not null").limit(1).count():
+        d += 1
+        met = out.select("link", "ancestor", F.lit(True).alias("met")).distinct()
+        step = level.where("next is not null").select("link", F.col("next").alias("ancestor")).join(up, "ancestor", "left").join(met, ["link", "ancestor"], "left")
+        deep = F.lit(most is not None and d > most)
+        fault = F.when(deep, "too_deep").when(F.col("met"), "cycle").when(F.col("has").isNull(), "unresolved")
+        level = materialize(step.select("link", F.lit(d).alias("depth"), "ancestor", F.when(fault.isNull(), F.col("next")).alias("next"), fault.alias("fault")), "lineage")
         out = out.unionByName(level)
-    return out.select("link", "depth", "ancestor")
+    return out.select("link", "depth", "ancestor", "fault")
 
 
-def closure(used: DataFrame, templates: DataFrame, most: int = 9) -> DataFrame:
-    """scope, digest: what used(scope, digest) needs, with all that it derives from."""
-    chain = lineage(templates, most).select(F.col("link").alias("digest"), "ancestor")
-    more = used.join(chain, "digest").select("scope", F.col("ancestor").alias("digest"))
-    return used.select("scope", "digest").unionByName(more).distinct()
+def closure(used: DataFrame, templates: DataFrame) -> DataFrame:
+    """scope, digest: what used(scope, digest) needs, with all that it derives from, whether templates(link, derives_from) has it or not.
+
+    A join a step up, until no scope needs anything new.
+    """
+    edges = materialize(templates.where("link is not null and derives_from is not null").select("link", "derives_from").distinct(), "derivations")
+    new = out = materialize(used.select("scope", "digest").distinct(), "closure")
+    while new.limit(1).count():
+        named = new.join(edges, F.col("digest") == F.col("link")).select("scope", F.col("derives_from").alias("digest")).distinct()
+        had = out.select(F.col("scope").alias("s"), F.col("digest").alias("d"))
+        new = materialize(named.join(had, F.col("scope").eqNullSafe(F.col("s")) & (F.col("digest") == F.col("d")), "left_anti"), "closure")
+        out = out.unionByName(new)
+    return out
 
 
 def missing(needed: DataFrame, *present: DataFrame) -> DataFrame:
