@@ -173,6 +173,34 @@ def test_quality(spark):
     assert kept.columns == ["doc_id", "text", "lang", "rank"] and 900 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_quality_rejects_repetition(spark):
+    """A trusted word said over and over has a lower perplexity than any trusted text; words in a new order are kept."""
+    rng = np.random.default_rng(5)
+    words = ["the", "and", "reading", "other", "station", "wing", "of", "heat", "characteristically"]
+    rows = [(i, " ".join(rng.choice(words, 60))) for i in range(300)] + [(900, "characteristically " * 200)]
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.score(docs_of(spark, rows), labels).collect()}
+    assert not got[900]["keep"] and got[900]["perplexity"] < got[900]["floor"]
+    assert sum(got[i]["keep"] for i in range(200, 300)) >= 98
+
+
+def test_quality_counts_longer_grams(spark, monkeypatch):
+    """The letters of a block's n-grams, their places and counts, against a count by hand; alphabets of any size."""
+    texts = ["abcabcabcabc", "abcabcab\U0001f600", "", "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))]
+    rows = spark.createDataFrame([(i, t, "en", i != 1) for i, t in enumerate(texts)], "row long, text string, lang string, trusted boolean").coalesce(1)
+    want = collections.Counter()
+    for i, t in enumerate(texts):
+        padded = quality.EDGE * 5 + t + quality.EDGE
+        want.update((padded[j : j + 6], i) for j in range(len(padded) - 5))
+    got = {}
+    for r in quality.count_blocks(rows).where("gram <> ''").collect():
+        at = np.frombuffer(r["at"], "<u2")
+        n = np.frombuffer(r["n"], "<u4") if r["n"] else np.ones(len(at), int)
+        got |= {(r["gram"], int(a) & (quality.TRUSTED - 1)): int(k) for a, k in zip(at, n)}
+        assert r["trusted"] == sum(int(k) for a, k in zip(at, n) if a & quality.TRUSTED)
+    assert got == dict(want)
+
+
 def test_kneser_ney_sums_to_one(spark):
     counts = spark.createDataFrame([("en", g, c) for g, c in (("aab", 3), ("aba", 1), ("bab", 2), ("abb", 4), ("baa", 1))], "lang string, gram string, c long")
     model = quality.train(counts)
