@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import Refused, leaves_of, link_column, load
+from ..functions.schemas import problems
 from ..functions.signatures import signature_fault
 from . import outcome, topology
+from . import templates as catalogue
 
 ZERO = bytes(32)
 
@@ -67,6 +71,34 @@ def leaves(rev: DataFrame) -> DataFrame:
     return rows.select("tree_id", "link", code("raw", "hash_alg").alias("code")).where("code is not null")
 
 
+def payloads(rev: DataFrame, templates: DataFrame) -> DataFrame:
+    """tree_id, link, code of objects whose template is found nowhere (TEMPLATE_NOT_FOUND), or is not what its link names or refuses the payload (SCHEMA_OR_CHAIN_FAILED).
+
+    Templates are looked up in the object's own tree, then in templates(tree_id, link, raw), tree_id null: for all trees.
+    """
+
+    @F.pandas_udf("boolean")
+    def fits(schemas: pd.Series, raws: pd.Series) -> pd.Series:
+        out = []
+        for schema, raw in zip(schemas, raws):
+            try:
+                out.append(not problems(load(schema)["schema"], load(raw)["payloads"]))
+            except (ValueError, KeyError, TypeError, AttributeError, ArithmeticError, RecursionError, re.error):  # cannot be checked
+                out.append(False)
+        return pd.Series(out, dtype=object)
+
+    good = rev.where("parse_error is null")
+    objects = good.where("kind = 'object'").select("tree_id", "link", "raw", F.expr("coalesce(try_to_binary(substring(revision_type, 3), 'hex'), binary(''))").alias("digest"))
+    own = good.where("kind = 'template'").select(F.col("tree_id").alias("scope"), F.col("link").alias("digest"), F.col("raw").alias("template"))
+    given = templates.select(F.col("tree_id").cast("string").alias("scope"), F.col("link").alias("digest"), F.col("raw").alias("template"))
+    found = catalogue.resolve(objects.select(F.col("tree_id").alias("scope"), "digest").distinct(), own, given).drop("source")
+    found = found.withColumn("named", link_column(F.col("template"), F.lit("sha3"))["link"].eqNullSafe(F.col("digest")))
+    rows = objects.join(found.withColumnRenamed("scope", "tree_id"), ["tree_id", "digest"], "left")
+    missing = F.col("template").isNull()
+    bad = ~F.coalesce("named", F.lit(False)) | ~fits("template", "raw")
+    return rows.select("tree_id", "link", F.when(missing, "TEMPLATE_NOT_FOUND").when(bad, "SCHEMA_OR_CHAIN_FAILED").alias("code")).where("code is not null")
+
+
 def order(rev: DataFrame) -> DataFrame:
     """Stage 2: children older than their parents."""
     return _conditions(topology.timestamp_violations(rev.where("parse_error is null")), 2.0, "SCHEMA_OR_CHAIN_FAILED")
@@ -78,14 +110,26 @@ def signatures(rev: DataFrame) -> DataFrame:
     return _conditions(signed.where(signature_fault(F.col("raw"), F.col("hash_alg")).isNotNull()), 4.0, "VERIFICATION_FAILED")
 
 
-def verify(rev: DataFrame, policy: str = "strict", known: DataFrame | None = None, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, conditions) of decoded trees. more: further conditions, as of templates or proofs.
+def verify(rev: DataFrame, policy: str = "strict", known: DataFrame | None = None, more: DataFrame | None = None, templates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, conditions) of decoded trees. more: further conditions, as of proofs. templates: as of payloads().
 
     A tree whose structure fails is not hashed any further, one whose hashes fail is not checked for order, and so on;
-    a tree that cannot be read fails.
+    a tree that cannot be read fails. Given templates, every object is held against its template, and a revision by the tree
+    method must publish its leaves. Without them published leaves are checked, and n_unchecked of the outcomes is the number
+    of a tree's objects, for none of which a template was looked up, and of its revisions by the tree method that publish
+    no leaves: the outcome of such a tree says nothing about these.
     """
     found = structural(rev, known).unionByName(hashes(rev)).unionByName(order(rev)).unionByName(signatures(rev))
+    leaf = leaves(rev) if templates is not None else leaves(rev).where("code <> 'LEAVES_MISSING'")
+    found = found.unionByName(leaf.select("tree_id", F.lit(1.0).alias("stage"), "code", "link"))
+    if templates is not None:
+        # a policy may let a missing template pass with a warning, so that does not stop the later stages
+        stage = F.when(F.col("code") == "TEMPLATE_NOT_FOUND", 2.5).otherwise(2.0)
+        found = found.unionByName(payloads(rev, templates).select("tree_id", stage.alias("stage"), "code", "link"))
     if more is not None:
         found = found.unionByName(more)
     found = outcome.gate(found)
-    return outcome.outcomes(rev, found, policy), found
+    open_ = (F.col("kind") == "object") | ((F.col("kind") == "anchor") & (F.col("method") == "tree") & F.col("leaves").isNull())
+    count = F.count(F.when(open_, 1)) if templates is None else F.lit(0).cast("long")
+    unchecked = rev.groupBy("tree_id").agg(count.alias("n_unchecked"))
+    return outcome.outcomes(rev, found, policy).join(unchecked, "tree_id", "left"), found
