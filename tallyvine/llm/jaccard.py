@@ -170,13 +170,14 @@ def _paths(sets: DataFrame, runs: int, small: int, depth: int, stay: float) -> D
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without all but one row of each class of near copies: the one of the smallest id stays, whole.
 
-    Rows with a null id stay. Of rows that repeat an id and its text one stays.
+    Rows with a null id stay. Of rows that repeat an id and its text one stays; rows that repeat an id with another text are judged each.
     """
-    found = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
-    gone = materialize(found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    found = jaccard_join(docs, id_col=id_col, text_col=text_col, hashed=True, **options)
+    gone = materialize(found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
     few = gone.count() <= BROADCAST_ROWS
     own = F.col(id_col).cast("long")
-    kept = docs.join(F.broadcast(gone) if few else gone, own == F.col("gone_id"), "left_anti")
+    same = (own == F.col("gone_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("gone_hash"))
+    kept = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
     again = materialize(docs.groupBy(own.alias("again_id")).agg(F.count("*").alias("n")).where("n > 1 and again_id is not null").select("again_id"), "again")
     if not again.limit(1).count():
         return kept
@@ -185,9 +186,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def jaccard_join(
-    docs: DataFrame, threshold: float = 0.8, n: int = 5, runs: int = 4, small: int = 32, depth: int = 4, stay: float = 0.7, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """doc_id, class_id, n_links, copies: every row with the class it belongs to and the number of rows it is linked to.
+    docs: DataFrame, threshold: float = 0.8, n: int = 5, runs: int = 4, small: int = 32, depth: int = 4, stay: float = 0.7, id_col: str = "doc_id", text_col: str = "text",
+    hashed: bool = False,
+) -> DataFrame:
+    """doc_id, class_id, n_links, copies: every row with the class it belongs to and the number of rows it is linked to; text_hash too if hashed.
 
     Rows are linked if the Jaccard similarity of their sets of n-word shingles is `threshold` or more; a class is what links
     join, named by its smallest doc_id. Rows of equal sets are copies of one another: they are linked, are one set in the join
@@ -216,13 +218,14 @@ def jaccard_join(
             keys = [key_of(s) for s in found]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"],
+                "text_hash": pdf["text_hash"],
                 "k1": np.array([k for k, _ in keys], "int64"),
                 "k2": np.array([k for _, k in keys], "int64"),
                 "n": np.array([len(s) for s in found], "int64"),
                 "sample": [_sampled(s).tolist() if len(s) else None for s in found],
             })
 
-    keyed = materialize(base.mapInPandas(to_sets, "doc_id long, k1 long, k2 long, n long, sample array<int>"), "sets")
+    keyed = materialize(base.withColumn("text_hash", F.xxhash64("text")).mapInPandas(to_sets, "doc_id long, text_hash long, k1 long, k2 long, n long, sample array<int>"), "sets")
     full = keyed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     copies = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     copies = materialize(copies.withColumn("set_id", F.monotonically_increasing_id()), "classes")
@@ -311,4 +314,5 @@ def jaccard_join(
         F.coalesce("class", "doc_id").alias("class_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
+        *(["text_hash"] if hashed else []),
     )

@@ -146,6 +146,14 @@ def test_jaccard_join(spark):
     assert jaccard.jaccard_join(docs_of(spark, [])).count() == 0
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """A row stays if only another text of its id is a near copy."""
+    words = [f"w{i}" for i in range(60)]
+    near, alone = " ".join(words), " ".join(reversed(words))
+    rows = [(1, near), (2, near + " more"), (2, alone), (3, None), (4, near)]
+    assert sorted((r["doc_id"], r["text"]) for r in jaccard.keep_one(docs_of(spark, rows)).collect()) == [(1, near), (2, alone), (3, None)]
+
+
 def test_pii_base_and_skip_chain(spark):
     text = "mail a.b@c.org, ip 10.0.0.256 10.0.0.25 card 4111 1111 1111 1111 call +1 (469) 555-3334 é end"
     found = {(text[s:e], pii.KINDS[k]) for s, e, k in pii.base_spans(text)}
