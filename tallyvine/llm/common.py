@@ -52,11 +52,11 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *m
 
 
 def draw(df: DataFrame, n: int, *key: str) -> DataFrame:
-    """At most n rows of df, about n if it has more: those of the lowest hashes of key. Tasks send no more than they hold of these."""
+    """At most n rows of df, about n if it has more: those of the lowest hashes of key, ties by key. Tasks send no more than they hold of these."""
     total = df.count()
     if total > n:
         cut = int(-(2**63) + min(1.0, n / total) * 2.0**64)
-        df = df.where(F.xxhash64(*key) <= F.lit(min(cut, 2**63 - 1)))
+        df = df.where(F.xxhash64(*key) <= F.lit(min(cut, 2**63 - 1))).orderBy(F.xxhash64(*key), *key)
     return df.limit(n)
 
 

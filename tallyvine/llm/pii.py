@@ -37,13 +37,18 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    digits = digits.lstrip("0")  # int() refuses thousands of digits
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of the fixed patterns, by start, then kind: leftmost matches without overlap, failing ones dropped."""
     out = []
     if "@" in text:
         out += [(*m.span(), 0) for m in EMAIL.finditer(text)]
     if "." in text:
-        out += [(*m.span(), 1) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        out += [(*m.span(), 1) for m in IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
             digits = m[0].replace(" ", "").replace("-", "")

@@ -170,6 +170,23 @@ def test_pii_base_and_skip_chain(spark):
     assert "[EMAIL]" in clean[1] and "@" not in clean[1] and clean[2] is None
 
 
+def test_pii_long_dotted_digits():
+    """Parts of any length are judged by their value."""
+    assert pii.base_spans("1.2.3." + "9" * 5000) == []
+    text = "0" * 5000 + "1.2.3.255 x"
+    assert (0, 5009, 1) in pii.base_spans(text)
+
+
+def test_draw_is_the_same_for_any_order_of_rows(spark):
+    from tallyvine.llm import common
+
+    df = spark.range(4000)
+    want = [r["id"] for r in df.selectExpr("id", "xxhash64(id) as h").orderBy("h").limit(50).collect()]
+    for rows in (df.orderBy("id"), df.orderBy("id", ascending=False), df.repartition(7)):
+        got = [r["id"] for r in common.draw(rows, 50, "id").collect()]
+        assert got == want[: len(got)] and len(got) > 30
+
+
 def test_quality(spark):
     rng = np.random.default_rng(5)
     words = ["the", "and", "reading", "other", "station", "wing", "of", "heat"]
