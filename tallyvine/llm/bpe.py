@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import base64
-import re
+import heapq
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +21,10 @@ from .common import small_batches, texts_of
 BATCH_BYTES = 6 << 20
 #: Words of one row, and the distinct words that a task remembers before it begins anew.
 ROW_WORDS, TASK_WORDS = 1 << 14, 1 << 20
+#: Bytes from which a word is merged by a heap where it is found, as the fold takes steps in the square of a word's length.
+LONG_WORD = 512
 #: A bound above every token id, and the entry of a pair that is no token.
 IDS, EMPTY = 1 << 16, 1 << 40
-#: Texts are cut before a blank or line feed that follows a word, where no match of the pattern can lie across; texts with
-#: other white space are matched whole.
-CUT = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
-OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -79,6 +80,16 @@ def rank_tables(merges: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
     return shift, mark, slots[: np.nonzero(~free)[0].max(initial=0) + 1]
 
 
+@lru_cache(maxsize=4)
+def _rank_map(path: str, changed: int) -> tuple[dict[bytes, int], np.ndarray, tuple]:
+    """Ranks, merges and rank tables of a file as of the time of its last change: laid out once, then kept."""
+    ranks = read_ranks(path)
+    if max(ranks.values(), default=0) >= IDS:
+        raise ValueError(f"ids of {IDS} and more are not supported")
+    merges = merges_of(ranks)
+    return ranks, merges, rank_tables(merges, max(ranks.values(), default=0) + 1)
+
+
 def _literal(values, kind: str = "bigint") -> Column:
     """A constant array: the optimizer folds it into one literal."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
@@ -108,11 +119,78 @@ def fold_merges(symbols: Column, shift: Column, mark: Column, slots: Column) ->
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(symbols) - 1, F.lit(1))), symbols, step)
 
 
+def _pieces(ranks: dict[bytes, int]) -> Column:
+    """The tokens' bytes by id, as a literal of hex texts; nothing where no token has the id."""
+    names = [""] * (max(ranks.values(), default=-1) + 1)
+    for t, i in ranks.items():
+        names[i] = t.hex()
+    return F.split(F.lit(",".join(names)), ",")
+
+
 def decoded(ids: Column, pieces: Column) -> Column:
     """The bytes of an array of ids: the concatenation of their binary pieces. pieces: hex text by id."""
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i.cast("int"))), ""))
 
 
+def heap_merged(symbols: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
+    """What fold_merges gives, by a heap of the pairs and links between neighbours: n log n steps for n symbols."""
+    s, n = list(symbols), len(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i in range(n - 1) if (r := pairs.get((s[i], s[i + 1]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, i = heapq.heappop(heap)
+        j = after[i] if s[i] >= 0 else n
+        if j >= n or pairs.get((s[i], s[j])) != r:
+            continue  # one of the two was merged meanwhile
+        s[i], s[j] = r, -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (m := pairs.get((r, s[k]))) is not None:
+                heapq.heappush(heap, (m, i))
+        if (h := before[i]) >= 0 and (m := pairs.get((s[h], r))) is not None:
+            heapq.heappush(heap, (m, h))
+    return [x for x in s if x >= 0]
+
+
+def _bytes_of(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts on end, and where each begins (and the last ends)."""
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
+    return data, ends.astype(np.int64) - int(ends[0])
+
+
+def _on_end(data: pa.Buffer, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Texts that lie on end in data."""
+    return pa.Array.from_buffers(kind, len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), data])
+
+
+def cut_runs(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """Runs of all texts, and how many each text has. A text is cut before each blank or line feed that follows anything else.
+
+    No match of the pattern lies across such a place, unless other white space is near; texts that hold any are one run.
+    """
+    data, ends = _bytes_of(texts)
+    space = (data == 32) | (data == 10)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = space[1:] & ~space[:-1]
+    other = ((data >= 9) & (data <= 13) & (data != 10)) | ((data >= 28) & (data <= 31))
+    if len(data) > 2 and (data > 127).any():
+        x, y, z = data[:-2], data[1:-1], data[2:]
+        wide = (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE2) & (y == 0x81) & (z == 0x9F) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
+        wide |= (x == 0xE2) & (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))
+        other[:-2] |= wide
+        other[:-1] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+    for i in np.unique(np.searchsorted(ends, np.nonzero(other)[0], side="right") - 1).tolist():
+        cut[ends[i] : ends[i + 1]] = False
+    cut[ends[:-1]] = True
+    cut[-1] = False
+    starts = np.nonzero(cut)[0]
+    return _on_end(pa.py_buffer(data), np.r_[starts, len(data)], pa.string()), np.diff(np.searchsorted(starts, ends))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (decimal, parted by blanks), decoded (binary) for every row of docs.
 
@@ -121,125 +199,138 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     returned as they come; other columns are ignored; an empty table gives no rows.
 
     In one pass without a shuffle: a task cuts its texts into words, batch by batch, and hands on rows of the distinct words it
-    has not met before, then a row that holds the batch's texts as word numbers; the fold runs over the rows of words; then the
-    documents are put together from their words' ids. Rows of a partition keep their order through these steps, so a word is
-    folded once a task. A task that has met TASK_WORDS words forgets them all and says so in the next row, which bounds memory.
+    has not met before, then a row that holds the batch's texts as word numbers; Spark folds the words and concatenates the
+    binary pieces of what they became; then the documents' ids and bytes are put together from their words'. Rows of a
+    partition keep their order through these steps, so a word is folded once a task. A task that has met TASK_WORDS words
+    forgets them all and says so in the next row, which bounds memory. Words of LONG_WORD bytes and more are merged by a heap.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    ranks = read_ranks(ranks_path)
-    if max(ranks.values(), default=0) >= IDS:
-        raise ValueError(f"ids of {IDS} and more are not supported")
-    known = spark.sparkContext.broadcast(ranks)
-    shift, mark, slots = rank_tables(merges_of(ranks), max(ranks.values(), default=0) + 1)
+    ranks, merges, (shift, mark, slots) = _rank_map(ranks_path, os.stat(ranks_path).st_mtime_ns)
+    known = spark.sparkContext.broadcast((ranks, merges))
     single = [ranks[bytes([b])] for b in range(256)]
+    kind = "doc_ids array<long>, words array<array<int>>, done array<array<int>>, of_run binary, sizes binary, codes binary, counts binary, reset boolean"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        match, direct = regex.compile(pattern), known.value
-
+        match, (direct, merges) = regex.compile(pattern), known.value
+        pairs: dict[tuple[int, int], int] = {}
         words: dict[bytes, int] = {}
+        of_byte = np.array(single, np.int32)
+        ints = pa.list_(pa.list_(pa.int32()))
 
-        def fresh_row(fresh: list[bytes], reset: bool) -> pa.RecordBatch:
-            symbols = np.array(single, np.int32)[np.frombuffer(b"".join(fresh), np.uint8)]
-            ends = np.cumsum([0, *map(len, fresh)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(symbols))
-            return row([], pa.ListArray.from_arrays(pa.array([0, len(fresh)], pa.int32()), lists), b"", b"", [], reset)
-
-        def row(ids: list, lists: pa.Array, of_run: bytes, sizes: bytes, codes: list[bytes], reset: bool) -> pa.RecordBatch:
-            columns = [
-                pa.array([ids], pa.list_(pa.int64())),
-                lists,
-                pa.array([of_run], pa.binary()),
-                pa.array([sizes], pa.binary()),
-                pa.array([codes], pa.list_(pa.binary())),
-                pa.array([reset], pa.bool_()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["doc_ids", "words", "of_run", "sizes", "codes", "reset"])
-
-        def flush(ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
+        def row(ids: list, fresh: list[bytes], done: list[list[int]], blobs: tuple, reset: bool) -> pa.RecordBatch:
+            symbols = of_byte[np.frombuffer(b"".join(fresh), np.uint8)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, fresh)]).astype(np.int32)), pa.array(symbols))
+            columns = [pa.array([ids], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, len(fresh)], pa.int32()), lists), pa.array([done], ints)]
+            columns += [pa.array([b], pa.binary()) for b in blobs] + [pa.array([reset], pa.bool_())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_ids", "words", "done", "of_run", "sizes", "codes", "counts", "reset"])
+
+        def flush(ids: list, held: list[pa.StringArray]) -> Iterator[pa.RecordBatch]:
             reset = len(words) >= TASK_WORDS
             if reset:
                 words.clear()
             known_before = len(words)
-            runs: dict[str, int] = {}
-            codes = []
-            for t in texts:
-                part = match.findall(t) if OTHER_SPACE.search(t) else CUT.findall(t)
-                codes.append(np.fromiter((runs.setdefault(x, len(runs)) for x in part), np.int32, len(part)).astype("<i4").tobytes())
-            of_run, sizes = [], []
-            for x in runs:
-                own = [w.encode("utf-8", "surrogatepass") for w in match.findall(x)]
-                # tokens keep their id; other words are numbered from IDS on
-                of_run += [direct[w] if w in direct else IDS + words.setdefault(w, len(words)) for w in own]
+            runs, counts = cut_runs(pa.concat_arrays(held))
+            coded = runs.dictionary_encode()
+            of_run, sizes, long = [], [], []
+            for x in coded.dictionary.to_pylist():
+                plain = x.isascii() and (x.isalpha() or x[:1] == " " and x[1:].isalpha())
+                own = [w.encode("utf-8", "surrogatepass") for w in ([x] if plain else match.findall(x))]
+                # tokens keep their id; other words are numbered from IDS on, long ones after all others of the batch
+                for w in own:
+                    if w in direct:
+                        of_run.append(direct[w])
+                    elif len(w) < LONG_WORD or w in words:
+                        of_run.append(IDS + words.setdefault(w, len(words)))
+                    else:
+                        long.append((len(of_run), w))
+                        of_run.append(0)
                 sizes.append(len(own))
             fresh = list(islice(words, known_before, None))
             for s in range(0, len(fresh), ROW_WORDS):
-                yield fresh_row(fresh[s : s + ROW_WORDS], reset and s == 0)
-            none = pa.array([[]], pa.list_(pa.list_(pa.int32())))
-            yield row(ids, none, np.array(of_run, "<i4").tobytes(), np.array(sizes, "<i4").tobytes(), codes, reset and not fresh)
-
-        ids, texts, size = [], [], 0
+                yield row([], fresh[s : s + ROW_WORDS], [], (b"", b"", b"", b""), reset)
+                reset = False
+            if long and not pairs:
+                pairs.update(((a, b), i) for a, b, i in merges.tolist())
+            for at, w in long:
+                if w not in words:
+                    words[w] = len(words)
+                    yield row([], [], [heap_merged(of_byte[np.frombuffer(w, np.uint8)].tolist(), pairs)], (b"", b"", b"", b""), reset)
+                    reset = False
+                of_run[at] = IDS + words[w]
+            blobs = (np.array(of_run, "<i4"), np.array(sizes, "<i4"), coded.indices.to_numpy().astype("<i4"), counts.astype("<i4"))
+            yield row(ids, [], [], tuple(b.tobytes() for b in blobs), reset)
+
+        ids, held, size = [], [], 0
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if texts and size + len(t) > BATCH_BYTES:
-                    yield from flush(ids, texts)
-                    ids, texts, size = [], [], 0
-                ids.append(d)
-                texts.append(t)
-                size += len(t)
-        if texts:
-            yield from flush(ids, texts)
-
-    rows = texts_of(docs, id_col, text_col).mapInArrow(cut, "doc_ids array<long>, words array<array<int>>, of_run binary, sizes binary, codes array<binary>, reset boolean")
-    merged = F.transform("words", lambda w: fold_merges(w, _literal(shift, "int"), _literal(mark), _literal(slots)))
-    rows = rows.withColumn("words", merged)
+            texts, own = batch.column(1), batch.column(0).to_pylist()
+            ends = _bytes_of(texts)[1]
+            at = 0
+            while at < len(own):
+                upto = max(at + (not held), int(np.searchsorted(ends, ends[at] + BATCH_BYTES - size, side="right")) - 1)
+                if upto > at:
+                    held.append(texts.slice(at, upto - at))
+                    ids += own[at:upto]
+                    size += int(ends[upto] - ends[at])
+                    at = upto
+                if at < len(own):
+                    yield from flush(ids, held)
+                    ids, held, size = [], [], 0
+        if held:
+            yield from flush(ids, held)
+
+    rows = texts_of(docs, id_col, text_col).mapInArrow(cut, kind)
+    names = _pieces(ranks)
+    merged = F.concat(F.transform("words", lambda w: fold_merges(w, _literal(shift, "int"), _literal(mark), _literal(slots))), "done")
+    rows = rows.withColumn("words", merged).withColumn("bytes", F.transform("words", lambda ids: decoded(ids, names))).drop("done")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        direct = {i: t for t, i in known.value.items()}
-        name = {i: str(i) for i in direct}
-        flat, ends = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]  # ids of the task's words, and where each word's end
+        direct = {i: t for t, i in known.value[0].items()}
+        every = range(max(direct, default=-1) + 1)
+        name, piece = pa.array([f" {i}" for i in every], pa.string()), pa.array([direct.get(i, b"") for i in every], pa.binary())
+        none = pa.array([], pa.binary())
+        flat, ends, data = [np.empty(0, np.int32)], [np.zeros(1, np.int64)], [none]  # ids of the task's words, where each word's end, their bytes
         for batch in batches:
             for r in range(batch.num_rows):
-                one = batch.slice(r, 1)
-                if one.column(5)[0].as_py():
-                    flat, ends = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
-                lists = one.column(1)[0].values
+                one = {n: c[r] for n, c in zip(batch.schema.names, batch.columns)}
+                if one["reset"].as_py():
+                    flat, ends, data = [np.empty(0, np.int32)], [np.zeros(1, np.int64)], [none]
+                lists = one["words"].values
                 if len(lists):
-                    sizes = np.diff(lists.offsets.to_numpy())
-                    ends.append(ends[-1][-1] + np.cumsum(sizes))
+                    ends.append(ends[-1][-1] + np.cumsum(np.diff(lists.offsets.to_numpy())))
                     flat.append(lists.flatten().to_numpy())
-                ids = one.column(0)[0].as_py()
+                    data.append(one["bytes"].values)
+                ids = one["doc_ids"].as_py()
                 if not ids:
                     continue
-                flat, ends = [np.concatenate(flat)], [np.concatenate(ends)]
-                of_run, sizes = (np.frombuffer(one.column(c)[0].as_py(), "<i4").astype(np.int64) for c in (2, 3))
+                flat, ends, data = [np.concatenate(flat)], [np.concatenate(ends)], [pa.concat_arrays(data)]
+                of_run, sizes, codes, counts = (np.frombuffer(one[c].as_py(), "<i4").astype(np.int64) for c in ("of_run", "sizes", "codes", "counts"))
                 merged = of_run >= IDS
                 at = np.where(merged, of_run - IDS, 0)
                 n = np.where(merged, np.diff(ends[0], append=0)[at], 1)
                 source = np.where(merged, ends[0][at], len(flat[0]) + np.arange(len(of_run)))
                 stop = np.cumsum(n)
-                own = np.concatenate([flat[0], of_run])[np.repeat(source - stop + n, n) + np.arange(n.sum())].tolist()
-                bounds = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
-                text, data, count = [], [], np.diff(bounds)
-                for a, b in zip(bounds, bounds[1:]):
-                    text.append(" ".join([name[i] for i in own[a:b]]))
-                    data.append(b"".join([direct[i] for i in own[a:b]]))
-                counts = np.array(count, np.int64)
-                codes = one.column(4)[0].as_py()
-                for s in range(0, len(codes), 500):
-                    runs = [np.frombuffer(c, "<i4") for c in codes[s : s + 500]]
-                    picked = [c.tolist() for c in runs]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ids[s : s + 500], pa.int64()),
-                            pa.array([int(counts[c].sum()) for c in runs], pa.int64()),
-                            pa.array([" ".join([text[i] for i in c]) for c in picked], pa.string()),
-                            pa.array([b"".join([data[i] for i in c]) for c in picked], pa.binary()),
-                        ],
-                        ["doc_id", "n_tokens", "ids", "decoded"],
-                    )
+                own = np.concatenate([flat[0], of_run])[np.repeat(source - stop + n, n) + np.arange(n.sum())]
+                words = np.concatenate([[0], np.cumsum(sizes)])  # the words of each run
+                bounds = np.concatenate([[0], stop])[words]  # and its ids
+                docs_at = np.concatenate([[0], np.cumsum(counts)])
+
+                def joined(parts: pa.Array, of_run: np.ndarray) -> pa.Array:
+                    """The documents' texts from parts of the runs."""
+                    _, offsets, buffer = parts.buffers()
+                    runs = _on_end(buffer, np.frombuffer(offsets, np.int32)[of_run], parts.type)
+                    _, offsets, buffer = runs.take(pa.array(codes)).buffers()
+                    return _on_end(buffer, np.frombuffer(offsets, np.int32)[docs_at], parts.type)
+
+                of_word = np.where(merged, at, len(data[0]) + np.where(merged, 0, of_run))
+                texts = joined(name.take(pa.array(own)), bounds)
+                binary = joined(pa.concat_arrays([data[0], piece]).take(pa.array(of_word)), words)
+                total = np.concatenate([[0], np.cumsum(np.diff(bounds)[codes])])
+                columns = [pa.array(ids, pa.int64()), pa.array(np.diff(total[docs_at])), pc.utf8_ltrim(texts, " "), binary]
+                for s in range(0, len(ids), 500):
+                    yield pa.RecordBatch.from_arrays([c.slice(s, 500) for c in columns], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return rows.mapInArrow(assemble, "doc_id long, n_tokens long, ids string, decoded binary")
 
@@ -249,9 +340,6 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
 
     Ids are looked up in a literal table and their binary pieces concatenated, without Python. An id that is no token has no bytes.
     """
-    ranks = read_ranks(ranks_path)
-    names = [""] * (max(ranks.values(), default=-1) + 1)
-    for t, i in ranks.items():
-        names[i] = t.hex()
+    names = _pieces(read_ranks(ranks_path))
     ids = F.filter(F.split(F.coalesce(F.col(ids_col), F.lit("")), " "), lambda x: x != "")
-    return rows.withColumn("decoded", decoded(ids, F.split(F.lit(",".join(names)), ",")))
+    return rows.withColumn("decoded", decoded(ids, names))
