@@ -50,11 +50,15 @@ def revisions(spark: SparkSession, sf_dir: str, parent: str = "turn - 1") -> Dat
     )
 
 
-def rev_sql(parent: str = "turn - 1") -> str:
+def odd_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisions(spark, sf_dir, ODD).where(F.expr(KEPT.replace("conv_id", "tree_id")))
+
+
+def rev_sql(parent: str = "turn - 1", kept: str = "true") -> str:
     return f"""rev AS (
   SELECT conv_id AS tree_id, sha256(conv_id || '/' || turn) AS link, CASE WHEN ({parent}) >= 0 THEN sha256(conv_id || '/' || ({parent})) END AS prev,
          CAST((turn * 7) % 5 AS BIGINT) AS ts, {KIND} AS kind, turn
-  FROM conversations
+  FROM conversations WHERE {kept}
 )"""
 
 
@@ -62,6 +66,10 @@ def rev_sql(parent: str = "turn - 1") -> str:
 FORK = "CASE WHEN turn % 3 = 2 THEN turn - 2 ELSE turn - 1 END"
 #: In every fifth conversation the first turn names the third as its parent, which makes a cycle.
 LOOP = "CASE WHEN conv_id % 5 = 0 AND turn = 0 THEN 2 ELSE turn - 1 END"
+#: Forks; a second first revision in one tree of seven, none in another (its first turn names a turn that is not there), and
+#: of every seventh tree the first turn alone (see KEPT).
+ODD = "CASE WHEN conv_id % 7 = 3 AND turn = 2 THEN -1 WHEN conv_id % 7 = 4 AND turn = 0 THEN 1000000 WHEN turn % 3 = 2 THEN turn - 2 ELSE turn - 1 END"
+KEPT = "(conv_id % 7 <> 5 OR turn = 0)"
 
 
 @query(f"WITH {rev_sql()} SELECT tree_id, link, kind FROM rev WHERE prev IS NULL AND kind IN ('object', 'anchor')")
@@ -74,11 +82,12 @@ def tips(spark, sf_dir):
     return topology.tips(revisions(spark, sf_dir, FORK)).select("tree_id", "link", "kind")
 
 
-@query(f"""WITH {rev_sql(FORK)}, t AS (SELECT * FROM rev r WHERE NOT EXISTS (SELECT 1 FROM rev c WHERE c.tree_id = r.tree_id AND c.prev = r.link)),
-n AS (SELECT tree_id, link, row_number() OVER (PARTITION BY tree_id ORDER BY (prev IS NULL AND kind IN ('object', 'anchor')), kind = 'template', link) AS n FROM t)
-SELECT tree_id, link FROM n WHERE n = 1""")
+@query(f"""WITH {rev_sql(ODD, KEPT)}, t AS (
+  SELECT *, prev IS NULL AND kind IN ('object', 'anchor') AS starts, EXISTS (SELECT 1 FROM rev c WHERE c.tree_id = r.tree_id AND c.prev = r.link) AS named, count(*) OVER (PARTITION BY tree_id) AS n FROM rev r
+), l AS (SELECT tree_id, link, row_number() OVER (PARTITION BY tree_id ORDER BY kind = 'template', link) AS place FROM t WHERE NOT named AND NOT starts)
+SELECT tree_id, link FROM l WHERE place = 1 UNION ALL SELECT tree_id, link FROM t WHERE n = 1 AND starts""")
 def last_revision(spark, sf_dir):
-    return topology.last_revision(revisions(spark, sf_dir, FORK))
+    return topology.last_revision(odd_revisions(spark, sf_dir))
 
 
 @query(f"""WITH {rev_sql(FORK)} SELECT tree_id, min(link) AS link FROM rev r WHERE kind = 'object'
@@ -106,16 +115,19 @@ def cycle_nodes(spark, sf_dir):
     return topology.cycle_nodes(revisions(spark, sf_dir, LOOP))
 
 
-CHAIN_SQL = f"""{rev_sql(FORK)}, nxt AS (SELECT tree_id, prev, min(link) AS link FROM rev WHERE prev IS NOT NULL GROUP BY tree_id, prev),
-chain AS (
+CHAIN_SQL = f"""{rev_sql(ODD, KEPT)}, nxt AS (SELECT tree_id, prev, min(link) AS link FROM rev WHERE prev IS NOT NULL GROUP BY tree_id, prev),
+walk AS (
   SELECT tree_id, min(link) AS link, CAST(0 AS BIGINT) AS pos FROM rev WHERE prev IS NULL AND kind IN ('object', 'anchor') GROUP BY tree_id
-  UNION ALL SELECT n.tree_id, n.link, c.pos + 1 FROM chain c JOIN nxt n ON n.tree_id = c.tree_id AND n.prev = c.link
+  UNION ALL SELECT n.tree_id, n.link, c.pos + 1 FROM walk c JOIN nxt n ON n.tree_id = c.tree_id AND n.prev = c.link
+), chain AS (
+  SELECT * FROM walk UNION ALL SELECT tree_id, link, CAST(row_number() OVER (PARTITION BY tree_id ORDER BY link) - 1 AS BIGINT) FROM rev
+  WHERE tree_id NOT IN (SELECT tree_id FROM rev WHERE prev IS NULL AND kind IN ('object', 'anchor'))
 )"""
 
 
-@query(f"WITH RECURSIVE {CHAIN_SQL}, len AS (SELECT tree_id, max(pos) AS top FROM chain GROUP BY tree_id) SELECT tree_id, link, pos FROM chain")
+@query(f"WITH RECURSIVE {CHAIN_SQL} SELECT tree_id, link, pos FROM chain")
 def chain_walk(spark, sf_dir):
-    return topology.chain(revisions(spark, sf_dir, FORK))
+    return topology.chain(odd_revisions(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {CHAIN_SQL}, kids AS (
@@ -123,7 +135,7 @@ def chain_walk(spark, sf_dir):
   WHERE r.prev IS NOT NULL AND (c.link IS NULL OR r.kind IN ('signature', 'anchor'))
 ) SELECT c.tree_id, c.pos, c.link, coalesce((SELECT string_agg(k.link, ',' ORDER BY k.link) FROM kids k WHERE k.tree_id = c.tree_id AND k.prev = c.link), '') AS branches FROM chain c""")
 def branches_per_position(spark, sf_dir):
-    return topology.branches(revisions(spark, sf_dir, FORK)).withColumn("branches", F.array_join("branches", ","))
+    return topology.branches(odd_revisions(spark, sf_dir)).withColumn("branches", F.array_join("branches", ","))
 
 
 @query(f"""WITH RECURSIVE {CHAIN_SQL}, p AS (
@@ -133,7 +145,7 @@ def branches_per_position(spark, sf_dir):
   CAST(CASE WHEN pos IS NOT NULL THEN pos WHEN parent_pos IS NOT NULL THEN parent_pos + 1 ELSE 0 END AS BIGINT) AS depth,
   CAST(row_number() OVER (PARTITION BY tree_id ORDER BY coalesce(pos, parent_pos, 4611686018427387904), pos IS NULL, link) - 1 AS BIGINT) AS ord FROM p""")
 def dag_order(spark, sf_dir):
-    return topology.dag_order(revisions(spark, sf_dir, FORK))
+    return topology.dag_order(odd_revisions(spark, sf_dir))
 
 
 @query(f"WITH {rev_sql(FORK)} SELECT tree_id, prev AS link, count(*) AS n_children, min(link) AS first_child FROM rev WHERE prev IS NOT NULL GROUP BY tree_id, prev")
@@ -204,19 +216,19 @@ def bounds_nearest(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("link"), templates.nearest(own, up, 1000 + F.col("n_regionkey")).cast("long").alias("depth_limit"))
 
 
-@query(f"""WITH RECURSIVE {TEMPLATES_SQL}, u AS (SELECT DISTINCT c_mktsegment AS scope, 'n' || c_nationkey AS digest FROM customer WHERE c_custkey % 11 = 0), c AS (
+@query(f"""WITH RECURSIVE {TEMPLATES_SQL}, u AS (SELECT DISTINCT c_mktsegment AS scope, 'n' || c_nationkey AS digest FROM customer), c AS (
   SELECT * FROM u UNION SELECT c.scope, t.derives_from FROM c JOIN t ON t.link = c.digest WHERE t.derives_from IS NOT NULL
 ) SELECT scope, digest FROM c""")
 def template_closure(spark, sf_dir):
-    used = table(spark, sf_dir, "customer").where("c_custkey % 11 = 0").select(F.col("c_mktsegment").alias("scope"), F.expr("concat('n', c_nationkey)").alias("digest")).distinct()
+    used = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("scope"), F.expr("concat('n', c_nationkey)").alias("digest")).distinct()
     return templates.closure(used, template_edges(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {TEMPLATES_SQL}, u AS (SELECT DISTINCT c_mktsegment AS scope, 'n' || c_nationkey AS digest FROM customer WHERE c_custkey % 11 = 0), c AS (
+@query(f"""WITH RECURSIVE {TEMPLATES_SQL}, u AS (SELECT DISTINCT c_mktsegment AS scope, 'n' || c_nationkey AS digest FROM customer), c AS (
   SELECT * FROM u UNION SELECT c.scope, t.derives_from FROM c JOIN t ON t.link = c.digest WHERE t.derives_from IS NOT NULL
 ) SELECT scope, digest FROM c EXCEPT SELECT scope, digest FROM u WHERE scope < 'C' EXCEPT SELECT c.scope, 'n' || n_nationkey FROM c, nation WHERE n_nationkey % 2 = 0""")
 def missing_templates(spark, sf_dir):
-    used = table(spark, sf_dir, "customer").where("c_custkey % 11 = 0").select(F.col("c_mktsegment").alias("scope"), F.expr("concat('n', c_nationkey)").alias("digest")).distinct()
+    used = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("scope"), F.expr("concat('n', c_nationkey)").alias("digest")).distinct()
     builtin = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.lit(None).cast("string").alias("scope"), F.expr("concat('n', n_nationkey)").alias("digest"))
     return templates.missing(template_closure(spark, sf_dir), used.where("scope < 'C'"), builtin)
 
@@ -303,16 +315,28 @@ def policy_matrix(spark, sf_dir):
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).select("policy", "outcome", "n_trees")
 
 
-@query("""WITH RECURSIVE e AS (
-  SELECT DISTINCT 'c' || c_custkey AS tree, 'n' || c_nationkey AS needs FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'c' || c_custkey, 'r' || (c_custkey % 5) FROM customer
-), l AS (SELECT DISTINCT 'c' || c_custkey AS tree, 0 AS level FROM customer UNION ALL SELECT e.needs, l.level + 1 FROM l JOIN e ON e.tree = l.tree)
-SELECT tree, max(level) AS level FROM l GROUP BY tree""")
+EDGES_SQL = """e AS (
+  SELECT DISTINCT 'c' || c_custkey AS tree, 'n' || c_nationkey AS needs FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+  UNION SELECT 'c' || c_custkey, 'r' || (c_custkey % 5) FROM customer UNION SELECT 'r0', 'x1' UNION SELECT 'x1', 'x2' UNION SELECT 'x2', 'x1' UNION SELECT 'x2', 'x3' UNION SELECT 'r1', 'r1'
+)"""
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, up AS (
+  SELECT tree AS top, needs FROM e WHERE tree <> needs AND tree[1] <> 'c' UNION SELECT up.top, e.needs FROM up JOIN e ON e.tree = up.needs AND e.tree <> e.needs
+), bad AS (SELECT needs AS tree FROM up WHERE top IN (SELECT top FROM up WHERE top = needs) UNION SELECT top FROM up WHERE top = needs),
+l AS (
+  SELECT DISTINCT 'c' || c_custkey AS tree, 0 AS level FROM customer
+  UNION ALL SELECT e.needs, l.level + 1 FROM l JOIN e ON e.tree = l.tree WHERE e.tree <> e.needs AND e.needs NOT IN (SELECT tree FROM bad)
+)
+SELECT tree, CAST(max(level) AS INTEGER) AS level, '' AS fault FROM l GROUP BY tree UNION ALL SELECT tree, -1, 'CROSS_TREE_CYCLE_DETECTED' FROM bad""")
 def tree_levels(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     up = c.select(F.expr("concat('c', c_custkey)").alias("tree"), F.expr("concat('n', c_nationkey)").alias("needs"))
     n = table(spark, sf_dir, "nation").select(F.expr("concat('n', n_nationkey)").alias("tree"), F.expr("concat('r', n_regionkey)").alias("needs"))
     r = c.select(F.expr("concat('c', c_custkey)").alias("tree"), F.expr("concat('r', c_custkey % 5)").alias("needs"))
-    return topology.tree_levels(up.unionByName(n).unionByName(r), up.select("tree"))
+    loops = spark.createDataFrame([("r0", "x1"), ("x1", "x2"), ("x2", "x1"), ("x2", "x3"), ("r1", "r1")], "tree string, needs string")
+    found = topology.tree_levels(up.unionByName(n).unionByName(r).unionByName(loops), up.select("tree"))
+    return found.na.fill(-1, ["level"]).na.fill("", ["fault"])
 
 
 @query("""WITH k AS (SELECT l_orderkey AS o, list_distinct(list(l_suppkey % 7)) AS child, list_distinct(list(l_partkey % 5)) AS parent FROM lineitem GROUP BY l_orderkey)
