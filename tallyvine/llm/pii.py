@@ -20,11 +20,12 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: The CRF's variables: runs of non-blanks that hold a digit or an at sign. All other tokens are outside by definition.
 TOKEN = re.compile(r"[^\s0-9@]*[0-9@]\S*")
+DIGITS = re.compile(r"[0-9().+-]+")
 
 LABELS = len(KINDS) + 1  # 0 is outside
 WIDTH = 1 << 12
 #: Rounds of message passing, and the least posterior of an added span.
-ROUNDS, SURE = 8, 0.95
+ROUNDS, SURE = 8, 0.7
 #: Tokens between two neighbours in the chain, in characters; farther ones are not neighbours.
 NEAR = 40
 
@@ -112,18 +113,38 @@ def _similar(w: str) -> str:
     return "d" + digits[-7:] if len(digits) >= 7 and "@" not in w else "w" + "".join(c for c in w.lower() if c.isalnum())
 
 
-def edges_of(toks) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between near neighbours, and skip edges from each token to the next similar one (n tokens: n - 1 edges at most)."""
+def mentions_of(text: str, toks, spans) -> list[tuple[list[int], str]]:
+    """(numbers of its tokens, what makes it similar) of each mention: a fixed span's tokens, a row of tokens of digits parted by one blank, or one token."""
+    out: list[tuple[list[int], str]] = []
+    at, s = 0, 0
+    while at < len(toks):
+        start, end, w = toks[at]
+        while s < len(spans) and spans[s][1] <= start:
+            s += 1
+        upto = at + 1
+        if s < len(spans) and spans[s][0] < end:
+            while upto < len(toks) and toks[upto][0] < spans[s][1]:
+                upto += 1
+            whole = text[spans[s][0] : spans[s][1]]
+        else:
+            limit = spans[s][0] if s < len(spans) else len(text)
+            while upto < len(toks) and text[toks[upto - 1][1] : toks[upto][0]] == " " and toks[upto][1] <= limit and DIGITS.fullmatch(w) and DIGITS.fullmatch(toks[upto][2]):
+                upto += 1
+            whole = text[start : toks[upto - 1][1]]
+        out.append((list(range(at, upto)), _similar(whole)))
+        at = upto
+    return out
+
+
+def edges_of(text: str, toks, spans) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Chain edges between near neighbours, and skip edges from the last token of a mention to each of the next similar one (n tokens: n at most)."""
     chain = [(i, i + 1) for i in range(len(toks) - 1) if toks[i + 1][0] - toks[i][1] <= NEAR]
     last: dict[str, int] = {}
     skip = []
-    for i, (_, _, w) in enumerate(toks):
-        key = _similar(w)
-        if key in last and last[key] != i - 1:
-            skip.append((last[key], i))
-        elif key in last:
-            skip.append((i - 1, i))
-        last[key] = i
+    for own, key in mentions_of(text, toks, spans):
+        if key in last:
+            skip += [(last[key], i) for i in own]
+        last[key] = own[-1]
     return chain, skip
 
 
@@ -133,13 +154,15 @@ class Crf:
     def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.unary, self.chain, self.skip = unary, chain, skip
 
-    def posteriors(self, text: str, toks, known: np.ndarray) -> np.ndarray:
-        """Beliefs of each variable after ROUNDS of damped sum-product messages; known labels are clamped."""
-        n = len(toks)
+    def posteriors(self, text: str, toks, spans, known: np.ndarray) -> np.ndarray:
+        """Beliefs of each variable after ROUNDS of damped sum-product messages; known labels are clamped. spans: the fixed ones."""
         own = np.stack([self.unary[f].sum(0) for f in features_of(text, toks)])
         own[known > 0] = -30.0
         own[known > 0, known[known > 0]] = 0.0
-        chain, skip = edges_of(toks)
+        return self.beliefs(own, *edges_of(text, toks, spans))
+
+    def beliefs(self, own: np.ndarray, chain: list[tuple[int, int]], skip: list[tuple[int, int]]) -> np.ndarray:
+        """Beliefs from the variables' own potentials and the edges' ones; exact if the edges form no loop and ROUNDS reach across."""
         e = np.array(chain + skip, np.int64).reshape(-1, 2)
         if not len(e):
             return _softmax(own)
@@ -157,7 +180,6 @@ class Crf:
             msg = 0.5 * msg + 0.5 * new
         belief = own.copy()
         np.add.at(belief, dst, msg)
-        assert len(belief) == n
         return _softmax(belief)
 
 
@@ -166,34 +188,84 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-def train(docs: list[str], epochs: int = 60) -> Crf:
-    """Piecewise training on texts whose fixed patterns give the labels: a softmax for the unary part, smoothed counts for the edges."""
-    feats, labels = [], []
-    chain, skip = np.full((LABELS, LABELS), 1.0), np.full((LABELS, LABELS), 1.0) + 4 * np.eye(LABELS)
-    for text in docs:
+def repeated(span: str, kind: int, form: int) -> str | None:
+    """A mention of what a fixed span names that no fixed pattern matches, in one of three forms; None if there is none."""
+    digits = "".join(c for c in span if c.isdigit())
+    if kind == 3:
+        tail = digits[-10:]
+        return (digits, f"{tail[:3]}-{tail[3:6]}-{tail[6:]}", f"{tail[:3]} {tail[3:6]} {tail[6:]}")[form % 3]
+    if kind == 2:
+        return (".", "_", "/")[form % 3].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if kind == 1:
+        return ("-", "_", "/")[form % 3].join(span.split("."))
+    return None
+
+
+def _examples(text: str, form: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """text with, for each fixed span, a repeated mention and a decoy of the same form and other digits; (start, end, label) of all these."""
+    marked = []
+    for s, e, k in base_spans(text):
+        again = repeated(text[s:e], k, form)
+        if again is None:
+            continue
+        shift = 1 + zlib.crc32(again.encode()) % 8
+        decoy = "".join(str((int(c) + shift + i) % 10) if c in "0123456789" else c for i, c in enumerate(again))
+        for word, label in ((decoy, 0), (again, k + 1)):
+            text += "\n" + " " * NEAR  # no neighbours in the chain
+            marked.append((len(text), len(text) + len(word), label))
+            text += word
+    return text, marked
+
+
+def train(docs: list[str], epochs: int = 120) -> Crf:
+    """Trained by pseudo-likelihood: each token's label given its features and its neighbours' labels, chain and skip potentials symmetric.
+
+    Labels are those of the fixed patterns. Every fixed span is mentioned once more in a form that no pattern matches, labelled as it,
+    and followed by a decoy of that form, labelled as outside: what tells the two apart is the similar token elsewhere alone.
+    Unmatched tokens that are similar to a matched one have no label and teach nothing.
+    """
+    feats, labels, near, far = [], [], [], []
+    for form, plain in enumerate(docs):
+        text, marked = _examples(plain, form)
+        spans = base_spans(text)
         toks = tokens_of(text)
-        y = _labels(toks, base_spans(text))
-        feats += features_of(text, toks)
-        labels += y.tolist()
-        for e, table in zip(edges_of(toks), (chain, skip)):
+        y = _labels(toks, spans)
+        fixed = y > 0
+        unknown = np.zeros(len(toks), bool)
+        matched = {key for own, key in mentions_of(text, toks, spans) if fixed[own].any()}
+        for own, key in mentions_of(text, toks, spans):
+            unknown[own] = ~fixed[own] & (key in matched)
+        for s, e, label in marked:
+            for i, (a, b, _) in enumerate(toks):
+                if s <= a and b <= e and not fixed[i]:
+                    y[i], unknown[i] = label, False
+        around = np.zeros((2, len(toks), LABELS))
+        for n, e in enumerate(edges_of(text, toks, spans)):
             for i, j in e:
-                table[y[i], y[j]] += 1
-    w = np.zeros((WIDTH, LABELS))
+                for a, b in ((i, j), (j, i)):
+                    if not unknown[b]:
+                        around[n, a, y[b]] += 1
+        keep = np.nonzero(~unknown)[0]
+        every = features_of(text, toks)
+        feats += [every[i] for i in keep]
+        labels += y[keep].tolist()
+        near.append(around[0, keep])
+        far.append(around[1, keep])
+    w, chain, skip = np.zeros((WIDTH, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))
     if feats:
-        f, y = np.array(feats), np.array(labels)
-        goal = np.eye(LABELS)[y]
+        f, goal = np.array(feats), np.eye(LABELS)[np.array(labels)]
+        near, far = np.concatenate(near), np.concatenate(far)
+        seen = np.maximum(1, np.bincount(f.ravel(), minlength=WIDTH))[:, None]
         for i in range(epochs):
-            g = _softmax(w[f].sum(1)) - goal
+            g = _softmax(w[f].sum(1) + near @ chain + far @ skip) - goal
+            rate = 2.0 / (1 + 0.02 * i)
             step = np.zeros_like(w)
             np.add.at(step, f.ravel(), np.repeat(g, f.shape[1], 0))
-            w -= (2.0 / (1 + 0.05 * i)) * (step / np.maximum(1, np.bincount(f.ravel(), minlength=WIDTH))[:, None]) / f.shape[1] ** 0.5 + 1e-4 * w
-    # pairwise excess over independence; a symmetric bonus for agreement on the skip edges
-    def lift(t):
-        p = t / t.sum()
-        return np.clip(np.log(p) - np.log(p.sum(1, keepdims=True)) - np.log(p.sum(0, keepdims=True)), -2, 2)
-
-    both = skip + skip.T
-    return Crf(w, lift(chain) * 0.5, lift(both))
+            w -= rate * step / seen / f.shape[1] ** 0.5 + 1e-4 * w
+            for table, x in ((chain, near), (skip, far)):
+                d = rate * (x.T @ g) / np.maximum(1.0, x.sum(0))[:, None]
+                table -= (d + d.T) / 2 + 1e-4 * table
+    return Crf(w, chain, skip)
 
 
 def all_spans(text: str, crf: Crf | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -208,7 +280,7 @@ def all_spans(text: str, crf: Crf | None) -> tuple[list[tuple[int, int, int]], l
     free = [i for i in range(len(toks)) if not known[i]]
     if not free:
         return base, base
-    post = crf.posteriors(text, toks, known)
+    post = crf.posteriors(text, toks, base, known)
     more = []
     for i in free:
         k = int(post[i].argmax())
@@ -225,10 +297,12 @@ def _listed(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
-def fit(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Crf:
-    """A CRF trained on at most sample_docs texts that hold a variable (of the lowest hashes). Texts longer than
-    20,000 characters are not drawn."""
-    base = texts_of(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
+def fit(docs: DataFrame, sample_docs: int = 2000, sample_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Crf:
+    """A CRF trained on at most sample_docs texts that hold a variable (of the lowest hashes) and at most sample_chars characters.
+
+    Both bound what the driver holds; the field is applied to whole texts of any length.
+    """
+    base = texts_of(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= sample_chars))
     return train(sorted(r["text"] for r in draw(base, sample_docs, "doc_id", "text").collect()))
 
 
