@@ -14,43 +14,70 @@ from pyspark.sql import functions as F
 from .common import TopK, draw, materialize, small_batches, usable_vector
 
 #: Bounds of the fitting sample, and of what meets in one task.
-SAMPLE, CALIBRATION, TOGETHER, QUERIES_TOGETHER = 20_000, 256, 8192, 4096
+SAMPLE, CALIBRATION, TOGETHER, QUERIES_TOGETHER = 65_536, 256, 8192, 4096
+#: Rows that a leaf is meant to hold, levels at most, and the expected excess, in deviations, of the best of a node's children.
+LEAF_ROWS, LEVELS, EXCESS = 200, 3, 1.77
+#: Dimensions that get a tree of their own, and the rows from which one other than the most frequent does; all others are searched exactly.
+TREES, TREE_ROWS = 8, 4096
 
 
 class Tree:
-    """Two levels of centroids: branch[b] and leaf[b * fan + i]. Its size is fixed by its parameters, not by the data."""
+    """Centroids by level: node i of a level has the nodes i * fan to i * fan + fan - 1 of the next one as children, the last level's are leaves.
 
-    def __init__(self, branch: np.ndarray, leaf: np.ndarray, fan: int):
-        self.branch, self.leaf, self.fan = branch, leaf, fan
+    Its size is fixed by its parameters, not by the data. spread is, for each node of the levels above the leaves, the deviation of its children from it
+    in one direction.
+    """
+
+    def __init__(self, levels: list[np.ndarray], fan: int):
+        self.levels, self.fan = levels, fan
+        self.spread = [
+            np.sqrt(((low.reshape(len(up), fan, -1) - up[:, None, :]) ** 2).sum(2).mean(1) / max(1, up.shape[1])) for up, low in zip(levels, levels[1:])
+        ]
+
+    @property
+    def leaves(self) -> int:
+        return len(self.levels[-1])
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each vector: the nearest branch, then its nearest leaf."""
-        b = _nearest(x, self.branch)
-        out = np.empty(len(x), np.int64)
-        for i in np.unique(b):
-            at = np.nonzero(b == i)[0]
-            out[at] = i * self.fan + _nearest(x[at], self.leaf[i * self.fan : (i + 1) * self.fan])
+        """The leaf of each vector: the nearest child, level by level."""
+        out = _nearest(x, self.levels[0])
+        for level in self.levels[1:]:
+            node = out.copy()
+            for i in np.unique(node):
+                at = np.nonzero(node == i)[0]
+                out[at] = i * self.fan + _nearest(x[at], level[i * self.fan : (i + 1) * self.fan])
         return out
 
-    def visits(self, q: np.ndarray, n: int) -> np.ndarray:
-        """The first n leaves for each query, best bin first: one queue holds unopened branches and leaves by inner product."""
-        n = min(n, len(self.leaf))
-        top, low = q @ self.branch.T, q @ self.leaf.T
-        # A branch promises what its best leaf holds.
-        promise = np.maximum(top, low.reshape(len(q), len(self.branch), self.fan).max(2))
-        out = np.empty((len(q), n), np.int64)
+    def visits(self, q: np.ndarray, n: int, rows: np.ndarray | None = None, least: int = 0) -> list[list[int]]:
+        """The first n leaves for each query, best bin first, or more, until they hold `least` rows (rows: by leaf).
+
+        One queue holds what was seen and not yet opened: leaves by the inner product with their centroid, other nodes by that plus what the
+        best of their children may add. Children are scored when their parent is opened.
+        """
+        out, last = [], len(self.levels) - 1
+        norm = np.sqrt((q * q).sum(1))
+        top = q @ self.levels[0].T
         for r in range(len(q)):
-            queue = [(-p, -1, b) for b, p in enumerate(promise[r].tolist())]
+
+            def promised(level: int, first: int, scores: np.ndarray) -> list[tuple[float, int, int]]:
+                if level < last:
+                    scores = scores + EXCESS * norm[r] * self.spread[level][first : first + len(scores)]
+                return [(-p, level, first + i) for i, p in enumerate(scores.tolist())]
+
+            queue = promised(0, 0, top[r])
             heapq.heapify(queue)
-            got = 0
-            while got < n:
-                _, kind, at = heapq.heappop(queue)
-                if kind < 0:
-                    for i in range(at * self.fan, (at + 1) * self.fan):
-                        heapq.heappush(queue, (-low[r, i], 0, i))
+            got: list[int] = []
+            held = 0
+            while queue and (len(got) < n or held < least):
+                _, level, node = heapq.heappop(queue)
+                if level == last:
+                    got.append(node)
+                    held += int(rows[node]) if rows is not None else 0
                 else:
-                    out[r, got] = at
-                    got += 1
+                    first = node * self.fan
+                    for x in promised(level + 1, first, self.levels[level + 1][first : first + self.fan] @ q[r]):
+                        heapq.heappush(queue, x)
+            out.append(got)
         return out
 
 
@@ -61,35 +88,39 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        at = _nearest(x, c)
-        n = np.bincount(at, minlength=k)
-        total = np.zeros_like(c)
-        np.add.at(total, at, x)
-        c[n > 0] = total[n > 0] / n[n > 0, None]
+        own = (_nearest(x, c)[:, None] == np.arange(k)[None, :]).astype(np.float64)
+        n = own.sum(0)
+        c[n > 0] = (own.T @ x)[n > 0] / n[n > 0, None]
         c[n == 0] = x[rng.integers(len(x), size=int((n == 0).sum()))]
     return c
 
 
-def fit_tree(sample: np.ndarray, fan: int = 16, seed: int = 7) -> Tree:
-    """K-means into fan branches, and each branch's vectors into fan leaves."""
+def fit_tree(sample: np.ndarray, fan: int = 16, depth: int = 2, seed: int = 7) -> Tree:
+    """K-means into fan nodes, each node's vectors into fan nodes again, depth times."""
     rng = np.random.default_rng(seed)
-    branch = _kmeans(sample, fan, rng)
-    at = _nearest(sample, branch)
-    leaf = np.concatenate([_kmeans(own if len(own := sample[at == b]) else branch[b : b + 1], fan, rng) for b in range(fan)])
-    return Tree(branch, leaf, fan)
+    levels = [_kmeans(sample, fan, rng)]
+    at = _nearest(sample, levels[0])
+    for _ in range(1, depth):
+        up, low, new = levels[-1], [], np.empty_like(at)
+        for i in range(len(up)):
+            own = np.nonzero(at == i)[0]
+            low.append(_kmeans(sample[own] if len(own) else up[i : i + 1], fan, rng))
+            if len(own):
+                new[own] = i * fan + _nearest(sample[own], low[-1])
+        levels.append(np.concatenate(low))
+        at = new
+    return Tree(levels, fan)
 
 
 def calibrate(tree: Tree, sample: np.ndarray, queries: np.ndarray, k: int, recall: float) -> int:
     """Leaf visits, widened until the queries find that share of their k best sample vectors."""
     at = tree.assign(sample)
     true = np.argpartition(-(queries @ sample.T), min(k, len(sample) - 1), axis=1)[:, :k]
-    order = tree.visits(queries, len(tree.leaf))
-    place = np.argsort(order, axis=1)  # place[q, leaf]
-    needed = np.take_along_axis(place, at[true], axis=1)
-    n = 1
-    while n < len(tree.leaf) and (needed < n).mean() < recall:
-        n += 1
-    return n
+    place = np.empty((len(queries), tree.leaves), np.int64)
+    for r, order in enumerate(tree.visits(queries, tree.leaves)):
+        place[r, order] = np.arange(tree.leaves)
+    needed = np.sort(np.take_along_axis(place, at[true], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) + 1
 
 
 def nearest(
@@ -97,59 +128,47 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, the k nearest found by inner product.
 
-    The tree is fitted on sample_rows rows at most (of the lowest hashes of their ids), and leaf visits are widened on held
-    queries until `recall` of the sample's true neighbours are found. Every row is indexed: it goes to its leaf, and a
-    branch's rows are dealt over as many groups of bounded size as its count asks for, so one crowded leaf is shared out.
-    Scores are inner products in doubles of the original vectors, summed in one fixed order. Vectors that are null, empty or
-    zero or hold a null or non-finite component, those of another dimension than the most frequent one, and rows without an
-    id take no part. Rows of the query's own id are not its candidates; ties go to the smaller id. Fewer candidates than k:
-    all that were found. An empty table gives no rows.
+    Each of the TREES most frequent dimensions with TREE_ROWS rows or more, and the most frequent one in any case, gets a tree
+    with as many levels as its count of rows asks for, LEVELS at most. It is fitted on sample_rows rows at most (of the lowest
+    hashes of their ids), and leaf visits are widened on some of them until `recall` of the sample's true neighbours are found; a query whose
+    leaves hold k rows or fewer visits more. Every row is indexed: it goes to its leaf, and a lowest branch's rows are dealt over as
+    many groups of bounded size as its count asks for, so one crowded leaf is shared out. Queries of other dimensions meet
+    all rows of theirs. Scores are inner products in doubles of the original vectors, summed in one fixed order. Vectors that
+    are null, empty or zero or hold a null or non-finite component, and rows without an id, take no part; a query meets
+    vectors of its own dimension only. Rows of the query's own id are not its candidates; rows that repeat a query's id are
+    that query's as well, with the candidates of each. Ties go to the smaller id. Fewer candidates than k: all that
+    were found. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark, 4096)
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    rows = rows.where(F.col("vec_id").isNotNull() & usable_vector(v) & F.exists(v, lambda x: x != 0))
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    found_type = "query_id long, vec_id long, score double"
-    if not dims:
+    rows = rows.where(F.col("vec_id").isNotNull() & usable_vector(v) & F.exists(v, lambda x: x != 0)).withColumn("dim", F.size("v"))
+    dims = materialize(rows.groupBy("dim").count(), "dims")
+    treed = [(r["dim"], r["count"]) for r in dims.orderBy(F.desc("count"), "dim").limit(TREES).collect()]
+    treed = [(d, n) for i, (d, n) in enumerate(treed) if not i or n >= TREE_ROWS]
+    # all that meet in pairs of groups: branch (of a dimension), what a query asks of it, what lies in it
+    left = right = None
+    for dim, n in treed:
+        asked, indexed = _in_tree(rows.where(F.col("dim") == dim).drop("dim"), dim, n, k, every, recall, fan, sample_rows)
+        left = asked if left is None else left.unionByName(asked)
+        right = indexed if right is None else right.unionByName(indexed)
+    rest = rows.where(~F.col("dim").isin([d for d, _ in treed])).select("vec_id", "v", "dim", F.lit(-1).alias("branch"))
+    if dims.count() > len(treed):
+        left_over = rest.where(F.col("vec_id") % every == 0).withColumn("leaves", F.array(F.lit(-1)))
+        left, right = (left_over, rest.withColumn("leaf", F.lit(-1))) if left is None else (left.unionByName(left_over), right.unionByName(rest.withColumn("leaf", F.lit(-1))))
+    if left is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, total = dims[0]["d"], dims[0]["count"]
-    rows = rows.where(F.size("v") == dim)
-    drawn = draw(rows, sample_rows, "vec_id").toPandas().sort_values("vec_id")
-    sample = np.stack(drawn["v"].tolist()).astype(np.float64)
-    tree = fit_tree(sample, fan)
-    tries = sample[:: max(1, len(sample) // CALIBRATION)][:CALIBRATION]
-    visits = calibrate(tree, sample, tries, min(k, len(sample)), recall) if total > k + 1 else len(tree.leaf)
-    shared = spark.sparkContext.broadcast((tree.branch, tree.leaf, fan))  # fan + fan * fan centroids
-
-    def to_leaf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Tree(*shared.value)
-        for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(leaf=own.assign(np.stack(pdf["v"].tolist()).astype(np.float64)).astype("int32"))
-
-    def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Tree(*shared.value)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            chosen = own.visits(np.stack(pdf["v"].tolist()).astype(np.float64), visits)
-            out = []
-            for qid, vec, leaves in zip(pdf["vec_id"], pdf["v"], chosen):
-                b = leaves // fan
-                out += [(qid, vec, int(x), leaves[b == x].tolist()) for x in np.unique(b)]
-            yield pd.DataFrame(out, columns=["vec_id", "v", "branch", "leaves"]).astype({"branch": "int32"})
-
-    indexed = materialize(rows.mapInPandas(to_leaf, "vec_id long, v array<double>, leaf int"), "leaves").withColumn("branch", F.floor(F.col("leaf") / fan).cast("int"))
-    asked = materialize(rows.where(F.col("vec_id") % every == 0).mapInPandas(to_visits, "vec_id long, v array<double>, branch int, leaves array<int>"), "visits")
-    sizes = indexed.groupBy("branch").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("vgs"))
-    asks = asked.groupBy("branch").agg(F.ceil(F.count("*") / QUERIES_TOGETHER).cast("int").alias("qgs"))
-    both = F.broadcast(sizes.join(asks, "branch"))  # a row for each branch
+    indexed, asked = materialize(right, "leaves"), materialize(left, "visits")
+    key = ["dim", "branch"]
+    sizes = indexed.groupBy(*key).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("vgs"))
+    asks = asked.groupBy(*key).agg(F.ceil(F.count("*") / QUERIES_TOGETHER).cast("int").alias("qgs"))
+    both = materialize(sizes.join(asks, key), "sizes")
+    both = F.broadcast(both) if both.count() <= 100_000 else both
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    share = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-    left = asked.join(both, "branch").select("branch", share("qgs").alias("qg"), upto("vgs").alias("vg"), "vec_id", "v", "leaves")
-    right = indexed.join(both, "branch").select("branch", share("vgs").alias("vg"), upto("qgs").alias("qg"), "vec_id", "v", "leaf")
+    share = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
+    left = asked.join(both, key).select(*key, share("qgs").alias("qg"), upto("vgs").alias("vg"), "vec_id", "v", "leaves")
+    right = indexed.join(both, key).select(*key, share("vgs").alias("vg"), upto("qgs").alias("qg"), "vec_id", "v", "leaf")
 
     def meet(key, qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(vs):
@@ -169,7 +188,48 @@ def nearest(
                     best.add(r, q[r] @ x[cc].T, v_ids[cc], lambda i, j, r=r, cc=cc: np.einsum("ij,ij->i", q[r[i]], x[cc[j]]))
         return pd.DataFrame({"query_id": ids[best.q], "vec_id": best.v, "score": best.s})
 
-    by = ["branch", "qg", "vg"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(meet, found_type)
+    by = [*key, "qg", "vg"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(meet, "query_id long, vec_id long, score double")
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _in_tree(rows: DataFrame, dim: int, total: int, k: int, every: int, recall: float, fan: int, sample_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, v, dim, branch, leaves) of the queries, a row for each branch that they visit, and (vec_id, v, dim, branch, leaf) of all rows(vec_id, v)."""
+    spark = rows.sparkSession
+    drawn = draw(rows, sample_rows, "vec_id", "v").toArrow().sort_by("vec_id")
+    sample = drawn["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.float64)
+    depth = max(1, min(LEVELS, math.ceil(math.log(max(1.0, total / LEAF_ROWS), fan))))
+    tree = fit_tree(sample, fan, depth)
+    tries = sample[:: max(1, len(sample) // CALIBRATION)][:CALIBRATION]
+    visits = calibrate(tree, sample, tries, min(k, len(sample)), recall) if total > k + 1 else tree.leaves
+    levels = spark.sparkContext.broadcast(tree.levels)  # fan ** LEVELS + ... centroids
+
+    def to_leaf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Tree(levels.value, fan)
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(leaf=own.assign(np.stack(pdf["v"].tolist()).astype(np.float64)).astype("int32"))
+
+    indexed = materialize(rows.mapInPandas(to_leaf, "vec_id long, v array<double>, leaf int"), "leaves")
+    held = np.zeros(tree.leaves, np.int64)
+    for r in indexed.groupBy("leaf").count().collect():  # a row a leaf
+        held[r["leaf"]] = r["count"]
+
+    def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Tree(levels.value, fan)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            out = []
+            for qid, vec, leaves in zip(pdf["vec_id"], pdf["v"], own.visits(np.stack(pdf["v"].tolist()).astype(np.float64), visits, held, k + 1)):
+                by: dict[int, list[int]] = {}
+                for x in leaves:
+                    by.setdefault(x // fan, []).append(x)
+                out += [(qid, vec, b, own_leaves) for b, own_leaves in by.items()]
+            yield pd.DataFrame(out, columns=["vec_id", "v", "branch", "leaves"]).astype({"branch": "int32"})
+
+    asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(to_visits, "vec_id long, v array<double>, branch int, leaves array<int>")
+    branch = F.floor(F.col("leaf") / fan).cast("int").alias("branch")
+    at = F.lit(dim).alias("dim")
+    return asked.select("vec_id", "v", at, "branch", "leaves"), indexed.select("vec_id", "v", at, branch, "leaf")
