@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -259,20 +258,6 @@ def merkle_orders(spark, sf_dir):
     return lists.select("tree_id", F.transform("all", lambda x: x["leaf"]).alias("leaves"))
 
 
-@query("SELECT l_orderkey AS tree_id, count(*) AS n_leaves, true AS all_included FROM lineitem GROUP BY l_orderkey")
-def inclusion_verify(spark, sf_dir):
-    @F.pandas_udf("boolean")
-    def included(x: pd.Series) -> pd.Series:
-        def every(leaves) -> bool:
-            leaves = [bytes(b) for b in leaves]
-            root = hashing.merkle_root(leaves)
-            return all(hashing.verify_inclusion(leaf, i, len(leaves), hashing.inclusion_proof(leaves, i), root) for i, leaf in enumerate(leaves))
-
-        return x.map(every)
-
-    return merkle_orders(spark, sf_dir).select("tree_id", F.size("leaves").cast("long").alias("n_leaves"), included("leaves").alias("all_included"))
-
-
 @query("""WITH f AS (SELECT l_orderkey AS tree_id, count(*) AS n, count(DISTINCT l_linenumber) AS d, min(l_linenumber) AS lo, max(l_linenumber) AS hi, max(l_orderkey % 7 + 1) AS declared FROM lineitem GROUP BY l_orderkey)
 SELECT tree_id, CASE WHEN n <> declared THEN 'COUNT' ELSE 'INDEX' END AS fault FROM f WHERE n <> declared OR lo < 0 OR hi >= declared OR d < n""")
 def index_bijectivity(spark, sf_dir):

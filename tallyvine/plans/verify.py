@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import Refused, leaves_of, link_column, load
 from ..functions.schemas import problems
 from ..functions.signatures import signature_fault
+from ..session import materialize
 from . import outcome, topology
 from . import templates as catalogue
 
@@ -71,6 +72,67 @@ def leaves(rev: DataFrame) -> DataFrame:
     return rows.select("tree_id", "link", code("raw", "hash_alg").alias("code")).where("code is not null")
 
 
+def _digest(text: Column | str) -> Column:
+    """The bytes of a link given as hex text; none for what is no such text."""
+    return F.coalesce(F.try_to_binary(F.substring(text, 3, 1 << 30), F.lit("hex")), F.lit(b""))
+
+
+def _sources(rev: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scope, digest, template): the templates of each tree, and those given."""
+    own = rev.where("parse_error is null and kind = 'template'").select(F.col("tree_id").alias("scope"), F.col("link").alias("digest"), F.col("raw").alias("template"))
+    return own, templates.select(F.col("tree_id").cast("string").alias("scope"), F.col("link").alias("digest"), F.col("raw").alias("template"))
+
+
+def _resolved(rev: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tree_id, link, raw, digest) of all objects, and (scope, digest, template, named) of what they name: named says whether the template hashes to its link."""
+    objects = rev.where("parse_error is null and kind = 'object'").select("tree_id", "link", "raw", _digest("revision_type").alias("digest"))
+    found = catalogue.resolve(objects.select(F.col("tree_id").alias("scope"), "digest").distinct(), *_sources(rev, templates)).drop("source")
+    return objects, found.withColumn("named", link_column(F.col("template"), F.lit("sha3"))["link"].eqNullSafe(F.col("digest")))
+
+
+def computes(rev: DataFrame, templates: DataFrame) -> DataFrame:
+    """tree_id, link, code of objects whose template names an ancestor that is found nowhere, or asks for computed checks, itself or by an ancestor.
+
+    No compute module is ever run, so what asks for one is refused.
+    """
+    parts = "struct<ancestry: array<string>, verification: string>"
+    objects, found = _resolved(rev, templates)
+    found = found.where("template is not null").select("scope", "digest", F.from_json("template", parts).alias("t"))
+    above = found.select("scope", F.col("digest").alias("below"), F.explode("t.ancestry").alias("name")).select("scope", "below", _digest("name").alias("digest"))
+    met = catalogue.resolve(above.select("scope", "digest").distinct(), *_sources(rev, templates))
+    met = met.select("scope", "digest", F.col("template").isNull().alias("gone"), F.from_json("template", parts)["verification"].isNotNull().alias("asks"))
+    facts = above.join(met, ["scope", "digest"]).groupBy("scope", F.col("below").alias("digest")).agg(F.max("gone").alias("gone"), F.max("asks").alias("asks"))
+    facts = found.select("scope", "digest", F.col("t.verification").isNotNull().alias("own")).join(facts, ["scope", "digest"], "left")
+    code = F.when(F.col("gone"), "ANCESTOR_TEMPLATE_NOT_FOUND").when(F.col("own") | F.col("asks"), "COMPUTE_UNSUPPORTED")
+    facts = facts.select(F.col("scope").alias("tree_id"), "digest", code.alias("code")).where("code is not null")
+    return objects.join(facts, ["tree_id", "digest"]).select("tree_id", "link", "code")
+
+
+def linked(rev: DataFrame, roots: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """tree_id, stage, code, link for roots(tree): trees that lead to a cycle of trees, or to a tree that is not verified by outcomes(tree_id, outcome).
+
+    A tree that any of its trees fails by is not verified either, so failures go up level by level.
+    """
+    edges = materialize(topology.tree_edges(rev), "tree_edges")
+    levels = materialize(topology.tree_levels(edges, roots), "tree_levels")
+    bad = materialize(outcomes.where("outcome <> 'verified'").select(F.col("tree_id").alias("needs")).distinct(), "bad_trees")
+    new = failed = materialize(edges.join(bad, "needs", "left_semi").select("tree").distinct(), "failed_trees")
+    while new.limit(1).count():
+        up = edges.join(new.select(F.col("tree").alias("needs")), "needs", "left_semi").select("tree").distinct()
+        new = materialize(up.join(failed, "tree", "left_anti"), "failed_trees")
+        failed = failed.unionByName(new)
+    looped = levels.where("fault is not null").select("tree")
+    for_loops = reach = materialize(edges.join(looped.select(F.col("tree").alias("needs")), "needs", "left_semi").select("tree").unionByName(looped).distinct(), "looped_trees")
+    while for_loops.limit(1).count():
+        up = edges.join(for_loops.select(F.col("tree").alias("needs")), "needs", "left_semi").select("tree").distinct()
+        for_loops = materialize(up.join(reach, "tree", "left_anti"), "looped_trees")
+        reach = reach.unionByName(for_loops)
+    none = F.lit(None).cast("binary").alias("link")
+    cycle = roots.select("tree").distinct().join(reach, "tree", "left_semi").select(F.col("tree").alias("tree_id"), F.lit(0.0).alias("stage"), F.lit("CROSS_TREE_CYCLE_DETECTED").alias("code"), none)
+    rest = roots.select("tree").distinct().join(reach, "tree", "left_anti").join(failed, "tree", "left_semi")
+    return cycle.unionByName(rest.select(F.col("tree").alias("tree_id"), F.lit(0.5).alias("stage"), F.lit("LINKED_TREE_RESOLUTION_FAILED").alias("code"), none))
+
+
 def payloads(rev: DataFrame, templates: DataFrame) -> DataFrame:
     """tree_id, link, code of objects whose template is found nowhere (TEMPLATE_NOT_FOUND), or is not what its link names or refuses the payload (SCHEMA_OR_CHAIN_FAILED).
 
@@ -87,12 +149,7 @@ def payloads(rev: DataFrame, templates: DataFrame) -> DataFrame:
                 out.append(False)
         return pd.Series(out, dtype=object)
 
-    good = rev.where("parse_error is null")
-    objects = good.where("kind = 'object'").select("tree_id", "link", "raw", F.expr("coalesce(try_to_binary(substring(revision_type, 3), 'hex'), binary(''))").alias("digest"))
-    own = good.where("kind = 'template'").select(F.col("tree_id").alias("scope"), F.col("link").alias("digest"), F.col("raw").alias("template"))
-    given = templates.select(F.col("tree_id").cast("string").alias("scope"), F.col("link").alias("digest"), F.col("raw").alias("template"))
-    found = catalogue.resolve(objects.select(F.col("tree_id").alias("scope"), "digest").distinct(), own, given).drop("source")
-    found = found.withColumn("named", link_column(F.col("template"), F.lit("sha3"))["link"].eqNullSafe(F.col("digest")))
+    objects, found = _resolved(rev, templates)
     rows = objects.join(found.withColumnRenamed("scope", "tree_id"), ["tree_id", "digest"], "left")
     missing = F.col("template").isNull()
     bad = ~F.coalesce("named", F.lit(False)) | ~fits("template", "raw")
@@ -126,6 +183,7 @@ def verify(rev: DataFrame, policy: str = "strict", known: DataFrame | None = Non
         # a policy may let a missing template pass with a warning, so that does not stop the later stages
         stage = F.when(F.col("code") == "TEMPLATE_NOT_FOUND", 2.5).otherwise(2.0)
         found = found.unionByName(payloads(rev, templates).select("tree_id", stage.alias("stage"), "code", "link"))
+        found = found.unionByName(computes(rev, templates).select("tree_id", F.lit(3.0).alias("stage"), "code", "link"))
     if more is not None:
         found = found.unionByName(more)
     found = outcome.gate(found)
