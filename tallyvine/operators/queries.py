@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canonical, hashing
-from ..plans import disclosure, outcome, templates, topology
+from ..plans import changes, disclosure, outcome, templates, topology, verify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -157,19 +157,26 @@ def signatures_for(spark, sf_dir):
     return topology.signatures_for(revisions(spark, sf_dir))
 
 
-@query("SELECT o_custkey AS tree_id, count(DISTINCT o_orderpriority) AS n_signers FROM orders WHERE o_orderpriority <> '' GROUP BY o_custkey")
+@query("SELECT o_custkey AS tree_id, count(DISTINCT o_orderpriority) AS n_signers FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 9 <> 0 GROUP BY o_custkey")
 def distinct_signers(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderpriority <> ''")
-    return rows.groupBy(F.col("o_custkey").alias("tree_id")).agg(F.countDistinct("o_orderpriority").alias("n_signers"))
+    """Orders as signatures by their priority: some are no signatures, some have an empty signer."""
+    o = table(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderstatus") == "P", "object").otherwise("signature")
+    signer = F.when(F.col("o_orderkey") % 9 == 0, "").otherwise(F.col("o_orderpriority"))
+    return verify.signers(o.select(F.col("o_custkey").alias("tree_id"), kind.alias("kind"), signer.alias("signer")))
 
 
-@query("""SELECT l_orderkey AS tree_id, l_linenumber AS line, l_partkey AS target FROM lineitem l
-WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p.p_partkey % 10 <> 0) AND NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = l.l_partkey) AND l_partkey <> 0""")
+@query("""SELECT l_orderkey AS tree_id, l_linenumber AS link, l_partkey AS target FROM lineitem l
+WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p.p_partkey % 10 <> 0) AND NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = l.l_partkey) AND l_partkey % 50 <> 20""")
 def dangling_links(spark, sf_dir):
-    links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tree_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("target"))
-    part = table(spark, sf_dir, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("target"))
-    known = part.unionByName(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target")))
-    return links.where("target <> 0").join(known, "target", "left_anti").select("tree_id", "line", "target")
+    """Lines as anchors that refer to parts: some parts are unknown, some links are the zero link."""
+    bytes_of = lambda c: F.encode(F.col(c).cast("string"), "UTF-8")
+    target = F.when(F.col("l_partkey") % 50 == 20, F.lit(bytearray(verify.ZERO))).otherwise(bytes_of("l_partkey"))
+    rev = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tree_id"), F.col("l_linenumber").alias("link"), F.array(target).alias("structural_links"))
+    none = F.lit(None).cast("bigint").alias("tree_id")
+    known = table(spark, sf_dir, "part").where("p_partkey % 10 <> 0").select(none, bytes_of("p_partkey").alias("target"))
+    known = known.unionByName(table(spark, sf_dir, "supplier").select(none, bytes_of("s_suppkey").alias("target")))
+    return verify.dangling_links(rev, known).select("tree_id", "link", F.decode("target", "UTF-8").cast("bigint").alias("target"))
 
 
 @query("""WITH d AS (SELECT DISTINCT c_custkey AS scope, c_nationkey AS digest FROM customer)
@@ -206,15 +213,6 @@ def lineage(spark, sf_dir):
     return templates.lineage(template_edges(spark, sf_dir)).where("fault is null").select("link", "depth", "ancestor")
 
 
-@query("""SELECT c_custkey AS link, CAST(coalesce(CASE WHEN c_custkey % 3 = 0 THEN 10 + c_custkey % 7 END, CASE WHEN n_nationkey % 2 = 0 THEN 100 + n_nationkey END, 1000 + n_regionkey) AS BIGINT) AS depth_limit
-FROM customer JOIN nation ON c_nationkey = n_nationkey""")
-def bounds_nearest(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    own = F.when(F.col("c_custkey") % 3 == 0, 10 + F.col("c_custkey") % 7)
-    up = F.when(F.col("n_nationkey") % 2 == 0, 100 + F.col("n_nationkey"))
-    return c.select(F.col("c_custkey").alias("link"), templates.nearest(own, up, 1000 + F.col("n_regionkey")).cast("long").alias("depth_limit"))
-
-
 @query(f"""WITH RECURSIVE {TEMPLATES_SQL}, u AS (SELECT DISTINCT c_mktsegment AS scope, 'n' || c_nationkey AS digest FROM customer), c AS (
   SELECT * FROM u UNION SELECT c.scope, t.derives_from FROM c JOIN t ON t.link = c.digest WHERE t.derives_from IS NOT NULL
 ) SELECT scope, digest FROM c""")
@@ -232,14 +230,6 @@ def missing_templates(spark, sf_dir):
     return templates.missing(template_closure(spark, sf_dir), used.where("scope < 'C'"), builtin)
 
 
-@query("""WITH f AS (SELECT doc_id, strlen(text) AS size, sha256(text) AS hash FROM documents WHERE text IS NOT NULL)
-SELECT f.doc_id, g.first AS matched, CAST(f.size AS BIGINT) AS size FROM f JOIN (SELECT size, hash, min(doc_id) AS first FROM f GROUP BY size, hash) g ON f.size = g.size AND f.hash = g.hash""")
-def file_content_match(spark, sf_dir):
-    f = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("hash"))
-    first = f.groupBy("size", "hash").agg(F.min("doc_id").alias("matched"))
-    return f.join(first, ["size", "hash"]).select("doc_id", "matched", "size")
-
-
 @query("""WITH RECURSIVE l0 AS (
   SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, sha256(l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey) AS h FROM lineitem
 ), r AS (
@@ -266,7 +256,7 @@ def index_bijectivity(spark, sf_dir):
 
 
 CONDITIONS_SQL = """c AS (
-  SELECT conv_id AS tree_id, CASE turn % 6 WHEN 1 THEN 'TEMPLATE_NOT_FOUND' WHEN 3 THEN 'TIMESTAMP_UNAVAILABLE' WHEN 5 THEN 'VERIFICATION_FAILED' END AS code,
+  SELECT conv_id AS tree_id, CASE turn % 6 WHEN 1 THEN 'TEMPLATE_NOT_FOUND' WHEN 3 THEN 'TIMESTAMP_UNAVAILABLE' WHEN 5 THEN CASE WHEN conv_id % 2 = 0 THEN 'VERIFICATION_FAILED' ELSE 'ANCESTOR_TEMPLATE_NOT_FOUND' END END AS code,
          CASE turn % 6 WHEN 1 THEN 2.0 WHEN 3 THEN 3.0 ELSE 4.0 END AS stage
   FROM conversations WHERE turn % 6 IN (1, 3, 5) AND (conv_id + turn) % 4 <> 0
 ), g AS (SELECT c.* FROM c LEFT JOIN (SELECT tree_id, min(stage) AS stop FROM c WHERE stage <= 2 GROUP BY tree_id) s ON s.tree_id = c.tree_id WHERE stop IS NULL OR stage <= stop)"""
@@ -274,7 +264,7 @@ CONDITIONS_SQL = """c AS (
 
 def conditions(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where("turn % 6 in (1, 3, 5) and (conv_id + turn) % 4 <> 0")
-    code = F.expr("CASE turn % 6 WHEN 1 THEN 'TEMPLATE_NOT_FOUND' WHEN 3 THEN 'TIMESTAMP_UNAVAILABLE' WHEN 5 THEN 'VERIFICATION_FAILED' END")
+    code = F.expr("CASE turn % 6 WHEN 1 THEN 'TEMPLATE_NOT_FOUND' WHEN 3 THEN 'TIMESTAMP_UNAVAILABLE' WHEN 5 THEN CASE WHEN conv_id % 2 = 0 THEN 'VERIFICATION_FAILED' ELSE 'ANCESTOR_TEMPLATE_NOT_FOUND' END END")
     stage = F.expr("CAST(CASE turn % 6 WHEN 1 THEN 2.0 WHEN 3 THEN 3.0 ELSE 4.0 END AS DOUBLE)")
     return outcome.gate(rows.select(F.col("conv_id").alias("tree_id"), stage.alias("stage"), code.alias("code")))
 
@@ -292,8 +282,9 @@ def outcome_by_tree(spark, sf_dir):
     return outcome.outcomes(trees, conditions(spark, sf_dir), "offline")
 
 
-@query(f"""WITH {CONDITIONS_SQL}, o AS ({_outcome_sql('false')}), f AS ({_outcome_sql("code IN ('TEMPLATE_NOT_FOUND', 'TIMESTAMP_UNAVAILABLE')")})
-SELECT 'strict' AS policy, outcome, count(*) AS n_trees FROM o GROUP BY outcome UNION ALL SELECT 'offline', outcome, count(*) FROM f GROUP BY outcome UNION ALL SELECT 'debug', outcome, count(*) FROM f GROUP BY outcome""")
+@query(f"""WITH {CONDITIONS_SQL}, o AS ({_outcome_sql('false')}), f AS ({_outcome_sql("code IN ('TEMPLATE_NOT_FOUND', 'TIMESTAMP_UNAVAILABLE')")}),
+d AS ({_outcome_sql("code IN ('TEMPLATE_NOT_FOUND', 'TIMESTAMP_UNAVAILABLE', 'ANCESTOR_TEMPLATE_NOT_FOUND')")})
+SELECT 'strict' AS policy, outcome, count(*) AS n_trees FROM o GROUP BY outcome UNION ALL SELECT 'offline', outcome, count(*) FROM f GROUP BY outcome UNION ALL SELECT 'debug', outcome, count(*) FROM d GROUP BY outcome""")
 def policy_matrix(spark, sf_dir):
     trees, found = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("tree_id")), conditions(spark, sf_dir)
     rows = [outcome.outcomes(trees, found, p).groupBy("outcome").agg(F.count("*").alias("n_trees")).withColumn("policy", F.lit(p)) for p in outcome.PRESETS]
@@ -331,18 +322,16 @@ def narrowing_sets(spark, sf_dir):
     return k.select("tree_id", F.array_join(templates.widened(F.col("child"), F.col("parent")).cast("array<string>"), ",").alias("widened"))
 
 
-@query("""SELECT page_id, CASE regexp_extract(lower(url), '[.]([a-z0-9]+)$', 1) WHEN 'html' THEN 'text/html' WHEN 'json' THEN 'application/json' WHEN 'txt' THEN 'text/plain' WHEN 'pdf' THEN 'application/pdf'
-WHEN 'png' THEN 'image/png' WHEN 'csv' THEN 'text/csv' WHEN 'xml' THEN 'application/xml' ELSE 'application/octet-stream' END AS content_type FROM pages""")
+@query("SELECT page_id, CASE lower(regexp_extract(url, '[^.]*$')) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in changes.CONTENT_TYPES.items()) + " ELSE 'application/octet-stream' END AS content_type FROM pages")
 def content_type_guess(spark, sf_dir):
-    types = {"html": "text/html", "json": "application/json", "txt": "text/plain", "pdf": "application/pdf", "png": "image/png", "csv": "text/csv", "xml": "application/xml"}
-    ext = F.regexp_extract(F.lower("url"), "[.]([a-z0-9]+)$", 1)
-    got = F.create_map(*[F.lit(x) for kv in types.items() for x in kv])
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.get(F.array(got), F.lit(0))[ext], F.lit("application/octet-stream")).alias("content_type"))
+    return table(spark, sf_dir, "pages").select("page_id", changes.content_type(F.col("url")).alias("content_type"))
 
 
-@query("SELECT o_custkey AS tree_id, count(*) AS n_revisions FROM orders GROUP BY o_custkey HAVING count(*) > 16")
+@query("""WITH n AS (SELECT conv_id AS tree_id, CASE role WHEN 'user' THEN 'objects' WHEN 'assistant' THEN 'signatures' ELSE 'anchors' END AS bound FROM conversations),
+c AS (SELECT tree_id, bound, count(*) AS n FROM n GROUP BY tree_id, bound UNION ALL SELECT tree_id, 'revisions', count(*) FROM n GROUP BY tree_id)
+SELECT * FROM c WHERE n > CASE bound WHEN 'signatures' THEN 2 WHEN 'revisions' THEN 5 WHEN 'anchors' THEN 0 ELSE 1000000 END""")
 def bounds_lint(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("tree_id")).agg(F.count("*").alias("n_revisions")).where("n_revisions > 16")
+    return templates.over_bounds(revisions(spark, sf_dir), {"revisions": 5, "signatures": 2, "anchors": 0})
 
 
 @query("SELECT l_orderkey AS tree_id, l_linenumber AS line, l_linenumber % 3 <> 0 AS ok, CASE l_linenumber % 3 WHEN 1 THEN sha256('' || l_partkey) WHEN 2 THEN sha256('' || l_partkey) END AS digest FROM lineitem")
@@ -374,3 +363,15 @@ def sha3_links(spark, sf_dir):
 def event_pointers(spark, sf_dir):
     """The pointer map of every event's properties."""
     return canonical.flatten_rows(table(spark, sf_dir, "events"), "props", "event_id")
+
+
+@query(f"""WITH {CONDITIONS_SQL}, j AS (
+  SELECT tree_id, bool_or(code NOT IN ('TEMPLATE_NOT_FOUND', 'TIMESTAMP_UNAVAILABLE')) AS failed,
+    string_agg('{{"code":"' || code || '","revision_hash":""}}', ',' ORDER BY stage, code) FILTER (WHERE code IN ('TEMPLATE_NOT_FOUND', 'TIMESTAMP_UNAVAILABLE')) AS warnings,
+    string_agg('{{"code":"' || code || '","revision_hash":""}}', ',' ORDER BY stage, code) FILTER (WHERE code NOT IN ('TEMPLATE_NOT_FOUND', 'TIMESTAMP_UNAVAILABLE')) AS errors FROM g GROUP BY tree_id
+) SELECT t.tree_id, CASE WHEN j.tree_id IS NULL THEN '{{"result":"verified"}}' WHEN failed THEN '{{"result":"failed","errors":[' || errors || ']}}'
+  ELSE '{{"result":"verified_with_warnings","warnings":[' || warnings || ']}}' END AS json FROM (SELECT DISTINCT conv_id AS tree_id FROM conversations) t LEFT JOIN j ON j.tree_id = t.tree_id""")
+def outcome_json(spark, sf_dir):
+    """Outcomes with their errors or warnings as JSON texts."""
+    trees, found = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("tree_id")), conditions(spark, sf_dir).withColumn("link", F.lit(None).cast("binary"))
+    return outcome.as_json(outcome.outcomes(trees, found, "offline"), found, "offline")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, hashing
-from ..plans import batches, disclosure, verify
+from ..plans import batches, catalogue, disclosure, templates, verify
 from ..session import materialize
 from ..sources import records
 from .queries import query, table
@@ -89,9 +89,9 @@ def _decoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return materialize(records.decode(trees), "revisions"), given
 
 
-@query(f"""WITH {PLANTED_SQL} SELECT tree_id, CASE WHEN code IN ('TEMPLATE_NOT_FOUND', 'ANCESTOR_TEMPLATE_NOT_FOUND') THEN 0 ELSE n END AS n_errors,
-  CASE WHEN code IN ('TEMPLATE_NOT_FOUND', 'ANCESTOR_TEMPLATE_NOT_FOUND') THEN n ELSE 0 END AS n_warnings,
-  CASE WHEN n = 0 THEN 'verified' WHEN code IN ('TEMPLATE_NOT_FOUND', 'ANCESTOR_TEMPLATE_NOT_FOUND') THEN 'verified_with_warnings' ELSE 'failed' END AS outcome FROM n""")
+@query(f"""WITH {PLANTED_SQL} SELECT tree_id, CASE WHEN code IN ('TEMPLATE_NOT_FOUND', 'COMPUTE_UNSUPPORTED') THEN 0 ELSE n END AS n_errors,
+  CASE WHEN code IN ('TEMPLATE_NOT_FOUND', 'COMPUTE_UNSUPPORTED') THEN n ELSE 0 END AS n_warnings,
+  CASE WHEN n = 0 THEN 'verified' WHEN code IN ('TEMPLATE_NOT_FOUND', 'COMPUTE_UNSUPPORTED') THEN 'verified_with_warnings' ELSE 'failed' END AS outcome FROM n""")
 def verify_trees(spark, sf_dir):
     """Decoding and full verification of planted trees under the offline preset."""
     rev, given = _decoded(spark, sf_dir)
@@ -199,3 +199,137 @@ def redact_verify(spark, sf_dir):
     facts = leaves.groupBy("tree_id").agg(F.count(F.when(F.col("disclosed"), 1)).alias("n_disclosed"), F.coalesce(F.max("error"), F.lit("")).alias("error"))
     good = disclosure.verify_redacted(lied).select("tree_id", "ok")
     return facts.join(good, "tree_id", "left").select("tree_id", "n_disclosed", F.coalesce("ok", F.lit(False)).alias("ok"), "error")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 IN (1, 3) OR text IS NULL THEN 'FILE_CONTENT_MISMATCH' ELSE '' END AS code FROM (SELECT doc_id, min(text) AS text FROM documents GROUP BY doc_id)""")
+def file_contents(spark, sf_dir):
+    """File objects of the documents' texts, held against files: of one in five the digest is another, of one the size, of one the name (which plays no part)."""
+    docs = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.min("text").alias("text"))
+    content = F.encode("text", "UTF-8")
+    case = F.col("doc_id") % 5
+    sha3 = hashing.digest_column(F.when(case == 1, F.concat(content, F.lit(b"x"))).otherwise(content), "sha3")
+    size = F.octet_length("text") + F.when(case == 3, 1).otherwise(0)
+    payloads = F.struct(F.coalesce(size, F.lit(0)).alias("size"), F.coalesce(hashing.render_hex(sha3), F.lit("0x")).alias("hash"), F.lit("FIPS_202-SHA3-256").alias("hash_type"))
+    rev = docs.select(F.col("doc_id").cast("string").alias("tree_id"), F.lit(b"x").alias("link"), F.lit("object").alias("kind"), F.lit(catalogue.link_of_name("file")).alias("revision_type"), F.lit(None).cast("string").alias("parse_error"), F.to_json(F.struct(payloads.alias("payloads"))).alias("raw"))
+    rev = materialize(rev, "file_objects")
+    files = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("tree_id"), content.alias("content"))
+    found = verify.file_faults(rev, files).select(F.col("tree_id").cast("bigint").alias("doc_id"), "code")
+    return docs.select("doc_id").join(found, "doc_id", "left").na.fill("", ["code"])
+
+
+_TYPES = [*("0x1620" + d for d in catalogue.FOUNDATION.values()), *("0x1620" + d for d in catalogue.TIMESTAMPS), "0x1e20" + catalogue.FOUNDATION["file"], "0x1620" + "AB" * 32, "0x1720" + "ab" * 32, "none"]
+_KINDS = ["Anchor", "Object", *["Signature"] * 5, "Template", *["Timestamp"] * 3, "Object", "Unknown", "Unknown", "Unknown"]
+
+
+@query("WITH k AS (SELECT o_orderkey, o_orderkey % 15 AS i FROM orders) SELECT o_orderkey AS link, CASE i " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + """ END AS kind,
+  i IN (0, 2, 3, 4, 5, 6, 8, 9, 10) AS branch FROM k""")
+def named_kinds(spark, sf_dir):
+    """What revision types name."""
+    which = F.get(F.array(*map(F.lit, _TYPES)), F.col("i").cast("int"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("link"), F.pmod("o_orderkey", F.lit(15)).alias("i"))
+    rows = rows.withColumn("kind", catalogue.kind_named(which))
+    return rows.select("link", "kind", catalogue.is_branch(F.col("kind")).alias("branch"))
+
+
+@query(f"""WITH p AS (SELECT o_orderkey AS k, o_orderkey % 4 AS t, o_custkey % 5 AS f FROM orders)
+SELECT k AS link, CASE WHEN f = 1 THEN 'empty signer_did' WHEN t = 0 AND f = 2 THEN 'empty turn_id' WHEN t = 1 AND f = 2 THEN 'empty session_id' WHEN t = 1 AND f = 3 THEN 'reason' WHEN t = 1 AND f = 4 THEN 'last_turn_id'
+  WHEN t = 2 AND f = 2 THEN 'empty session_id' WHEN t = 2 AND f = 3 THEN 'merkle_root' WHEN t = 2 AND f = 4 THEN 'artifact_count' WHEN t = 3 AND f = 2 THEN 'empty prompt_shown' ELSE '' END AS fault FROM p""")
+def payload_rules(spark, sf_dir):
+    """The first rule that typed payloads break, with faults planted."""
+    p = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("link"), (F.col("o_orderkey") % 4).alias("t"), (F.col("o_custkey") % 5).alias("f"))
+    name = F.get(F.array(*map(F.lit, ("audit_user_prompt", "audit_session_close", "audit_round_anchor", "audit_hitl_approval"))), F.col("t").cast("int"))
+    t, f, good = F.col("t"), F.col("f"), F.lit("0x1620" + "ab" * 32)
+    members = {
+        "signer_did": F.when(f == 1, "").otherwise("did:x"),
+        "session_id": F.when((f == 2) & t.isin(1, 2), "").otherwise("s"),
+        "turn_id": F.when((t == 0) & (f == 2), "").otherwise(good),
+        "reason": F.when((t == 1) & (f == 3), "bored").otherwise("idle_timeout"),
+        "last_turn_id": F.when((t == 1) & (f == 4), "0x12").otherwise(""),
+        "leaf_hashes": F.array(good, good),
+        "merkle_root": F.when((t == 2) & (f == 3), "0x12").otherwise("0x" + "cd" * 32),
+        "artifact_count": F.when((t == 2) & (f == 4), 3).otherwise(2),
+        "prompt_shown": F.when((t == 3) & (f == 2), None).otherwise("yes?"),
+    }
+    payload = F.to_json(F.struct(*(v.alias(k) for k, v in members.items())))
+    return p.select("link", F.coalesce(catalogue.payload_fault(name, payload), F.lit("")).alias("fault"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, turn // 3 AS g, CASE WHEN (conv_id + turn) % 7 = 0 THEN turn - 1 ELSE turn END AS n FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+l AS (SELECT *, lag(n) OVER (PARTITION BY conv_id, g ORDER BY turn) AS before FROM c) SELECT conv_id, g, turn, n, before FROM l WHERE n <= before""")
+def order_lint(spark, sf_dir):
+    """Turns whose number does not rise within their group of three."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    n = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, F.col("turn") - 1).otherwise(F.col("turn"))
+    return catalogue.order_faults(c.withColumn("g", F.floor(F.col("turn") / 3)).withColumn("n", n), ["conv_id", "g"], ["turn"], "n")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'own' || c_custkey END AS own, c_nationkey AS n FROM customer)
+SELECT 'c' || k AS link, coalesce(own, CASE WHEN n % 3 = 0 THEN 'n' || n WHEN n_regionkey % 2 = 0 THEN 'r' || n_regionkey END, 'permissive') AS bounds FROM c JOIN nation ON n = n_nationkey
+UNION ALL SELECT 'n' || n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'n' || n_nationkey WHEN n_regionkey % 2 = 0 THEN 'r' || n_regionkey ELSE 'permissive' END FROM nation
+UNION ALL SELECT 'r' || r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN 'r' || r_regionkey ELSE 'permissive' END FROM region""")
+def bounds_nearest(spark, sf_dir):
+    """The bounds of customers, nations and regions as templates that derive from one another."""
+    c, n, r = (table(spark, sf_dir, x) for x in ("customer", "nation", "region"))
+    text = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    nation = F.when(F.col("n_nationkey") % 3 == 0, text("n", "n_nationkey"))
+    region = F.when(F.col("r_regionkey") % 2 == 0, text("r", "r_regionkey"))
+    up = n.select("n_nationkey", "n_regionkey")
+    own = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("own"), F.col("c_custkey").cast("string")))
+    rows = c.join(F.broadcast(up), F.col("c_nationkey") == F.col("n_nationkey")).select(text("c", "c_custkey").alias("link"), own.alias("bounds"), F.array(text("r", "n_regionkey"), text("n", "n_nationkey")).alias("ancestry"))  # 25 nations
+    rows = rows.unionByName(n.select(text("n", "n_nationkey").alias("link"), nation.alias("bounds"), F.array(text("r", "n_regionkey")).alias("ancestry")))
+    rows = rows.unionByName(r.select(text("r", "r_regionkey").alias("link"), region.alias("bounds"), F.array().cast("array<string>").alias("ancestry")))
+    return templates.bounds_of(rows, "permissive")
+
+
+#: What a turn's revision is, by turn mod 4, and whether it can only be hidden.
+_FAMILIES = ("audit_user_prompt", "audit_agent_response", "derived", "unknown")
+DERIVED, UNKNOWN = "0x1620" + "d1" * 32, "0x1620" + "d2" * 32
+
+
+def _selective(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(revisions, entries, leaves): turns as revisions, the first of a conversation the parent of the others, given away under the profile."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    types = F.array(*(F.lit({"derived": DERIVED, "unknown": UNKNOWN}.get(f) or catalogue.link_of_name(f)) for f in _FAMILIES))
+    nonce = F.concat(F.lit("0x"), F.md5(F.concat_ws("/", "conv_id", "turn")))
+    payloads = F.struct(F.lit("did:x").alias("signer_did"), F.col("turn").cast("string").alias("turn_id"), F.lit("now").alias("created_at"), F.lit("hidden").alias("secret"))
+    method = F.when(F.col("turn") % 8 == 5, "scalar").otherwise("tree")
+    kind = F.get(types, (F.col("turn") % 4).cast("int"))
+
+    def made(up: Column) -> Column:
+        return F.to_json(F.struct(kind.alias("revision_type"), nonce.alias("nonce"), F.col("turn").alias("local_timestamp"), F.lit("v").alias("version"), method.alias("method"), payloads.alias("payloads"), up.alias("previous_revision")))
+
+    link = lambda: canonical.link_column(F.col("raw"), F.lit("sha3"))["link"]
+    first = materialize(rows.where("turn = 0").withColumn("raw", made(F.lit(None).cast("string"))).withColumn("link", link()), "firsts")
+    rest = rows.where("turn > 0").join(first.select("conv_id", hashing.render_hex(F.col("link")).alias("up")), "conv_id").withColumn("raw", made(F.col("up"))).drop("up").withColumn("link", link())
+    every = first.unionByName(rest)
+    rev = materialize(every.select(F.col("conv_id").cast("string").alias("tree_id"), "turn", "link", "raw", F.lit("object").alias("kind"), kind.alias("revision_type"), method.alias("method"), F.lit("sha3").alias("hash_alg"), F.lit(None).cast("string").alias("file_name")), "selective")
+    known = [(catalogue.link_of_name(n), None) for n in sorted(catalogue.TYPED)] + [(DERIVED, catalogue.link_of_name("audit_user_prompt"))]
+    policy = disclosure.by_profile(rev, spark.createDataFrame(known, "link string, derives_from string"))
+    entries, leaves = disclosure.export_selective(rev, materialize(policy, "policy"))
+    return rev, materialize(entries, "entries"), materialize(leaves, "leaves")
+
+
+SELECTIVE_SQL = """s AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS tree_id, turn, conv_id % 5 = 0 AS cut FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0))"""
+
+
+@query(f"""WITH {SELECTIVE_SQL} SELECT tree_id, turn, CASE WHEN turn % 8 = 5 THEN 'Hidden' ELSE 'FieldRedacted' END AS disclosure,
+  CAST(CASE WHEN turn % 8 = 5 THEN 0 ELSE CASE WHEN turn % 4 = 3 THEN 1 ELSE 4 END + CASE WHEN turn > 0 THEN 1 ELSE 0 END END AS BIGINT) AS n_disclosed FROM s""")
+def selective_export(spark, sf_dir):
+    """How each revision is given away under the profile of the typed payloads, and how many of its leaves are readable."""
+    rev, entries, leaves = _selective(spark, sf_dir)
+    shown = leaves.where("disclosed").groupBy("tree_id", "link").agg(F.count("*").alias("n_disclosed"))
+    out = rev.select("tree_id", "link", "turn").join(entries.select("tree_id", "link", "disclosure"), ["tree_id", "link"]).join(shown, ["tree_id", "link"], "left")
+    return out.select("tree_id", "turn", "disclosure", F.coalesce("n_disclosed", F.lit(0)).cast("long").alias("n_disclosed"))
+
+
+@query(f"""WITH {SELECTIVE_SQL} SELECT tree_id, turn, 'REDACTION_FAILED' AS code FROM s WHERE turn % 10 = 9 AND turn % 4 <> 3 AND turn % 8 <> 5
+UNION ALL SELECT tree_id, turn, 'CHAIN_BREAK' FROM s WHERE cut AND turn > 0 AND turn % 8 <> 5""")
+def selective_verify(spark, sf_dir):
+    """Faults of selective trees: values that were changed, and first revisions that were taken out of one conversation in five."""
+    rev, entries, leaves = _selective(spark, sf_dir)
+    at = rev.select("tree_id", "link", "turn")
+    lied = leaves.join(at, ["tree_id", "link"]).withColumn("value", F.when((F.col("turn") % 10 == 9) & (F.col("pointer") == "/payloads/turn_id") & F.col("disclosed"), '"0"').otherwise(F.col("value")))
+    cut = (F.col("tree_id").cast("long") % 5 == 0) & (F.col("turn") == 0)
+    kept = entries.join(at, ["tree_id", "link"]).where(~cut).drop("turn")
+    found = disclosure.verify_selective(kept, lied.where(~cut).drop("turn"))
+    return found.join(at, ["tree_id", "link"]).select("tree_id", "turn", "code")

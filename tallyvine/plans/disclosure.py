@@ -9,15 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..functions.canonical import Refused, leaves_of, load
+from ..functions.canonical import Refused, flatten_rows, leaves_of, link_column, load
+from . import catalogue, templates
 
 LEAVES = "tree_id string, link binary, idx int, pointer string, disclosed boolean, value string, salt binary, value_commit binary, error string"
 
 
+def pattern_regex(pattern: str) -> str:
+    """The regular expression of a pattern in which * stands for one segment of digits."""
+    escaped = "".join("[0-9]+" if seg == "*" else "\\Q" + seg + "\\E" for seg in _split(pattern))
+    return f"^{escaped}$"
+
+
 def matches(pointer: Column, pattern: str) -> Column:
     """Whether a pointer fits a pattern in which * stands for one segment of digits."""
-    escaped = "".join("[0-9]+" if seg == "*" else "\\Q" + seg + "\\E" for seg in _split(pattern))
-    return pointer.rlike(f"^{escaped}$")
+    return pointer.rlike(pattern_regex(pattern))
 
 
 def _split(pattern: str) -> list[str]:
@@ -103,3 +109,85 @@ def verify_redacted(leaves: DataFrame) -> DataFrame:
 def choose(rev: DataFrame, policy: DataFrame) -> DataFrame:
     """tree_id, link, disclosure of each revision: what policy(tree_id, link, disclosure) says, Full by default."""
     return rev.select("tree_id", "link").join(policy, ["tree_id", "link"], "left").select("tree_id", "link", F.coalesce("disclosure", F.lit("Full")).alias("disclosure"))
+
+
+def _pointers(rev: DataFrame) -> DataFrame:
+    """tree_id, link, pointer of every leaf of each revision."""
+    rows = flatten_rows(rev.select("tree_id", "link", "raw"), "raw", "tree_id", "link").where("error is null")
+    return rows.where(~F.col("pointer").startswith("/leaves")).select("tree_id", "link", "pointer")
+
+
+def _shown(pointers: DataFrame, patterns: dict[str, tuple[str, ...]], kind: str) -> DataFrame:
+    """tree_id, link, pointers: those of pointers(tree_id, link, pointer, and the column `kind`) that fit a pattern of their kind."""
+    fits = F.lit(False)
+    for name, own in patterns.items():
+        fits = fits | ((F.col(kind) == name) & F.coalesce(F.col("pointer").rlike("|".join(map(pattern_regex, own))), F.lit(False)))
+    return pointers.where(fits).groupBy("tree_id", "link").agg(F.collect_set("pointer").alias("pointers"))
+
+
+def pseudonymous(rev: DataFrame) -> DataFrame:
+    """tree_id, link, disclosure, pointers: the preset that leaves of the typed payloads only who, when and of what turn readable; all other revisions stay whole."""
+    types = {catalogue.link_of_name(n): p for n, p in catalogue.READABLE.items()}
+    own = rev.where((F.col("kind") == "object") & F.col("revision_type").isin(*types))
+    pointers = _pointers(own).join(own.select("tree_id", "link", "revision_type"), ["tree_id", "link"])
+    shown = _shown(pointers, types, "revision_type")
+    none = F.array().cast("array<string>")
+    return own.select("tree_id", "link").join(shown, ["tree_id", "link"], "left").select("tree_id", "link", F.lit("FieldRedacted").alias("disclosure"), F.coalesce("pointers", none).alias("pointers"))
+
+
+#: The profile of the typed payloads: what stays readable of each family, with all that derives from it; None is all of it, for the family itself alone.
+PROFILE: dict[str, tuple[str, ...] | None] = {catalogue.link_of_name("audit_user_turn_marker"): None} | {catalogue.link_of_name(n): p for n, p in catalogue.READABLE.items()}
+
+
+def by_profile(rev: DataFrame, known: DataFrame, profile: dict[str, tuple[str, ...] | None] = PROFILE, whole: tuple[str, ...] = ()) -> DataFrame:
+    """tree_id, link, disclosure, pointers of the objects that are not shown whole under a profile {link: patterns, None: all}.
+
+    The nearest template with patterns in the lineage of an object's template, by known(link as hex text, derives_from), decides. A profile's None
+    and the links in `whole` hold for the template itself alone. Templates without any of these, and such whose lineage is not
+    known to its end or longer than nine, show nothing. What is not shown whole is Hidden if it is hashed as one, else its revision_type is shown too.
+    """
+    patterns = {k: v for k, v in profile.items() if v is not None}
+    line = templates.lineage(known.select("link", "derives_from"), 8)
+    broken = line.where("fault is not null").select("link").distinct().withColumn("broken", F.lit(True))
+    near = line.where(F.col("fault").isNull() & F.col("ancestor").isin(*patterns)).groupBy("link").agg(F.min_by("ancestor", "depth").alias("family"))
+    classes = known.select("link").distinct().join(broken, "link", "left").join(near, "link", "left")
+    head = F.col("link").isin([k for k, v in profile.items() if v is None] + list(whole))
+    classes = classes.select(F.col("link").alias("revision_type"), F.when(F.col("broken").isNull(), F.coalesce("family", F.when(head, "all"))).alias("family"))
+    objects = rev.where("kind = 'object'").join(classes, "revision_type", "left").where(~F.col("family").eqNullSafe("all")).select("tree_id", "link", "raw", "method", "family")
+    redacted = objects.where("method = 'tree'")
+    pointers = _pointers(redacted).join(redacted.select("tree_id", "link", "family"), ["tree_id", "link"])
+    shown = _shown(pointers.withColumn("family", F.coalesce("family", F.lit("none"))), {"none": ("/revision_type",)} | {k: (*v, "/revision_type") for k, v in patterns.items()}, "family")
+    out = redacted.select("tree_id", "link").join(shown, ["tree_id", "link"], "left")
+    none = F.array().cast("array<string>")
+    out = out.select("tree_id", "link", F.lit("FieldRedacted").alias("disclosure"), F.coalesce("pointers", none).alias("pointers"))
+    return out.unionByName(objects.where("method = 'scalar'").select("tree_id", "link", F.lit("Hidden").alias("disclosure"), none.alias("pointers")))
+
+
+def export_selective(rev: DataFrame, policy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tree_id, link, disclosure, raw, file_name) of what is given away, and the LEAVES of what is redacted.
+
+    policy(tree_id, link, disclosure, pointers) names revisions that are not Full. The parent's link of a redacted one is always shown; hidden
+    signatures and anchors are left out, other hidden revisions are a link alone; only whole revisions keep their file name.
+    """
+    rows = rev.join(policy.select("tree_id", "link", "disclosure", "pointers"), ["tree_id", "link"], "left").withColumn("disclosure", F.coalesce("disclosure", F.lit("Full")))
+    rows = rows.where(~((F.col("disclosure") == "Hidden") & F.col("kind").isin("signature", "anchor")))
+    whole = F.col("disclosure") == "Full"
+    entries = rows.select("tree_id", "link", "disclosure", F.when(whole, F.col("raw")).alias("raw"), F.when(whole, F.col("file_name")).alias("file_name"))
+    up = F.when(F.get_json_object("raw", "$.previous_revision").isNotNull(), F.array(F.lit("/previous_revision"))).otherwise(F.array().cast("array<string>"))
+    paths = rows.where("disclosure = 'FieldRedacted'").select("tree_id", "link", F.array_union("pointers", up).alias("pointers"))
+    return entries, redact(rev, paths)
+
+
+def verify_selective(entries: DataFrame, leaves: DataFrame) -> DataFrame:
+    """tree_id, link, code of what is wrong with export_selective()'s tables: HASH_MISMATCH, REDACTION_FAILED, CHAIN_BREAK (a parent that is not in the tree). The lowest link is the first."""
+    keys = entries.select("tree_id", F.col("link").alias("up")).distinct()
+    whole = entries.where("disclosure = 'Full'")
+    alg = F.when(F.substring(F.hex("link"), 1, 4) == "1620", "sha3").when(F.substring(F.hex("link"), 1, 4) == "1E20", "blake3")
+    wrong = whole.where(~F.coalesce(link_column(F.col("raw"), alg)["link"] == F.col("link"), F.lit(False))).select("tree_id", "link", F.lit("HASH_MISMATCH").alias("code"))
+    good = verify_redacted(leaves)
+    redacted = entries.where("disclosure = 'FieldRedacted'").select("tree_id", "link").join(good, ["tree_id", "link"], "left")
+    failed = redacted.where(~F.coalesce("ok", F.lit(False))).select("tree_id", "link", F.lit("REDACTION_FAILED").alias("code"))
+    said = leaves.where("disclosed and pointer = '/previous_revision' and value <> 'null'").select("tree_id", "link", F.regexp_replace("value", '"', "").alias("text"))
+    said = said.unionByName(whole.select("tree_id", "link", F.get_json_object("raw", "$.previous_revision").alias("text")).where("text is not null"))
+    broken = said.withColumn("up", H.parse_hex(F.col("text"))).where("up is not null").join(keys, ["tree_id", "up"], "left_anti").select("tree_id", "link", F.lit("CHAIN_BREAK").alias("code"))
+    return wrong.unionByName(failed).unionByName(broken)

@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The decision points in order, and what each preset makes of them (F: fail, W: warn).
-POINTS = ("template_not_found", "ancestor_template_not_found", "trust_store_required", "timestamp_unavailable", "batch_proof_failed", "unsigned_template", "wasm_execution_failed")
+POINTS = ("timestamp_unavailable", "template_not_found", "ancestor_template_not_found", "wasm_execution_failed", "batch_proof_failed", "wasm_untrusted_signer", "unsigned_template")
 PRESETS = {"strict": "FFFFFFF", "offline": "WWFWFFF", "debug": "WWWWWWW"}
 # The condition codes that a policy decides, with their points; all other codes always fail.
 ROUTES = {
+    "TIMESTAMP_UNAVAILABLE": "timestamp_unavailable",
     "TEMPLATE_NOT_FOUND": "template_not_found",
     "ANCESTOR_TEMPLATE_NOT_FOUND": "ancestor_template_not_found",
-    "TRUST_STORE_REQUIRED": "trust_store_required",
-    "TIMESTAMP_UNAVAILABLE": "timestamp_unavailable",
+    "COMPUTE_UNSUPPORTED": "wasm_execution_failed",
+    "TRUST_STORE_REQUIRED": "wasm_execution_failed",
     "BATCH_PROOF_FAILED": "batch_proof_failed",
+    "WASM_UNTRUSTED_SIGNER": "wasm_untrusted_signer",
     "UNSIGNED_TEMPLATE": "unsigned_template",
-    "COMPUTE_UNSUPPORTED": "wasm_execution_failed",
 }
 
 
@@ -52,3 +53,33 @@ def weakest(trust: DataFrame, strength: dict[str, int]) -> DataFrame:
     """tree_id, trust: the weakest of each tree's trust values; unknown values are the weakest of all."""
     rank = F.coalesce(F.create_map(*[F.lit(x) for kv in strength.items() for x in kv])[F.col("trust")], F.lit(-1))
     return trust.groupBy("tree_id").agg(F.min_by("trust", F.struct(rank, F.col("trust"))).alias("trust"))
+
+
+def concerns(custom: dict[str, str]) -> list[str]:
+    """What is doubtful about a policy {point: "F" or "W"} (points not named fail); nothing is refused for it."""
+    warns = {p for p in POINTS if custom.get(p, "F") == "W"}
+    out = []
+    if "wasm_untrusted_signer" in warns and "wasm_execution_failed" not in warns:
+        out.append("conflicting_wasm_policy")
+    if "wasm_untrusted_signer" in warns and not warns - {"wasm_untrusted_signer", "ancestor_template_not_found"}:
+        out.append("untrusted_wasm_without_other_relaxation")
+    if "unsigned_template" in warns and "wasm_untrusted_signer" not in warns:
+        out.append("unsigned_weaker_than_untrusted")
+    return out
+
+
+def as_json(outcomes: DataFrame, conditions: DataFrame, policy: str = "strict", custom: dict[str, str] | None = None) -> DataFrame:
+    """tree_id, json: each outcome with what decided it: the errors of a failed tree, the warnings of one verified with warnings.
+
+    Conditions are listed by stage, code and link. A tree's conditions are gathered in one row, as the text needs them.
+    """
+    marked = conditions.withColumn("severity", severity(F.col("code"), policy, custom))
+    link = F.coalesce(F.concat(F.lit("0x"), F.lower(F.hex("link"))), F.lit(""))
+    one = F.struct("stage", F.col("code"), link.alias("revision_hash"))
+    bare = lambda c: F.transform(F.array_sort(c), lambda x: F.struct(x["code"].alias("code"), x["revision_hash"].alias("revision_hash")))
+    lists = marked.groupBy("tree_id").agg(
+        bare(F.collect_list(F.when(F.col("severity") == "error", one))).alias("errors"), bare(F.collect_list(F.when(F.col("severity") == "warning", one))).alias("warnings")
+    )
+    rows = outcomes.select("tree_id", "outcome").join(lists, "tree_id", "left")
+    errors, warnings = (F.when(F.col("outcome") == o, F.col(c)) for o, c in (("failed", "errors"), ("verified_with_warnings", "warnings")))
+    return rows.select("tree_id", F.to_json(F.struct(F.col("outcome").alias("result"), warnings.alias("warnings"), errors.alias("errors"))).alias("json"))

@@ -78,3 +78,26 @@ def missing(needed: DataFrame, *present: DataFrame) -> DataFrame:
 def widened(child: Column, parent: Column) -> Column:
     """The members of an array column that its parent's lacks: none if the child narrows the parent."""
     return F.array_sort(F.array_except(child, parent))
+
+
+def over_bounds(rev: DataFrame, bounds: dict[str, int]) -> DataFrame:
+    """tree_id, bound, n of trees(tree_id, kind) with more "revisions", "objects", "templates", "signatures" or "anchors" than bounds allow; what bounds do not name is free."""
+    kinds = {"object": "objects", "template": "templates", "signature": "signatures", "anchor": "anchors"}
+    name = F.lit(None).cast("string")
+    for kind, bound in kinds.items():
+        name = F.when(F.col("kind") == kind, bound).otherwise(name)
+    counts = rev.groupBy("tree_id", name.alias("bound")).agg(F.count("*").alias("n"))
+    counts = counts.where("bound is not null").unionByName(counts.groupBy("tree_id").agg(F.sum("n").alias("n")).select("tree_id", F.lit("revisions").alias("bound"), "n"))
+    over = F.lit(False)
+    for bound, most in bounds.items():
+        over = over | ((F.col("bound") == bound) & (F.col("n") > most))
+    return counts.where(over)
+
+
+def bounds_of(templates: DataFrame, permissive: str) -> DataFrame:
+    """link, bounds of templates(link, bounds, ancestry from the root down): a template's own, else those of the nearest ancestor that is known and has any, else permissive."""
+    own = templates.select("link", "bounds").where("link is not null")
+    up = templates.select("link", F.posexplode("ancestry").alias("place", "ancestor"))
+    near = up.join(own.select(F.col("link").alias("ancestor"), F.col("bounds").alias("inherited")).where("inherited is not null"), "ancestor")
+    near = near.groupBy("link").agg(F.max_by("inherited", "place").alias("inherited"))
+    return own.join(near, "link", "left").select("link", F.coalesce("bounds", "inherited", F.lit(permissive)).alias("bounds"))

@@ -52,11 +52,12 @@ def last_revision(rev: DataFrame) -> DataFrame:
 
     A tree that has none of these has no last revision, unless its one revision is all it has and starts it.
     """
+    rev = rev.where("link is not null")
     first = genesis(rev).select("tree_id", "link").distinct().withColumn("starts", F.lit(True))
     ends = tips(rev).join(first, ["tree_id", "link"], "left").where("starts is null")
     order = F.struct((F.col("kind") == "template").cast("int").alias("t"), F.col("link").alias("link"))
     found = ends.groupBy("tree_id").agg(F.min(order).alias("best")).select("tree_id", F.col("best.link").alias("link"))
-    sizes = rev.where("link is not null").groupBy("tree_id").agg(F.countDistinct("link").alias("n")).where("n = 1")
+    sizes = rev.groupBy("tree_id").agg(F.countDistinct("link").alias("n")).where("n = 1")
     return found.unionByName(first.join(sizes, "tree_id", "left_semi").select("tree_id", "link"))
 
 

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import Refused, leaves_of, link_column, load
+from ..functions.hashing import digest_column, parse_hex
 from ..functions.schemas import problems
 from ..functions.signatures import signature_fault
 from ..session import materialize
+from . import catalogue as names
 from . import outcome, topology
-from . import templates as catalogue
+from . import templates as resolution
 
 ZERO = bytes(32)
 
@@ -86,24 +88,26 @@ def _sources(rev: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame
 def _resolved(rev: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tree_id, link, raw, digest) of all objects, and (scope, digest, template, named) of what they name: named says whether the template hashes to its link."""
     objects = rev.where("parse_error is null and kind = 'object'").select("tree_id", "link", "raw", _digest("revision_type").alias("digest"))
-    found = catalogue.resolve(objects.select(F.col("tree_id").alias("scope"), "digest").distinct(), *_sources(rev, templates)).drop("source")
+    found = resolution.resolve(objects.select(F.col("tree_id").alias("scope"), "digest").distinct(), *_sources(rev, templates)).drop("source")
     return objects, found.withColumn("named", link_column(F.col("template"), F.lit("sha3"))["link"].eqNullSafe(F.col("digest")))
 
 
 def computes(rev: DataFrame, templates: DataFrame) -> DataFrame:
     """tree_id, link, code of objects whose template names an ancestor that is found nowhere, or asks for computed checks, itself or by an ancestor.
 
-    No compute module is ever run, so what asks for one is refused.
+    No compute module is ever run, so what asks for one is refused; a timestamp's is unavailable.
     """
     parts = "struct<ancestry: array<string>, verification: string>"
     objects, found = _resolved(rev, templates)
     found = found.where("template is not null").select("scope", "digest", F.from_json("template", parts).alias("t"))
     above = found.select("scope", F.col("digest").alias("below"), F.explode("t.ancestry").alias("name")).select("scope", "below", _digest("name").alias("digest"))
-    met = catalogue.resolve(above.select("scope", "digest").distinct(), *_sources(rev, templates))
+    met = resolution.resolve(above.select("scope", "digest").distinct(), *_sources(rev, templates))
     met = met.select("scope", "digest", F.col("template").isNull().alias("gone"), F.from_json("template", parts)["verification"].isNotNull().alias("asks"))
     facts = above.join(met, ["scope", "digest"]).groupBy("scope", F.col("below").alias("digest")).agg(F.max("gone").alias("gone"), F.max("asks").alias("asks"))
     facts = found.select("scope", "digest", F.col("t.verification").isNotNull().alias("own")).join(facts, ["scope", "digest"], "left")
-    code = F.when(F.col("gone"), "ANCESTOR_TEMPLATE_NOT_FOUND").when(F.col("own") | F.col("asks"), "COMPUTE_UNSUPPORTED")
+    stamp = F.concat(F.lit("0x"), F.lower(F.hex("digest")))
+    refused = F.when(names.kind_named(stamp) == "Timestamp", "TIMESTAMP_UNAVAILABLE").otherwise("COMPUTE_UNSUPPORTED")
+    code = F.when(F.col("gone"), "ANCESTOR_TEMPLATE_NOT_FOUND").when(F.col("own") | F.col("asks"), refused)
     facts = facts.select(F.col("scope").alias("tree_id"), "digest", code.alias("code")).where("code is not null")
     return objects.join(facts, ["tree_id", "digest"]).select("tree_id", "link", "code")
 
@@ -156,6 +160,29 @@ def payloads(rev: DataFrame, templates: DataFrame) -> DataFrame:
     return rows.select("tree_id", "link", F.when(missing, "TEMPLATE_NOT_FOUND").when(bad, "SCHEMA_OR_CHAIN_FAILED").alias("code")).where("code is not null")
 
 
+def file_faults(rev: DataFrame, files: DataFrame) -> DataFrame:
+    """tree_id, link, code of file objects for which files(tree_id, content) hold nothing of the size and digest that they name (FILE_CONTENT_MISMATCH), or that name none.
+
+    Names play no part. Only files of a size that some object of their tree names are hashed, once for each hash that is named.
+    """
+    shape = "struct<size: long, hash: string, hash_type: string>"
+    objects = rev.where((F.col("parse_error").isNull()) & (F.col("kind") == "object") & (F.col("revision_type") == names.link_of_name("file")))
+    p = F.from_json(F.get_json_object("raw", "$.payloads"), shape)
+    alg = F.when(p["hash_type"] == "FIPS_202-SHA3-256", "sha3").when(p["hash_type"] == "BLAKE3-256", "blake3")
+    objects = objects.select("tree_id", "link", p["size"].alias("size"), parse_hex(p["hash"]).alias("hash"), alg.alias("alg"))
+    wanted = objects.select("tree_id", "size", "alg").where("alg is not null").distinct()
+    near = files.select("tree_id", F.octet_length("content").cast("long").alias("size"), "content").join(wanted, ["tree_id", "size"])
+    made = F.when(F.col("alg") == "sha3", digest_column(F.when(F.col("alg") == "sha3", F.col("content")), "sha3")).otherwise(digest_column(F.when(F.col("alg") == "blake3", F.col("content")), "blake3"))
+    near = near.select("tree_id", "size", "alg", made.alias("hash")).distinct()
+    return objects.join(near, ["tree_id", "size", "alg", "hash"], "left_anti").select("tree_id", "link", F.lit("FILE_CONTENT_MISMATCH").alias("code"))
+
+
+def signers(rev: DataFrame) -> DataFrame:
+    """tree_id, n_signers: the distinct signers of each tree's signatures; empty ones do not count, trees without any have no row."""
+    named = rev.where((F.col("kind") == "signature") & (F.coalesce("signer", F.lit("")) != ""))
+    return named.groupBy("tree_id").agg(F.countDistinct("signer").alias("n_signers"))
+
+
 def order(rev: DataFrame) -> DataFrame:
     """Stage 2: children older than their parents."""
     return _conditions(topology.timestamp_violations(rev.where("parse_error is null")), 2.0, "SCHEMA_OR_CHAIN_FAILED")

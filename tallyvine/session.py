@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder is set only where it is unset (tests)."""
+    """spark.checkpoint.dir. Where it is unset, a temporary folder is set on a local master (tests), and on a cluster nothing can be written: an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         sc = spark.sparkContext
         path = sc.getCheckpointDir()
         if not path:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = tempfile.mkdtemp(prefix="tallyvine-")
             sc.setCheckpointDir(path)
     return path.rstrip("/")
