@@ -26,7 +26,7 @@ def test_chain_and_last_of_odd_trees(spark):
     last = {r["tree_id"]: r["link"] for r in topology.last_revision(df).collect()}
     assert last == {"one": "s", "none": "a", "lone": "g", "run": "b"}
     order = sorted((r["tree_id"], r["ord"], r["link"], r["edge_type"]) for r in topology.dag_order(df.where("tree_id = 'run'")).collect())
-    assert [x[2:] for x in order] == [("g", "chain"), ("b", "chain"), ("c", "branch"), ("t", "orphan")]
+    assert [x[2:] for x in order] == [("g", "chain"), ("c", "branch"), ("b", "chain"), ("t", "orphan")]
     for f in (topology.chain, topology.last_revision, topology.dag_order, topology.cycle_nodes):
         assert f(df.limit(0)).count() == 0
 
