@@ -3,29 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Rows of an Arrow batch; texts are long, so batches are kept small.
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one is set only where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        sc = spark.sparkContext
-        path = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-        if not path:
-            path = tempfile.mkdtemp(prefix="tallyvine-")
-            sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs a reread."""
     spark = df.sparkSession
@@ -36,7 +25,10 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches that Python workers get: by rows and, where Spark has that setting, by bytes."""
+    """Bound the Arrow batches that Python workers get: by rows and, where Spark has that setting, by bytes.
+
+    The session's own settings are lowered, and stay so: the frames that need them are evaluated later, by the caller.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,7 +187,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def jaccard_join(
-    docs: DataFrame, threshold: float = 0.8, n: int = 5, runs: int = 4, small: int = 32, depth: int = 4, stay: float = 0.7, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, small: int = 32, depth: int = 4, stay: float = 0.7, id_col: str = "doc_id", text_col: str = "text",
     hashed: bool = False,
 ) -> DataFrame:
     """doc_id, class_id, n_links, copies: every row with the class it belongs to and the number of rows it is linked to; text_hash too if hashed.
@@ -197,9 +198,10 @@ def jaccard_join(
     Null and empty texts have no shingles: each is a class of its own without links, as is a row with a null id (class null).
     Texts of fewer than n words are one shingle. An empty table gives no rows; other columns are ignored.
 
-    Each run follows TRIED tokens a node; a pair at the threshold shares a token with probability 0.8 and so still meets after any
-    number of splits with probability 0.93 at least, after 4 runs with 0.9999 or more. Buckets are compared exactly, larger
-    ones as pairs of blocks of BLOCK sets dealt over tasks. Of a pair of blocks come counts for each set and a spanning forest of
+    Each run follows TRIED tokens a node; a pair at the threshold shares a token with probability 0.8 and so still meets after
+    four splits with probability 0.93. There are as many runs as independent ones need for `recall` of such pairs: 4. All draw
+    from one set of SAMPLES tokens, so they are not quite independent: of 4,000 simulated pairs at 0.8 one was missed, of as
+    many at 0.85 none. Buckets are compared exactly, larger ones as pairs of blocks of BLOCK sets dealt over tasks. Of a pair of blocks come counts for each set and a spanning forest of
     its links, never the pairs; a pair that meets in several buckets counts in the first of them.
     """
     spark = docs.sparkSession
@@ -225,6 +227,10 @@ def jaccard_join(
                 "sample": [_sampled(s).tolist() if len(s) else None for s in found],
             })
 
+    met_once = 1.0
+    for _ in range(depth):
+        met_once = 1 - (1 - threshold * met_once) ** TRIED
+    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - met_once)))
     keyed = materialize(base.withColumn("text_hash", F.xxhash64("text")).mapInPandas(to_sets, "doc_id long, text_hash long, k1 long, k2 long, n long, sample array<int>"), "sets")
     full = keyed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     copies = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
@@ -268,7 +274,7 @@ def jaccard_join(
     # Only sets that met another are read again; their list is broadcast if it was counted to be short.
     wanted = materialize(copies.join(own, "set_id"), "wanted")
     listed = wanted.select(F.col("first").alias("wanted_id")).distinct()
-    few_wanted = wanted.count() <= BROADCAST_ROWS // 10
+    few_wanted = wanted.count() <= BROADCAST_ROWS // 10 and met.count() <= BROADCAST_ROWS // 2  # sets, and their places: some 24 bytes each
     if few_wanted:
         listed, wanted = F.broadcast(listed), F.broadcast(wanted)
     again = base.join(listed, F.col("doc_id") == F.col("wanted_id"), "left_semi").mapInPandas(to_shingles, "k1 long, k2 long, shingles binary")

@@ -33,19 +33,30 @@ def _worker_state(key: int, content) -> tuple:
             from tokenizers import Tokenizer
 
             tok = Tokenizer.from_str(data.decode())
-            _loaded[key] = (lambda ws: [len(x) for x in tok.encode_batch(ws, add_special_tokens=False)], {})
+            encode = lambda ws: [len(x) for x in tok.encode_batch(ws, add_special_tokens=False)]
+            _loaded[key] = (encode, {} if _drops_blanks(encode) else None)
     return _loaded[key]
 
 
+def _drops_blanks(encode) -> bool:
+    """Whether blanks and line feeds are no tokens or parts of tokens, so that words can be counted by themselves."""
+    words = ["a", "bc", "Word", "12", "é"]
+    alone = dict(zip(words, encode(words)))
+    tried = [" ", "\n", "  \n ", *(x + gap + y for x in words for gap in (" ", "\n", " \n  ") for y in words)]
+    want = [0, 0, 0, *(alone[x] + alone[y] for x in words for _ in range(3) for y in words)]
+    return encode(tried) == want
+
+
 def _by_bytes(items: list[str], limit: int) -> Iterator[list[str]]:
     """Runs of items of about limit bytes each; a longer item is a run of its own."""
     run, n = [], 0
     for x in items:
-        if run and n + len(x) > limit:
+        size = len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass"))
+        if run and n + size > limit:
             yield run
             run, n = [], 0
         run.append(x)
-        n += len(x) + 8
+        n += size + 8
     if run:
         yield run
 
@@ -71,7 +82,8 @@ def _word_lengths(texts: list[str], encode, memory: dict[str, int]) -> list[int]
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs.
 
-    tokenizer_path: a tokenizers .json whose pre-tokenizer drops white space, or a sentencepiece .model (encoded whole).
+    tokenizer_path: a tokenizers .json or a sentencepiece .model. Texts are split at blanks and line feeds only if the tokenizer is found
+    to drop them; others are encoded whole.
     The file is read by the driver and sent to the workers once. Null and empty texts: 0 tokens, 0 bytes. Repeated rows and
     null ids are returned as they come; other columns are ignored. Nothing is shuffled.
     """

@@ -33,6 +33,10 @@ def test_token_counts(spark):
     assert sorted((r["n_bytes"], r["n_tokens"]) for r in got) == want
     assert all(r["over_limit"] == (r["n_tokens"] > 2048) for r in got)
     assert token_counts.count_tokens(docs_of(spark, []), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    keeps = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # white space is part of its tokens
+    rows = [(i, t) for i, t in AWKWARD if i != 6] + [(8, "x" * 20_000)]
+    got = token_counts.count_tokens(docs_of(spark, rows), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(len(keeps.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
 
 
 def test_packing(spark):
