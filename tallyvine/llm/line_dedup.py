@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .common import materialize, small_batches, texts_of
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -44,52 +46,61 @@ def line_hashes(docs: DataFrame, least: int = 20) -> DataFrame:
 
 
 class Runs:
-    """Runs of (h1, h2, n, keeper), each sorted by hash and written in the shared folder, in levels.
+    """Runs of (h1, h2, n, keeper, first), each sorted by hash and written in the shared folder, in levels.
 
     fanout runs of a level are merged into one run of the next level, so a hash is rewritten once a level and a new batch
-    meets few runs. Batches come in falling order of doc_id: the batch that sees a hash first therefore holds its largest
-    doc_id, and what later batches add to it is a count without a keeper.
+    meets few runs. A hash has one row with `first`, in the batch that saw it first; what later batches add to it is a count and
+    their largest doc_id. state() names what is written, and reopen() goes on from there in another job.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+    def __init__(self, spark: SparkSession, fanout: int = 3, levels: list[list[str]] | None = None):
+        self.spark, self.fanout, self.levels = spark, fanout, levels or [[]]
 
-    def _write(self, run: DataFrame) -> DataFrame:
-        return materialize(run.sortWithinPartitions("h1", "h2"), "run")
+    def state(self) -> dict:
+        """The paths of the runs by level."""
+        return {"fanout": self.fanout, "levels": [list(level) for level in self.levels]}
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, state: dict) -> Runs:
+        return cls(spark, state["fanout"], [list(level) for level in state["levels"]])
+
+    def _write(self, run: DataFrame) -> str:
+        path = f"{shared_dir(self.spark)}/tallyvine/run-{uuid.uuid4().hex}"
+        run.select("h1", "h2", "n", "keeper", "first").sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(path)
+        return path
+
+    def _read(self, paths: list[str]) -> DataFrame | None:
+        return self.spark.read.schema("h1 long, h2 long, n long, keeper long, first boolean").parquet(*paths) if paths else None
 
     def all(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        if not runs:
-            return None
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out
+        return self._read([path for level in self.levels for path in level])
 
     def add(self, batch: DataFrame) -> None:
-        """batch: (doc_id, h1, h2)."""
+        """batch: (doc_id, h1, h2). Batches come in any order of doc_id."""
         own = batch.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
         if (old := self.all()) is not None:
-            keys = old.where(F.col("keeper").isNotNull()).select("h1", "h2")  # one row for each hash
-            fresh = own.join(keys, ["h1", "h2"], "left_anti")
-            known = own.join(keys, ["h1", "h2"], "left_semi").withColumn("keeper", F.lit(None).cast("long"))
-            own = fresh.unionByName(known)
+            keys = old.where("first").select("h1", "h2")
+            fresh = own.join(keys, ["h1", "h2"], "left_anti").withColumn("first", F.lit(True))
+            own = fresh.unionByName(own.join(keys, ["h1", "h2"], "left_semi").withColumn("first", F.lit(False)))
+        else:
+            own = own.withColumn("first", F.lit(True))
         self.levels[0].append(self._write(own))
         at = 0
         while len(self.levels[at]) >= self.fanout:
-            merged = self.levels[at][0]
-            for r in self.levels[at][1:]:
-                merged = merged.unionByName(r)
-            merged = self._write(_merged(merged))
+            merged = self._write(_merged(self._read(self.levels[at])))
             self.levels[at] = []
             at += 1
             if at == len(self.levels):
                 self.levels.append([])
             self.levels[at].append(merged)
 
+    def repeated(self, in_docs: int) -> DataFrame:
+        """h1, h2, keeper of the hashes that in_docs rows or more hold; keeper is the largest doc_id."""
+        return _merged(self.all()).where(F.col("n") >= in_docs).select("h1", "h2", "keeper")
+
 
 def _merged(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+    return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"), F.max("first").alias("first"))
 
 
 def _victims(base: DataFrame, least: int, in_docs: int, batches: int, fanout: int) -> DataFrame:
@@ -107,7 +118,7 @@ def _victims(base: DataFrame, least: int, in_docs: int, batches: int, fanout: in
     runs = Runs(base.sparkSession, fanout)
     for i in range(len(cuts) + 1):
         runs.add(hashes.where(F.col("batch") == i).select("doc_id", "h1", "h2"))
-    doomed = materialize(_merged(runs.all()).where(F.col("n") >= in_docs).select("h1", "h2", "keeper"), "doomed")
+    doomed = materialize(runs.repeated(in_docs), "doomed")
     victims = hashes.join(doomed, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")) | F.col("keeper").isNull())
     # Rows of one doc_id may differ in text; each drops what it holds of the set.
     return victims.groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))

@@ -146,6 +146,27 @@ def test_line_dedup(spark):
     assert by[10] == ("keep", 2, 1) and by[11] == ("short", 2, 1) and by[12] == (f"{line}\n{line}", 2, 0)
     assert by[1] == ("", 1, 0) and by[2] == ("", 1, 0) and by[7][2] == 0
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
+    whole = line_dedup.dedup_lines_of(docs_of(spark, [*rows, (20, None)]))
+    assert whole.columns == ["doc_id", "text", "lang", "rank"] and {r["doc_id"]: r["text"] for r in whole.collect()}[11] == "short"
+    assert line_dedup.dedup_lines_of(docs_of(spark, [])).count() == 0
+
+
+def test_line_runs_go_on_in_another_job(spark):
+    """Batches in any order, with runs that were closed and opened again in between, count as one table does."""
+    rng = np.random.default_rng(12)
+    lines = [f"a line that is long enough, number {i}" for i in range(40)]
+    docs = [(i, "\n".join(rng.choice(lines, 3))) for i in range(120)]
+    state = line_dedup.Runs(spark, fanout=2).state()
+    for at in (60, 0, 90, 30):
+        runs = line_dedup.Runs.reopen(spark, state)
+        runs.add(line_dedup.line_hashes(spark.createDataFrame(docs[at : at + 30], "doc_id long, text string")))
+        state = runs.state()
+    got = collections.Counter(r["keeper"] for r in line_dedup.Runs.reopen(spark, state).repeated(3).collect())
+    held = collections.defaultdict(set)
+    for i, t in docs:
+        for x in t.split("\n"):
+            held[x].add(i)
+    assert got == collections.Counter(max(x) for x in held.values() if len(x) >= 3)
 
 
 def brute_links(texts, threshold=0.8):
