@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, line_dedup, packing, pii, quality, token_counts, topk
+from . import ann, bpe, chat, jaccard, line_dedup, packing, pii, quality, token_counts, topk, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,11 +68,23 @@ def op10_hof_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op12_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by rules, else by its host's reputation: a page's outcome is the label of the document of its id, bad if of no quality or toxic."""
+    pages, labels = _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels")
+    bad = F.when(F.col("quality").isNotNull(), ((F.col("quality") == 0) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int"))
+    outcomes = pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", bad.alias("bad"))
+    return url_filter.judge(pages, URL_RULES, outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kmeans_tree, op2_kneser_ney, op3_pattern_packing, op4_skip_chain_pii, op5_perspectives, op6_line_runs, op7_token_counts, op8_chosen_path, op9_block_topk, op10_hof_bpe)
+    f.__name__: f for f in (op1_kmeans_tree, op2_kneser_ney, op3_pattern_packing, op4_skip_chain_pii, op5_perspectives, op6_line_runs, op7_token_counts, op8_chosen_path, op9_block_topk, op10_hof_bpe, op12_host_reputation)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_host_reputation": url_filter.judge_sql(URL_RULES),
     "op5_perspectives": chat.ROTATE_SQL,
     "op6_line_runs": """
 WITH lines AS (
