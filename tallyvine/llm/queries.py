@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, line_dedup, packing, pii, quality, token_counts, topk, url_filter
+from . import ann, bpe, chat, jaccard, line_dedup, packing, pii, quality, repair, token_counts, topk, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,6 +68,17 @@ def op10_hof_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_role_earley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations: their faults, the cheapest repair, its edits and the hash of what they make of it."""
+    turns = _read(spark, sf_dir, "conversations")
+    facts, edits = repair.repair(repair.damage(turns))
+    found = facts.withColumnRenamed("conv_id", "c").join(repair.digests(edits).withColumnRenamed("conv_id", "c2"), F.col("c").eqNullSafe(F.col("c2")))
+    every = turns.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    out = every.join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    zeros = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
@@ -80,10 +91,11 @@ def op12_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kmeans_tree, op2_kneser_ney, op3_pattern_packing, op4_skip_chain_pii, op5_perspectives, op6_line_runs, op7_token_counts, op8_chosen_path, op9_block_topk, op10_hof_bpe, op12_host_reputation)
+    f.__name__: f for f in (op1_kmeans_tree, op2_kneser_ney, op3_pattern_packing, op4_skip_chain_pii, op5_perspectives, op6_line_runs, op7_token_counts, op8_chosen_path, op9_block_topk, op10_hof_bpe, op11_role_earley, op12_host_reputation)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_role_earley": repair.repair_sql(),
     "op12_host_reputation": url_filter.judge_sql(URL_RULES),
     "op5_perspectives": chat.ROTATE_SQL,
     "op6_line_runs": """
