@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, jaccard, line_dedup, packing, pii, quality, repair, token_counts, topk, url_filter
+from . import ann, bpe, chat, jaccard, line_dedup, packing, pii, prefix_trie, quality, repair, token_counts, topk, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -90,11 +90,18 @@ def op12_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    nodes, _ = prefix_trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+    return nodes.drop("turn_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kmeans_tree, op2_kneser_ney, op3_pattern_packing, op4_skip_chain_pii, op5_perspectives, op6_line_runs, op7_token_counts, op8_chosen_path, op9_block_topk, op10_hof_bpe, op11_role_earley, op12_host_reputation)
+    f.__name__: f for f in (op1_kmeans_tree, op2_kneser_ney, op3_pattern_packing, op4_skip_chain_pii, op5_perspectives, op6_line_runs, op7_token_counts, op8_chosen_path, op9_block_topk, op10_hof_bpe, op11_role_earley, op12_host_reputation, op13_prefix_trie)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_prefix_trie": prefix_trie.TRIE_SQL,
     "op11_role_earley": repair.repair_sql(),
     "op12_host_reputation": url_filter.judge_sql(URL_RULES),
     "op5_perspectives": chat.ROTATE_SQL,
