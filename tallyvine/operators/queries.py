@@ -262,32 +262,33 @@ CONDITIONS_SQL = """c AS (
 ), g AS (SELECT c.* FROM c LEFT JOIN (SELECT tree_id, min(stage) AS stop FROM c WHERE stage <= 2 GROUP BY tree_id) s ON s.tree_id = c.tree_id WHERE stop IS NULL OR stage <= stop)"""
 
 
-def conditions(spark, sf_dir):
+def conditions(spark, sf_dir, policy):
     rows = table(spark, sf_dir, "conversations").where("turn % 6 in (1, 3, 5) and (conv_id + turn) % 4 <> 0")
     code = F.expr("CASE turn % 6 WHEN 1 THEN 'TEMPLATE_NOT_FOUND' WHEN 3 THEN 'TIMESTAMP_UNAVAILABLE' WHEN 5 THEN CASE WHEN conv_id % 2 = 0 THEN 'VERIFICATION_FAILED' ELSE 'ANCESTOR_TEMPLATE_NOT_FOUND' END END")
     stage = F.expr("CAST(CASE turn % 6 WHEN 1 THEN 2.0 WHEN 3 THEN 3.0 ELSE 4.0 END AS DOUBLE)")
-    return outcome.gate(rows.select(F.col("conv_id").alias("tree_id"), stage.alias("stage"), code.alias("code")))
+    return outcome.gate(rows.select(F.col("conv_id").alias("tree_id"), stage.alias("stage"), code.alias("code"), F.col("turn").alias("link")), policy)
 
 
-def _outcome_sql(warns: str) -> str:
+def _outcome_sql(warns: str, found: str = "c") -> str:
+    """found: g where the policy ends a tree at a missing template, c where it lets it go on."""
     return f"""SELECT t.tree_id, CAST(count(*) FILTER (WHERE code IS NOT NULL AND NOT ({warns})) AS BIGINT) AS n_errors, CAST(count(*) FILTER (WHERE code IS NOT NULL AND ({warns})) AS BIGINT) AS n_warnings,
   CASE WHEN count(*) FILTER (WHERE code IS NOT NULL AND NOT ({warns})) > 0 THEN 'failed' WHEN count(code) > 0 THEN 'verified_with_warnings' ELSE 'verified' END AS outcome
-FROM (SELECT DISTINCT conv_id AS tree_id FROM conversations) t LEFT JOIN g ON g.tree_id = t.tree_id GROUP BY t.tree_id"""
+FROM (SELECT DISTINCT conv_id AS tree_id FROM conversations) t LEFT JOIN {found} ON {found}.tree_id = t.tree_id GROUP BY t.tree_id"""
 
 
 @query(f"WITH {CONDITIONS_SQL} {_outcome_sql('code IN (%s)' % repr('TEMPLATE_NOT_FOUND') + ' OR code = ' + repr('TIMESTAMP_UNAVAILABLE'))}")
 def outcome_by_tree(spark, sf_dir):
     """Outcome of every tree under the offline preset."""
     trees = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("tree_id"))
-    return outcome.outcomes(trees, conditions(spark, sf_dir), "offline")
+    return outcome.outcomes(trees, conditions(spark, sf_dir, "offline"), "offline")
 
 
-@query(f"""WITH {CONDITIONS_SQL}, o AS ({_outcome_sql('false')}), f AS ({_outcome_sql("code IN ('TEMPLATE_NOT_FOUND', 'TIMESTAMP_UNAVAILABLE')")}),
+@query(f"""WITH {CONDITIONS_SQL}, o AS ({_outcome_sql('false', 'g')}), f AS ({_outcome_sql("code IN ('TEMPLATE_NOT_FOUND', 'TIMESTAMP_UNAVAILABLE')")}),
 d AS ({_outcome_sql("code IN ('TEMPLATE_NOT_FOUND', 'TIMESTAMP_UNAVAILABLE', 'ANCESTOR_TEMPLATE_NOT_FOUND')")})
 SELECT 'strict' AS policy, outcome, count(*) AS n_trees FROM o GROUP BY outcome UNION ALL SELECT 'offline', outcome, count(*) FROM f GROUP BY outcome UNION ALL SELECT 'debug', outcome, count(*) FROM d GROUP BY outcome""")
 def policy_matrix(spark, sf_dir):
-    trees, found = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("tree_id")), conditions(spark, sf_dir)
-    rows = [outcome.outcomes(trees, found, p).groupBy("outcome").agg(F.count("*").alias("n_trees")).withColumn("policy", F.lit(p)) for p in outcome.PRESETS]
+    trees = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("tree_id"))
+    rows = [outcome.outcomes(trees, conditions(spark, sf_dir, p), p).groupBy("outcome").agg(F.count("*").alias("n_trees")).withColumn("policy", F.lit(p)) for p in outcome.PRESETS]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).select("policy", "outcome", "n_trees")
 
 

@@ -79,7 +79,7 @@ PLANTED_SQL = f"""c AS (
   SELECT tree_id, f, CASE f WHEN 1 THEN 'HASH_VERIFICATION_FAILED' WHEN 2 THEN 'STRUCTURAL_VALIDATION_FAILED' WHEN 3 THEN 'SCHEMA_OR_CHAIN_FAILED' WHEN 4 THEN 'TEMPLATE_NOT_FOUND'
     WHEN 5 THEN 'SCHEMA_OR_CHAIN_FAILED' WHEN 6 THEN 'STRUCTURAL_VALIDATION_FAILED' WHEN 7 THEN 'STRUCTURAL_VALIDATION_FAILED' WHEN 8 THEN 'STRUCTURAL_VALIDATION_FAILED'
     WHEN 9 THEN 'ANCESTOR_TEMPLATE_NOT_FOUND' WHEN 10 THEN 'COMPUTE_UNSUPPORTED' ELSE '' END AS code,
-    CAST(CASE f WHEN 0 THEN 0 WHEN 2 THEN later WHEN 3 THEN later WHEN 8 THEN later + 1 WHEN 9 THEN m WHEN 10 THEN m ELSE 1 END AS BIGINT) AS n
+    CAST(CASE f WHEN 0 THEN 0 WHEN 2 THEN later WHEN 3 THEN later WHEN 8 THEN later WHEN 9 THEN m WHEN 10 THEN m ELSE 1 END AS BIGINT) AS n
   FROM t WHERE f <> 8 OR later > 0
 )"""
 
@@ -105,6 +105,111 @@ def condition_codes(spark, sf_dir):
     return verify.verify(rev, "strict", templates=given)[1].groupBy("tree_id", "code").agg(F.count("*").alias("n"))
 
 
+def _objects(kind: Column, payloads: Column, stamp: Column, *seed: Column, prev: Column | None = None) -> Column:
+    """JSON text of an object with any payloads."""
+    members = {"revision_type": kind, "nonce": F.concat(F.lit("0x"), F.md5(F.concat_ws("/", *seed))), "local_timestamp": stamp, "version": F.lit("v"), "method": F.lit("scalar"), "payloads": payloads}
+    if prev is not None:
+        members["previous_revision"] = prev
+    return F.to_json(F.struct(*(v.alias(k) for k, v in members.items())))
+
+
+def _trees(members: DataFrame) -> DataFrame:
+    """tree_id, json of members(tree_id, key, raw); a tree has few of them."""
+    one = F.concat(F.lit('"'), F.col("key"), F.lit('":'), F.col("raw"))
+    return members.groupBy("tree_id").agg(F.concat(F.lit('{"revisions":{'), F.array_join(F.array_sort(F.collect_set(one)), ","), F.lit("}}")).alias("json"))
+
+
+#: What is wrong with a planted tree of several faults, by conversation mod 8, and the conditions that are left: under strict, under offline.
+_GATED = (
+    ("verified", (), ()),
+    ("unknown template and computing template", ("TEMPLATE_NOT_FOUND",), ("TEMPLATE_NOT_FOUND", "COMPUTE_UNSUPPORTED")),
+    ("unknown template and other contents", ("TEMPLATE_NOT_FOUND",), ("TEMPLATE_NOT_FOUND", "VERIFICATION_FAILED")),
+    ("refused payload and computing template", ("SCHEMA_OR_CHAIN_FAILED",), ("SCHEMA_OR_CHAIN_FAILED",)),
+    ("wrong link and refused payload", ("HASH_VERIFICATION_FAILED",), ("HASH_VERIFICATION_FAILED",)),
+    ("a template alone", (), ()),
+    ("a file of no size", ("SCHEMA_OR_CHAIN_FAILED",), ("SCHEMA_OR_CHAIN_FAILED",)),
+    ("an anchor to nowhere and a wrong link", ("STRUCTURAL_VALIDATION_FAILED",), ("STRUCTURAL_VALIDATION_FAILED",)),
+)
+_GATED_SQL = "VALUES " + ", ".join(f"({f}, '{p}', '{c}')" for f, row in enumerate(_GATED) for p, codes in (("strict", row[1]), ("offline", row[2])) for c in codes or ("",))
+
+
+@query(f"""SELECT DISTINCT policy, CAST(conv_id AS VARCHAR) AS tree_id, code,
+  CASE WHEN code = '' THEN 'verified' WHEN policy = 'offline' AND f = 1 THEN 'verified_with_warnings' ELSE 'failed' END AS outcome
+FROM (SELECT DISTINCT conv_id FROM conversations) JOIN ({_GATED_SQL}) AS g(f, policy, code) ON conv_id % 8 = f""")
+def gated_trees(spark, sf_dir):
+    """Trees of files with two faults each, held against built-in templates and contents: what is left of their conditions under two policies, and their outcomes."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"), F.min("text").alias("text"))
+    fault, stamp = F.col("conv_id") % 8, F.lit(1000)
+    plain, wasm = _template(), _template(verification={"module": "none"})
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    size = F.when(fault == 6, -1).otherwise(F.octet_length(content))
+    payload = F.struct(F.lit("file").alias("type"), hashing.render_hex(hashing.digest_column(content, "sha3")).alias("hash"), F.lit("FIPS_202-SHA3-256").alias("hash_type"), F.lit("").alias("descriptor"), size.alias("size"), F.lit("text/plain").alias("content_type"))
+    file = _objects(F.lit(catalogue.link_of_name("file")), payload, stamp, F.lit("file"), F.col("conv_id"))
+    nothing = _objects(F.lit(BOGUS), F.struct(F.lit(1).alias("any")), stamp, F.lit("unknown"), F.col("conv_id"))
+    asks = _objects(F.lit(wasm[0]), F.struct(F.lit("user").alias("role"), F.coalesce("chars", F.lit(0)).alias("chars")), stamp, F.lit("computes"), F.col("conv_id"))
+    refused = _objects(F.lit(plain[0]), F.struct(F.lit("user").alias("role"), F.lit(-1).alias("chars")), stamp, F.lit("refused"), F.col("conv_id"))
+    anchor = F.to_json(F.struct(F.lit(catalogue.link_of_name("anchor_template")).alias("revision_type"), F.concat(F.lit("0x"), F.md5(F.col("conv_id").cast("string"))).alias("nonce"), stamp.alias("local_timestamp"), F.lit("v").alias("version"), F.lit("scalar").alias("method"),
+                                F.array(F.when(fault == 7, BOGUS).otherwise(catalogue.link_of_name("file"))).alias("structural_links")))
+    own = F.when(fault.isin(0, 6), F.array(file, anchor)).when(fault == 1, F.array(nothing, asks)).when(fault == 2, F.array(nothing, file)).when(fault == 3, F.array(refused, asks)).when(fault == 5, F.array(F.lit(plain[2])))
+    rows = rows.select(F.col("conv_id").cast("string").alias("tree_id"), fault.alias("fault"), F.explode(own.when(fault == 4, F.array(refused, file)).otherwise(F.array(anchor, file))).alias("raw"))
+    wrong = (F.col("fault").isin(4, 7)) & F.col("raw").contains('"payloads":{"type":"file"')
+    key = F.when(wrong, "0x1620" + "13" * 32).otherwise(_link(F.col("raw")))
+    rev = materialize(records.decode(_trees(rows.select("tree_id", "raw", key.alias("key")))), "revisions")
+    texts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min("text").alias("text")).where("conv_id % 8 <> 2")
+    files = materialize(texts.select(F.col("conv_id").cast("string").alias("tree_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), "files")
+    given = spark.createDataFrame([(None, link, raw) for _, link, raw in (plain, wasm)], "tree_id string, link binary, raw string")
+    out = None
+    for policy in ("strict", "offline"):
+        outcomes, found = verify.verify(rev, policy, templates=given, files=files)
+        rows = outcomes.join(found.select("tree_id", "code").distinct(), "tree_id", "left").select(F.lit(policy).alias("policy"), "tree_id", F.coalesce("code", F.lit("")).alias("code"), "outcome")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id, conv_id % 5 AS f FROM conversations), t AS (SELECT conv_id, f, unnest(['top', 'middle', 'last']) AS part FROM c)
+SELECT conv_id || '/' || part AS tree_id, CASE WHEN f = 0 THEN 'verified' WHEN f = 1 AND part = 'last' THEN 'verified_with_warnings' WHEN f = 1 THEN 'verified' WHEN f = 4 AND part <> 'last' THEN 'failed' WHEN f = 4 THEN 'verified' ELSE 'failed' END AS outcome,
+  CASE WHEN f = 1 AND part = 'last' THEN 'COMPUTE_UNSUPPORTED' WHEN f = 2 THEN CASE part WHEN 'last' THEN 'HASH_VERIFICATION_FAILED' ELSE 'LINKED_TREE_RESOLUTION_FAILED' END
+    WHEN f = 3 THEN 'CROSS_TREE_CYCLE_DETECTED' WHEN f = 4 AND part = 'middle' THEN 'SCHEMA_OR_CHAIN_FAILED' WHEN f = 4 AND part = 'top' THEN 'LINKED_TREE_RESOLUTION_FAILED' ELSE '' END AS code FROM t""")
+def linked_outcomes(spark, sf_dir):
+    """Chains of three trees, verified together under the offline preset: the last one has the template that the objects of the others name.
+
+    By conversation mod 5: 0 all good, 1 the last tree has warnings, 2 its hash is wrong, 3 it leads back to the first, 4 the middle tree's payload is refused.
+    """
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"))
+    fault, stamp = F.col("conv_id") % 5, F.lit(1000)
+    wasm = _template(verification={"module": "none"})
+    name = lambda part: F.concat_ws("/", F.col("conv_id").cast("string"), F.lit(part))
+    fake = lambda part: F.concat(F.lit("0x1620"), F.sha2(name(part), 256))
+
+    def anchor(part: str, to: Column) -> Column:
+        return F.to_json(F.struct(F.lit(catalogue.link_of_name("anchor_template")).alias("revision_type"), F.concat(F.lit("0x"), F.md5(name(part))).alias("nonce"), stamp.alias("local_timestamp"), F.lit("v").alias("version"), F.lit("scalar").alias("method"), to.alias("structural_links")))
+
+    # a template of its own for every conversation, so that nothing but the links tells where it is
+    schema = F.struct(F.lit("object").alias("type"), F.struct(F.struct(F.lit(0).alias("minimum")).alias("chars")).alias("properties"))
+    template = F.to_json(F.struct(F.lit(catalogue.link_of_name("template_meta")).alias("revision_type"), F.concat(F.lit("0x"), F.md5(name("template"))).alias("nonce"), F.lit(1).alias("local_timestamp"), F.lit("v").alias("version"), F.lit("scalar").alias("method"), schema.alias("schema")))
+    rows = materialize(rows.select("conv_id", "chars", template.alias("template")).withColumn("type", _link(F.col("template"))), "own_templates")
+    asks = _objects(F.lit(wasm[0]), F.struct(F.lit("user").alias("role"), F.coalesce("chars", F.lit(0)).alias("chars")), stamp, F.lit("computes"), F.col("conv_id"))
+    member = lambda part, raw, key=None: F.struct(name(part).alias("tree_id"), raw.alias("raw"), (key if key is not None else F.lit(None).cast("string")).alias("key"))
+    nothing = F.array().cast("array<string>")
+    last = anchor("last", F.when(fault == 3, F.array(fake("top"))).otherwise(nothing))
+    middle = anchor("middle", F.array(F.when(fault == 2, fake("last")).otherwise(F.col("type"))))
+    obj = lambda part, chars: _objects(F.col("type"), F.struct(chars.alias("chars")), stamp, name(part))
+    every = F.array(
+        member("last", F.col("template")), member("last", last, F.when(fault == 2, fake("last"))), member("last", F.when(fault == 1, asks)),
+        member("middle", middle), member("middle", obj("middle", F.when(fault == 4, -1).otherwise(F.col("chars")))),
+        member("top", obj("top", F.col("chars"))),
+    )
+    built = rows.select("conv_id", F.explode(every).alias("m")).where("m.raw is not null").select("conv_id", "m.*")
+    built = materialize(built.withColumn("key", F.coalesce("key", _link(F.col("raw")))), "members")
+    mid = built.where("tree_id like '%/middle' and raw like '%structural_links%'").select("conv_id", F.col("key").alias("to"))
+    tops = mid.select(name("top").alias("tree_id"), F.when(fault == 3, fake("top")).alias("key"), anchor("top", F.array("to")).alias("raw"))
+    tops = tops.withColumn("key", F.coalesce("key", _link(F.col("raw"))))
+    rev = materialize(records.decode(_trees(built.select("tree_id", "key", "raw").unionByName(tops))), "revisions")
+    given = spark.createDataFrame([(None, wasm[1], wasm[2])], "tree_id string, link binary, raw string")
+    outcomes, found = verify.verify(rev, "offline", templates=given, linked=True)
+    return outcomes.join(found.select("tree_id", "code").distinct(), "tree_id", "left").select("tree_id", "outcome", F.coalesce("code", F.lit("")).alias("code"))
+
+
 @query("""WITH p AS (SELECT DISTINCT conv_id, turn // 2 AS part FROM conversations), s AS (SELECT conv_id, count(*) AS n, max(part) AS top FROM p GROUP BY conv_id)
 SELECT p.conv_id || '/' || p.part AS tree_id, CASE WHEN conv_id % 3 = 0 AND top > 0 THEN 'CROSS_TREE_CYCLE_DETECTED' WHEN conv_id % 3 = 1 AND part < top THEN 'LINKED_TREE_RESOLUTION_FAILED' ELSE '' END AS code
 FROM p JOIN s USING (conv_id)""")

@@ -5,37 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The decision points in order, and what each preset makes of them (F: fail, W: warn).
+# The decision points in order, and what each preset makes of them.
 POINTS = ("timestamp_unavailable", "template_not_found", "ancestor_template_not_found", "wasm_execution_failed", "batch_proof_failed", "wasm_untrusted_signer", "unsigned_template")
-PRESETS = {"strict": "FFFFFFF", "offline": "WWFWFFF", "debug": "WWWWWWW"}
+PRESETS = {
+    "strict": {
+        "timestamp_unavailable": "F", "template_not_found": "F", "ancestor_template_not_found": "F", "wasm_execution_failed": "F",
+        "batch_proof_failed": "F", "wasm_untrusted_signer": "F", "unsigned_template": "F",
+    },
+    "offline": {
+        "timestamp_unavailable": "W", "template_not_found": "W", "ancestor_template_not_found": "F", "wasm_execution_failed": "W",
+        "batch_proof_failed": "F", "wasm_untrusted_signer": "F", "unsigned_template": "F",
+    },
+    "debug": {
+        "timestamp_unavailable": "W", "template_not_found": "W", "ancestor_template_not_found": "W", "wasm_execution_failed": "W",
+        "batch_proof_failed": "W", "wasm_untrusted_signer": "W", "unsigned_template": "W",
+    },
+}
 # The condition codes that a policy decides, with their points; all other codes always fail.
+BATCH_CODES = (
+    "MERKLE_ROOT_MISSING", "BATCH_TREE_SIZE_MISSING", "BATCH_LEAF_INDEX_MISSING", "MERKLE_PROOF_MISSING", "BATCH_TREE_SIZE_ZERO", "SHIELDING_NONCE_MISSING", "MERKLE_HEX_NOT_LOWERCASE",
+    "MERKLE_HEX_DECODE_FAILED", "MERKLE_ROOT_MISMATCH", "MERKLE_LEAF_INDEX_OUT_OF_BOUNDS", "MERKLE_ROOT_BAD_MULTIHASH", "MERKLE_ROOT_BAD_CODEC", "MERKLE_INCLUSION_FAILED", "BATCH_PROOF_FAILED",
+)
 ROUTES = {
     "TIMESTAMP_UNAVAILABLE": "timestamp_unavailable",
     "TEMPLATE_NOT_FOUND": "template_not_found",
     "ANCESTOR_TEMPLATE_NOT_FOUND": "ancestor_template_not_found",
     "COMPUTE_UNSUPPORTED": "wasm_execution_failed",
     "TRUST_STORE_REQUIRED": "wasm_execution_failed",
-    "BATCH_PROOF_FAILED": "batch_proof_failed",
     "WASM_UNTRUSTED_SIGNER": "wasm_untrusted_signer",
     "UNSIGNED_TEMPLATE": "unsigned_template",
-}
+} | dict.fromkeys(BATCH_CODES, "batch_proof_failed")
 
 
 def severity(code: Column, policy: str, custom: dict[str, str] | None = None) -> Column:
     """"error" or "warning" of a condition code under a preset or custom {point: "F" or "W"} (points not named fail)."""
-    own = custom if custom is not None else dict(zip(POINTS, PRESETS[policy]))
+    own = custom if custom is not None else PRESETS[policy]
     warns = [c for c, p in ROUTES.items() if own.get(p, "F") == "W"]
     return F.when(code.isin(warns), "warning").otherwise("error") if warns else F.lit("error")
 
 
-def gate(conditions: DataFrame) -> DataFrame:
-    """conditions(tree_id, stage, code, link) without those of later stages than a tree's first stage that stops it.
+def gate(conditions: DataFrame, policy: str = "strict", custom: dict[str, str] | None = None) -> DataFrame:
+    """conditions(tree_id, stage, code, link) that a tree verified stage by stage comes to.
 
-    Stages 0 to 2 stop a tree that fails in them; from 2.5 on every condition is kept.
+    The first stage up to 2 that has an error under the policy ends a tree: later conditions go. From there on a revision is looked at by
+    itself: its first condition of the stages after 2, which must have a link, stands alone, and a revision whose template may be missing under the policy has none.
     """
-    first = conditions.where("stage <= 2").groupBy("tree_id").agg(F.min("stage").alias("stop"))
-    kept = conditions.join(first, "tree_id", "left").where(F.col("stop").isNull() | (F.col("stage") <= F.col("stop")))
-    return kept.drop("stop")
+    marked = conditions.withColumn("severity", severity(F.col("code"), policy, custom))
+    first = marked.where("stage <= 2 and severity = 'error'").groupBy("tree_id").agg(F.min("stage").alias("stop"))
+    kept = marked.drop("severity").join(first, "tree_id", "left").where(F.col("stop").isNull() | (F.col("stage") <= F.col("stop"))).drop("stop")
+    own = kept.where("stage > 2 or code = 'TEMPLATE_NOT_FOUND'").groupBy("tree_id", "link").agg(F.min("stage").alias("first"))
+    late = kept.where("stage > 2").join(own, ["tree_id", "link"]).where("stage = first").drop("first")
+    return kept.where("stage <= 2").unionByName(late)
 
 
 def outcomes(trees: DataFrame, conditions: DataFrame, policy: str = "strict", custom: dict[str, str] | None = None) -> DataFrame:

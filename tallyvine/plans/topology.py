@@ -169,6 +169,39 @@ def tree_edges(rev: DataFrame) -> DataFrame:
     return links.join(own, ["tree", "link"], "left_anti").join(owners, "link").select("tree", "needs").distinct()
 
 
+def references(rev: DataFrame, links: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """(tree_id, link, target, needs) of links(tree_id, link, target) that lead out of their tree: needs is the tree that has the target.
+
+    Without linked any tree of rev may be meant; of several that have the target the largest tree_id stands. linked(tree_id, linked_id, ordinal) says which
+    trees each tree is verified with; then the one of the largest ordinal stands. Links that no such tree has are left out.
+    """
+    owners = rev.where("link is not null").select(F.col("link").alias("target"), F.col("tree_id").alias("needs")).distinct()
+    met = links.join(owners, "target").where("needs <> tree_id").withColumn("ordinal", F.lit(0))
+    if linked is not None:
+        pairs = linked.select("tree_id", F.col("linked_id").alias("needs"), "ordinal").distinct()
+        met = met.drop("ordinal").join(pairs, ["tree_id", "needs"])
+    return met.groupBy("tree_id", "link", "target").agg(F.max(F.struct("ordinal", "needs")).alias("last")).select("tree_id", "link", "target", F.col("last.needs").alias("needs"))
+
+
+def tree_heights(edges: DataFrame) -> DataFrame:
+    """(tree, height) of the trees of edges(tree, needs): the longest way down from each to a tree that needs none, which has height 0.
+
+    A tree on a cycle, or that leads to one, has no height. A round of joins for each height; in a round those trees get theirs that need none without one.
+    """
+    edges = edges.select("tree", "needs").distinct()
+    every = edges.select("tree").unionByName(edges.select(F.col("needs").alias("tree"))).distinct()
+    done = materialize(every.join(edges, "tree", "left_anti").withColumn("height", F.lit(0)), "heights")
+    open_, height = materialize(edges, "open_edges"), 0
+    while True:
+        height += 1
+        waits = open_.join(done.select(F.col("tree").alias("needs")), "needs", "left_anti").select("tree").distinct()
+        new = materialize(open_.select("tree").distinct().join(waits, "tree", "left_anti").withColumn("height", F.lit(height)), "heights")
+        if not new.limit(1).count():
+            return done.unionByName(open_.select("tree").distinct().withColumn("height", F.lit(None).cast("int")))
+        done = done.unionByName(new)
+        open_ = materialize(open_.join(new, "tree", "left_anti"), "open_edges")
+
+
 def tree_levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(tree, level, fault) of the trees that roots(tree) depend on by edges(tree, needs): the longest way down to them.
 

@@ -9,15 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import Refused, leaves_of, link_column, load
-from ..functions.hashing import digest_column, parse_hex
+from ..functions.hashing import digest_column, parse_hex, render_hex
 from ..functions.schemas import problems
 from ..functions.signatures import signature_fault
 from ..session import materialize
+from . import batches, builtin, changes, outcome, topology
 from . import catalogue as names
-from . import outcome, topology
 from . import templates as resolution
 
 ZERO = bytes(32)
+LEAF = re.compile("0x[0-9a-fA-F]{64}")
 
 
 def _conditions(rows: DataFrame, stage: float, code: str) -> DataFrame:
@@ -35,14 +36,11 @@ def dangling_links(rev: DataFrame, known: DataFrame) -> DataFrame:
     return out.join(own, ["tree_id", "target"], "left_anti").join(shared, "target", "left_anti").select("tree_id", "link", "target")
 
 
-def structural(rev: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Stage 0: unreadable trees, no first revision, missing parents, cycles, and links that lead nowhere."""
+def structural(rev: DataFrame, loose: DataFrame) -> DataFrame:
+    """Stage 0: unreadable trees, missing parents, cycles, and the anchors of loose(tree_id, link), whose links lead nowhere."""
     bad = _conditions(rev.where("parse_error is not null"), 0.0, "STRUCTURAL_VALIDATION_FAILED")
     good = rev.where("parse_error is null")
-    none = good.select("tree_id").distinct().join(topology.genesis(good).select("tree_id").distinct(), "tree_id", "left_anti").withColumn("link", F.lit(None).cast("binary"))
-    own = good.select("tree_id", F.col("link").alias("target"))
-    known = own if known is None else own.unionByName(known)
-    for rows in (none, topology.missing_parents(good), topology.cycle_nodes(good), dangling_links(good, known)):
+    for rows in (topology.missing_parents(good), topology.cycle_nodes(good), loose):
         bad = bad.unionByName(_conditions(rows, 0.0, "STRUCTURAL_VALIDATION_FAILED"))
     return bad
 
@@ -55,7 +53,7 @@ def hashes(rev: DataFrame) -> DataFrame:
 
 
 def leaves(rev: DataFrame) -> DataFrame:
-    """tree_id, link, code of revisions by the tree method whose published leaves are missing, too few or many, or wrong."""
+    """tree_id, link, code of revisions by the tree method whose published leaves are missing, no bare digests, too few or many, or wrong."""
 
     @F.pandas_udf("string")
     def code(raws: pd.Series, algs: pd.Series) -> pd.Series:
@@ -65,7 +63,8 @@ def leaves(rev: DataFrame) -> DataFrame:
                 value = load(raw)
                 made = ["0x" + x[1].hex() for x in leaves_of(value, alg)]
                 have = value.get("leaves")
-                out.append("LEAVES_MISSING" if have is None else "LEAVES_COUNT_MISMATCH" if len(have) != len(made) else None if have == made else "LEAVES_MISMATCH")
+                bare = have is None or all(isinstance(x, str) and LEAF.fullmatch(x) for x in have)
+                out.append("LEAVES_MISSING" if have is None else "LEAF_NOT_BARE_DIGEST" if not bare else "LEAVES_COUNT_MISMATCH" if len(have) != len(made) else None if have == made else "LEAVES_MISMATCH")
             except (Refused, ValueError, KeyError, TypeError):
                 out.append("LEAVES_COMPUTE_FAILED")
         return pd.Series(out, dtype=object)
@@ -79,29 +78,36 @@ def _digest(text: Column | str) -> Column:
     return F.coalesce(F.try_to_binary(F.substring(text, 3, 1 << 30), F.lit("hex")), F.lit(b""))
 
 
-def _sources(rev: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(scope, digest, template): the templates of each tree, and those given."""
+def _sources(rev: DataFrame, templates: DataFrame | None, linked: DataFrame | None) -> list[DataFrame]:
+    """(scope, digest, template) in order of priority: the templates of each tree, the built-in ones, those of linked(tree_id, link, raw), and those given."""
     own = rev.where("parse_error is null and kind = 'template'").select(F.col("tree_id").alias("scope"), F.col("link").alias("digest"), F.col("raw").alias("template"))
-    return own, templates.select(F.col("tree_id").cast("string").alias("scope"), F.col("link").alias("digest"), F.col("raw").alias("template"))
+    body = builtin.templates(rev.sparkSession)
+    out = [own, *(body.select(F.col("tree_id").alias("scope"), d.alias("digest"), F.col("raw").alias("template")) for d in (F.col("link"), F.substring("link", 3, 32)))]
+    out = [out[0], out[1].unionByName(out[2])]
+    for more in (linked, templates):
+        if more is not None:
+            out.append(more.select(F.col("tree_id").cast("string").alias("scope"), F.col("link").alias("digest"), F.col("raw").alias("template")))
+    return out
 
 
-def _resolved(rev: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tree_id, link, raw, digest) of all objects, and (scope, digest, template, named) of what they name: named says whether the template hashes to its link."""
+def _resolved(rev: DataFrame, sources: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(tree_id, link, raw, digest) of all objects, and (scope, digest, template, named) of what they name: named says whether the template hashes to its link, or its bare digest."""
     objects = rev.where("parse_error is null and kind = 'object'").select("tree_id", "link", "raw", _digest("revision_type").alias("digest"))
-    found = resolution.resolve(objects.select(F.col("tree_id").alias("scope"), "digest").distinct(), *_sources(rev, templates)).drop("source")
-    return objects, found.withColumn("named", link_column(F.col("template"), F.lit("sha3"))["link"].eqNullSafe(F.col("digest")))
+    found = resolution.resolve(objects.select(F.col("tree_id").alias("scope"), "digest").distinct(), *sources).drop("source")
+    made = link_column(F.col("template"), F.lit("sha3"))["link"]
+    return objects, materialize(found.withColumn("made", made), "resolved").withColumn("named", F.col("made").eqNullSafe(F.col("digest")) | F.substring("made", 3, 32).eqNullSafe(F.col("digest"))).drop("made")
 
 
-def computes(rev: DataFrame, templates: DataFrame) -> DataFrame:
+def computes(rev: DataFrame, sources: list[DataFrame], resolved: tuple[DataFrame, DataFrame]) -> DataFrame:
     """tree_id, link, code of objects whose template names an ancestor that is found nowhere, or asks for computed checks, itself or by an ancestor.
 
     No compute module is ever run, so what asks for one is refused; a timestamp's is unavailable.
     """
     parts = "struct<ancestry: array<string>, verification: string>"
-    objects, found = _resolved(rev, templates)
+    objects, found = resolved
     found = found.where("template is not null").select("scope", "digest", F.from_json("template", parts).alias("t"))
     above = found.select("scope", F.col("digest").alias("below"), F.explode("t.ancestry").alias("name")).select("scope", "below", _digest("name").alias("digest"))
-    met = resolution.resolve(above.select("scope", "digest").distinct(), *_sources(rev, templates))
+    met = resolution.resolve(above.select("scope", "digest").distinct(), *sources)
     met = met.select("scope", "digest", F.col("template").isNull().alias("gone"), F.from_json("template", parts)["verification"].isNotNull().alias("asks"))
     facts = above.join(met, ["scope", "digest"]).groupBy("scope", F.col("below").alias("digest")).agg(F.max("gone").alias("gone"), F.max("asks").alias("asks"))
     facts = found.select("scope", "digest", F.col("t.verification").isNotNull().alias("own")).join(facts, ["scope", "digest"], "left")
@@ -113,35 +119,59 @@ def computes(rev: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def linked(rev: DataFrame, roots: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """tree_id, stage, code, link for roots(tree): trees that lead to a cycle of trees, or to a tree that is not verified by outcomes(tree_id, outcome).
+    """tree_id, stage, code, link for roots(tree): trees that lead to a cycle of trees, or to a tree that failed by outcomes(tree_id, outcome).
 
-    A tree that any of its trees fails by is not verified either, so failures go up level by level.
+    A tree that was verified with warnings is verified.
     """
     edges = materialize(topology.tree_edges(rev), "tree_edges")
-    levels = materialize(topology.tree_levels(edges, roots), "tree_levels")
-    bad = materialize(outcomes.where("outcome <> 'verified'").select(F.col("tree_id").alias("needs")).distinct(), "bad_trees")
-    new = failed = materialize(edges.join(bad, "needs", "left_semi").select("tree").distinct(), "failed_trees")
-    while new.limit(1).count():
-        up = edges.join(new.select(F.col("tree").alias("needs")), "needs", "left_semi").select("tree").distinct()
-        new = materialize(up.join(failed, "tree", "left_anti"), "failed_trees")
-        failed = failed.unionByName(new)
-    looped = levels.where("fault is not null").select("tree")
-    for_loops = reach = materialize(edges.join(looped.select(F.col("tree").alias("needs")), "needs", "left_semi").select("tree").unionByName(looped).distinct(), "looped_trees")
-    while for_loops.limit(1).count():
-        up = edges.join(for_loops.select(F.col("tree").alias("needs")), "needs", "left_semi").select("tree").distinct()
-        for_loops = materialize(up.join(reach, "tree", "left_anti"), "looped_trees")
-        reach = reach.unionByName(for_loops)
+    found = _settled(edges, materialize(topology.tree_heights(edges), "heights"), outcomes.where("outcome = 'failed'").select(F.col("tree_id").alias("tree")))
+    return found.join(roots.select(F.col("tree").alias("tree_id")).distinct(), "tree_id", "left_semi")
+
+
+def _settled(edges: DataFrame, heights: DataFrame, failed: DataFrame) -> DataFrame:
+    """tree_id, stage, code, link of trees that lead to a cycle of trees, or to a failed tree: level by level, each told by the outcomes of the one below.
+
+    failed(tree) are those that fail by themselves; a tree fails too if one that it needs does.
+    """
     none = F.lit(None).cast("binary").alias("link")
-    cycle = roots.select("tree").distinct().join(reach, "tree", "left_semi").select(F.col("tree").alias("tree_id"), F.lit(0.0).alias("stage"), F.lit("CROSS_TREE_CYCLE_DETECTED").alias("code"), none)
-    rest = roots.select("tree").distinct().join(reach, "tree", "left_anti").join(failed, "tree", "left_semi")
-    return cycle.unionByName(rest.select(F.col("tree").alias("tree_id"), F.lit(0.5).alias("stage"), F.lit("LINKED_TREE_RESOLUTION_FAILED").alias("code"), none))
+    looped = heights.where("height is null").select("tree")
+    failed = materialize(failed.distinct().unionByName(looped), "failed_trees")
+    top = heights.agg(F.max("height")).first()[0] or 0
+    spoilt = None
+    for h in range(1, top + 1):
+        level = edges.join(heights.where(F.col("height") == h).select("tree"), "tree")
+        new = materialize(level.join(failed.select(F.col("tree").alias("needs")), "needs", "left_semi").select("tree").distinct(), "failed_trees")
+        failed = failed.unionByName(new)
+        spoilt = new if spoilt is None else spoilt.unionByName(new)
+    out = looped.select(F.col("tree").alias("tree_id"), F.lit(0.25).alias("stage"), F.lit("CROSS_TREE_CYCLE_DETECTED").alias("code"), none)
+    if spoilt is None:
+        return out
+    return out.unionByName(spoilt.select(F.col("tree").alias("tree_id"), F.lit(0.5).alias("stage"), F.lit("LINKED_TREE_RESOLUTION_FAILED").alias("code"), none))
 
 
-def payloads(rev: DataFrame, templates: DataFrame) -> DataFrame:
-    """tree_id, link, code of objects whose template is found nowhere (TEMPLATE_NOT_FOUND), or is not what its link names or refuses the payload (SCHEMA_OR_CHAIN_FAILED).
+def reachable_templates(rev: DataFrame, edges: DataFrame, heights: DataFrame) -> DataFrame:
+    """tree_id, link, raw: the templates of the trees that each tree leads to by edges(tree, needs), whatever the number of steps; trees that lead to a cycle see none.
 
-    Templates are looked up in the object's own tree, then in templates(tree_id, link, raw), tree_id null: for all trees.
+    A tree of which one that it leads to fails is never held against templates, so whether they may be used needs no outcome.
     """
+    own = materialize(rev.where("parse_error is null and kind = 'template'").select(F.col("tree_id").alias("needs"), "link", "raw"), "linked_templates")
+    pairs = own.select("needs", "link").distinct()
+    seen, top = None, heights.agg(F.max("height")).first()[0] or 0
+    for h in range(1, top + 1):
+        level = edges.join(heights.where(F.col("height") == h).select("tree"), "tree")
+        at = level.join(pairs, "needs").select("tree", "link")
+        if seen is not None:
+            at = at.unionByName(level.join(seen.select(F.col("tree").alias("needs"), "link"), "needs").select("tree", "link"))
+        at = materialize(at.distinct(), "seen_templates")
+        seen = at if seen is None else seen.unionByName(at)
+    bodies = own.groupBy("link").agg(F.min("raw").alias("raw"))
+    if seen is None:
+        return own.limit(0).select(F.col("needs").alias("tree_id"), "link", "raw")
+    return seen.join(bodies, "link").select(F.col("tree").alias("tree_id"), "link", "raw")
+
+
+def payloads(resolved: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """tree_id, link, code of objects whose template is found nowhere (TEMPLATE_NOT_FOUND), or is not what its link names or refuses the payload (SCHEMA_OR_CHAIN_FAILED)."""
 
     @F.pandas_udf("boolean")
     def fits(schemas: pd.Series, raws: pd.Series) -> pd.Series:
@@ -153,7 +183,7 @@ def payloads(rev: DataFrame, templates: DataFrame) -> DataFrame:
                 out.append(False)
         return pd.Series(out, dtype=object)
 
-    objects, found = _resolved(rev, templates)
+    objects, found = resolved
     rows = objects.join(found.withColumnRenamed("scope", "tree_id"), ["tree_id", "digest"], "left")
     missing = F.col("template").isNull()
     bad = ~F.coalesce("named", F.lit(False)) | ~fits("template", "raw")
@@ -194,27 +224,74 @@ def signatures(rev: DataFrame) -> DataFrame:
     return _conditions(signed.where(signature_fault(F.col("raw"), F.col("hash_alg")).isNotNull()), 4.0, "VERIFICATION_FAILED")
 
 
-def verify(rev: DataFrame, policy: str = "strict", known: DataFrame | None = None, more: DataFrame | None = None, templates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, conditions) of decoded trees. more: further conditions, as of proofs. templates: as of payloads().
+def batch_proofs(rev: DataFrame) -> DataFrame:
+    """tree_id, link, code of timestamps whose payload does not prove that the revision before them is in its batch."""
+    stamps = rev.where("parse_error is null and kind = 'object'").where(names.kind_named(F.col("revision_type")) == "Timestamp")
+    rows = stamps.select("tree_id", "link", F.get_json_object("raw", "$.payloads").alias("payload"), F.coalesce(render_hex(F.col("prev")), F.lit("")).alias("target"))
+    return batches.proof_faults(rows).where("code is not null").select("tree_id", "link", "code")
+
 
-    A tree whose structure fails is not hashed any further, one whose hashes fail is not checked for order, and so on;
-    a tree that cannot be read fails. Given templates, every object is held against its template, and a revision by the tree
-    method must publish its leaves. Without them published leaves are checked, and n_unchecked of the outcomes is the number
-    of a tree's objects, for none of which a template was looked up, and of its revisions by the tree method that publish
-    no leaves: the outcome of such a tree says nothing about these.
+def compute_sections(rev: DataFrame) -> DataFrame:
+    """tree_id, link of templates whose compute modules contradict themselves."""
+    own = rev.where("parse_error is null and kind = 'template'").select("tree_id", "link", F.get_json_object("raw", "$.verification").alias("verification"))
+    bad = changes.compute_faults(own.select("link", "verification")).select("link").distinct()
+    return own.join(bad, "link", "left_semi").select("tree_id", "link")
+
+
+def verify(
+    rev: DataFrame, policy: str = "strict", known: DataFrame | None = None, more: DataFrame | None = None, templates: DataFrame | None = None, files: DataFrame | None = None,
+    linked: DataFrame | bool = False, check_templates: bool = True, custom: dict[str, str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, conditions) of decoded trees, stage by stage as outcome.gate() has it.
+
+    Stage 0: structure, cycles of trees (0.25), trees that are needed (0.5). 1: hashes and published leaves. 2: templates, payloads and the order of
+    times. 2.5: batch proofs of timestamps. 3: what templates ask to be computed. 4: signatures, contents of files, compute sections.
+
+    Anchors may link to their own tree, to built-in templates, to known(tree_id or null, target) and, with linked, to other trees: True means any tree of rev,
+    else linked(tree_id, linked_id, ordinal) names those that each is verified with. Every tree of rev is verified, those that are needed before
+    those that need them; a tree fails if one that it leads to fails or is on a cycle, and one that was verified with warnings is good.
+
+    Templates are looked up in the object's own tree, among the built-in ones, in the trees that its tree leads to, and in templates(tree_id or null, link, raw).
+    files(tree_id, content) are what file objects are held against. more: further conditions. n_unchecked of the outcomes counts what was not
+    checked: without files the file objects; with check_templates False all objects, and revisions by the tree method that publish no leaves.
+
+    Where the stages up to 2 fail a tree as a whole, its conditions name every revision at fault, so n_errors counts these; the codes are the same.
+    A tree that cannot be read fails; a tree needs neither an object nor an anchor.
     """
-    found = structural(rev, known).unionByName(hashes(rev)).unionByName(order(rev)).unionByName(signatures(rev))
-    leaf = leaves(rev) if templates is not None else leaves(rev).where("code <> 'LEAVES_MISSING'")
-    found = found.unionByName(leaf.select("tree_id", F.lit(1.0).alias("stage"), "code", "link"))
-    if templates is not None:
-        # a policy may let a missing template pass with a warning, so that does not stop the later stages
-        stage = F.when(F.col("code") == "TEMPLATE_NOT_FOUND", 2.5).otherwise(2.0)
-        found = found.unionByName(payloads(rev, templates).select("tree_id", stage.alias("stage"), "code", "link"))
-        found = found.unionByName(computes(rev, templates).select("tree_id", F.lit(3.0).alias("stage"), "code", "link"))
+    spark = rev.sparkSession
+    good = rev.where("parse_error is null")
+    own = good.select("tree_id", F.col("link").alias("target")).unionByName(builtin.known(spark))
+    loose = materialize(dangling_links(good, own if known is None else own.unionByName(known)), "loose_links")
+    between, seen = None, None
+    if linked is not False:
+        met = materialize(topology.references(good, loose, None if linked is True else linked), "references")
+        edges = materialize(met.select(F.col("tree_id").alias("tree"), "needs").distinct(), "tree_edges")
+        heights = materialize(topology.tree_heights(edges), "heights")
+        loose = loose.join(met, ["tree_id", "link", "target"], "left_anti")
+        between, seen = (edges, heights), reachable_templates(good, edges, heights)
+    found = structural(rev, loose.select("tree_id", "link").distinct()).unionByName(hashes(rev)).unionByName(order(rev)).unionByName(signatures(rev))
+    found = found.unionByName(_conditions(compute_sections(rev), 4.0, "VERIFICATION_FAILED"))
+    leaf = leaves(rev) if check_templates else leaves(rev).where("code <> 'LEAVES_MISSING'")
+    parts = [(leaf, 1.0), (batch_proofs(rev), 2.5)]
+    if check_templates:
+        sources = _sources(rev, templates, seen)
+        resolved = _resolved(rev, sources)
+        parts += [(payloads(resolved), 2.0), (computes(rev, sources, resolved), 3.0)]
+    for rows, stage in parts:
+        found = found.unionByName(rows.select("tree_id", F.lit(stage).alias("stage"), "code", "link"))
+    if files is not None:
+        found = found.unionByName(_conditions(file_faults(rev, files), 4.0, "VERIFICATION_FAILED"))
     if more is not None:
         found = found.unionByName(more)
-    found = outcome.gate(found)
-    open_ = (F.col("kind") == "object") | ((F.col("kind") == "anchor") & (F.col("method") == "tree") & F.col("leaves").isNull())
-    count = F.count(F.when(open_, 1)) if templates is None else F.lit(0).cast("long")
-    unchecked = rev.groupBy("tree_id").agg(count.alias("n_unchecked"))
-    return outcome.outcomes(rev, found, policy).join(unchecked, "tree_id", "left"), found
+    found = materialize(found, "conditions")
+    if between is not None:
+        alone = outcome.outcomes(rev, outcome.gate(found, policy, custom), policy, custom)
+        bad = alone.where("outcome = 'failed'").select(F.col("tree_id").alias("tree"))
+        found = found.unionByName(_settled(*between, bad))
+    found = materialize(outcome.gate(found, policy, custom), "conditions")
+    is_file = F.col("revision_type") == names.link_of_name("file")
+    open_ = F.lit(False) if files is not None else (F.col("kind") == "object") & is_file
+    if not check_templates:
+        open_ = open_ | (F.col("kind") == "object") | ((F.col("kind") == "anchor") & (F.col("method") == "tree") & F.col("leaves").isNull())
+    unchecked = rev.groupBy("tree_id").agg(F.count(F.when(open_, 1)).alias("n_unchecked"))
+    return outcome.outcomes(rev, found, policy, custom).join(unchecked, "tree_id", "left"), found

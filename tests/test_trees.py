@@ -81,7 +81,7 @@ def test_policies():
     assert outcome.concerns({}) == [] and outcome.concerns(dict.fromkeys(outcome.POINTS, "W")) == []
     assert outcome.concerns({"wasm_untrusted_signer": "W"}) == ["conflicting_wasm_policy", "untrusted_wasm_without_other_relaxation"]
     assert outcome.concerns({"unsigned_template": "W"}) == ["unsigned_weaker_than_untrusted"]
-    assert dict(zip(outcome.POINTS, outcome.PRESETS["offline"]))["ancestor_template_not_found"] == "F"
+    assert outcome.PRESETS["offline"]["ancestor_template_not_found"] == "F"
 
 
 def test_names_and_columns(spark):
