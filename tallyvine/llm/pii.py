@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from .common import draw, small_batches, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: An email is what may stand before an at sign, found leftwards from it, and this from it on; so runs without an at sign are passed over once.
+LOCAL, DOMAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-", re.compile(r"@[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
+#: A match that begins within a run of digits also begins with it, so only beginnings of runs are tried.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: The CRF's variables: runs of non-blanks that hold a digit or an at sign. All other tokens are outside by definition.
-TOKEN = re.compile(r"[^\s0-9@]*[0-9@]\S*")
+#: The CRF's variables: runs of non-blanks that hold a digit or an at sign. All other tokens are outside by definition. A run is tried from its beginning alone.
+TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
 DIGITS = re.compile(r"[0-9().+-]+")
 
 LABELS = len(KINDS) + 1  # 0 is outside
@@ -43,11 +45,24 @@ def _octet(digits: str) -> bool:
     return len(digits) <= 3 and int(digits or "0") <= 255
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the leftmost emails without overlap."""
+    out, low, at = [], 0, text.find("@")
+    while at >= 0:
+        start = low + len(text[low:at].rstrip(LOCAL))
+        m = DOMAIN.match(text, at) if start < at else None
+        if m:
+            out.append((start, m.end()))
+        low = m.end() if m else at + 1
+        at = text.find("@", low)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of the fixed patterns, by start, then kind: leftmost matches without overlap, failing ones dropped."""
     out = []
     if "@" in text:
-        out += [(*m.span(), 0) for m in EMAIL.finditer(text)]
+        out += [(*span, 0) for span in emails(text)]
     if "." in text:
         out += [(*m.span(), 1) for m in IP.finditer(text) if all(_octet(p) for p in m[0].split("."))]
     for m in CARD.finditer(text):
@@ -98,9 +113,15 @@ def features_of(text: str, toks: list[tuple[int, int, str]]) -> list[list[int]]:
 def _labels(toks, spans) -> np.ndarray:
     """The kind (from 1) of the span that covers most of each token, else 0."""
     out = np.zeros(len(toks), np.int64)
+    near: list[tuple[int, int, int]] = []  # the spans that reach to this token or farther
+    at = 0
     for i, (s, e, _) in enumerate(toks):
+        while at < len(spans) and spans[at][0] < e:
+            near.append(spans[at])
+            at += 1
+        near = [x for x in near if x[1] > s]
         best = 0
-        for a, b, k in spans:
+        for a, b, k in near:
             n = min(e, b) - max(s, a)
             if n > best and 2 * n >= e - s:
                 best, out[i] = n, k + 1
@@ -281,11 +302,16 @@ def all_spans(text: str, crf: Crf | None) -> tuple[list[tuple[int, int, int]], l
     if not free:
         return base, base
     post = crf.posteriors(text, toks, base, known)
-    more = []
+    more: list[tuple[int, int, int]] = []
+    near, at = [], 0
     for i in free:
         k = int(post[i].argmax())
         s, e, w = toks[i]
-        if k and post[i, k] >= SURE and not any(s < b and a < e for a, b, _ in base):
+        while at < len(base) and base[at][0] < e:
+            near.append(base[at])
+            at += 1
+        near = [x for x in near if x[1] > s]
+        if k and post[i, k] >= SURE and not near:
             if more and more[-1][2] == k - 1 and s - more[-1][1] <= 1:
                 more[-1] = (more[-1][0], e, k - 1)
             else:
