@@ -19,12 +19,16 @@ from .common import small_batches, texts_of
 
 #: Bytes of text whose words are encoded together; a longer text is a batch of its own.
 BATCH_BYTES = 6 << 20
+#: Bytes of input that a task should take at least, where that leaves a task for every core: a word is folded once a task.
+TASK_BYTES = 32 << 20
 #: Words of one row, and the distinct words that a task remembers before it begins anew.
 ROW_WORDS, TASK_WORDS = 1 << 14, 1 << 20
 #: Bytes from which a word is merged by a heap where it is found, as the fold takes steps in the square of a word's length.
 LONG_WORD = 512
 #: A bound above every token id, and the entry of a pair that is no token.
 IDS, EMPTY = 1 << 16, 1 << 40
+#: Bits of a symbol's place in its word, below an entry of the map.
+PLACE_BITS = 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,7 +51,7 @@ def merges_of(ranks: dict[bytes, int]) -> np.ndarray:
 def rank_tables(merges: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shift, mark, slots): the rank map as a sparse matrix, its rows laid over one another without overlap.
 
-    The entry of a pair is slots[shift[left] + right] = mark[left] | merged id, with mark = left << 16; what no pair owns is EMPTY.
+    The entry of a pair is slots[shift[left] + right] = mark[left] | merged id, with mark = left << 16; what no pair owns is EMPTY. Shifts of ids without pairs lead beyond the slots.
     """
     shift, mark = np.full(width, 1 << 30, np.int64), np.arange(width, dtype=np.int64) << 16
     free = np.ones(4 * width + 4 * len(merges) + 8, bool)
@@ -95,30 +99,31 @@ def _literal(values, kind: str = "bigint") -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def fold_merges(symbols: Column, shift: Column, mark: Column, slots: Column) -> Column:
+def fold_merges(symbols: Column, shift: Column, slots: Column) -> Column:
     """The ids that ranked merging leaves of an array of ids (int): in each step the pair of lowest rank, leftmost first, becomes one.
 
     An entry differs from its row's mark in the low 16 bits alone, so the exclusive or is the merged id for a pair in the map
-    and larger than any id, or null, for every other pair.
+    and larger than any id for every other pair; with the pair's place below it, the least of these numbers tells both. The last symbol has no pair: null.
     """
 
-    def ranked(a: Column, b: Column) -> Column:
-        return F.get(slots, F.get(shift, a) + b).bitwiseXOR(F.get(mark, a))
-
     def step(s: Column, _: Column) -> Column:
-        ranks = F.zip_with(s, F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), ranked)  # null at the end
-        best = F.transform(F.array(ranks), lambda r: F.struct(F.array_min(r).alias("id"), F.array_position(r, F.array_min(r)).cast("int").alias("at")))  # a let
-        merged = F.transform(
-            best,
-            lambda m: F.when(
-                m["id"] < IDS, F.concat(F.slice(s, F.lit(1), m["at"] - 1), F.array(m["id"].cast("int")), F.slice(s, m["at"] + 2, F.size(s)))
-            ).otherwise(s),
-        )
-        return F.get(merged, F.lit(0))
+        def ranked(x: Column, i: Column) -> Column:
+            merged = F.get(slots, F.get(shift, x) + F.get(s, i + 1)).bitwiseXOR(F.shiftleft(x.cast("bigint"), 16))
+            return F.shiftleft(merged, PLACE_BITS).bitwiseOR(i.cast("bigint"))
+
+        least = F.transform(F.array(F.array_min(F.transform(s, ranked))), lambda m: _merged_at(s, m))  # a let
+        return F.get(least, F.lit(0))
 
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(symbols) - 1, F.lit(1))), symbols, step)
 
 
+def _merged_at(s: Column, m: Column) -> Column:
+    """The symbols with the pair that the number m names made one, or as they are if it names no pair."""
+    at = m.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    one = F.array(F.shiftright(m, PLACE_BITS).cast("int"))
+    return F.when(m < (IDS << PLACE_BITS), F.concat(F.slice(s, F.lit(1), at), one, F.slice(s, at + 3, F.size(s)))).otherwise(s)
+
+
 def _pieces(ranks: dict[bytes, int]) -> Column:
     """The tokens' bytes by id, as a literal of hex texts; nothing where no token has the id."""
     names = [""] * (max(ranks.values(), default=-1) + 1)
@@ -201,12 +206,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     In one pass without a shuffle: a task cuts its texts into words, batch by batch, and hands on rows of the distinct words it
     has not met before, then a row that holds the batch's texts as word numbers; Spark folds the words and concatenates the
     binary pieces of what they became; then the documents' ids and bytes are put together from their words'. Rows of a
-    partition keep their order through these steps, so a word is folded once a task. A task that has met TASK_WORDS words
+    partition keep their order through these steps, so a word is folded once a task; small splits of the input are put together for that. A task that has met TASK_WORDS words
     forgets them all and says so in the next row, which bounds memory. Words of LONG_WORD bytes and more are merged by a heap.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    ranks, merges, (shift, mark, slots) = _rank_map(ranks_path, os.stat(ranks_path).st_mtime_ns)
+    ranks, merges, (shift, _, slots) = _rank_map(ranks_path, os.stat(ranks_path).st_mtime_ns)
     known = spark.sparkContext.broadcast((ranks, merges))
     single = [ranks[bytes([b])] for b in range(256)]
     kind = "doc_ids array<long>, words array<array<int>>, done array<array<int>>, of_run binary, sizes binary, codes binary, counts binary, reset boolean"
@@ -281,9 +286,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         if held:
             yield from flush(ids, held)
 
-    rows = texts_of(docs, id_col, text_col).mapInArrow(cut, kind)
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    texts = texts_of(docs, id_col, text_col)
+    rows = (texts.coalesce(tasks) if tasks < 1 << 31 else texts).mapInArrow(cut, kind)
     names = _pieces(ranks)
-    merged = F.concat(F.transform("words", lambda w: fold_merges(w, _literal(shift, "int"), _literal(mark), _literal(slots))), "done")
+    merged = F.concat(F.transform("words", lambda w: fold_merges(w, _literal(shift, "int"), _literal(slots))), "done")
     rows = rows.withColumn("words", merged).withColumn("bytes", F.transform("words", lambda ids: decoded(ids, names))).drop("done")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
