@@ -286,7 +286,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         if held:
             yield from flush(ids, held)
 
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
     texts = texts_of(docs, id_col, text_col)
     rows = (texts.coalesce(tasks) if tasks < 1 << 31 else texts).mapInArrow(cut, kind)
