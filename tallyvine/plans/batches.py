@@ -139,3 +139,30 @@ def proof_faults(rows: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     return rows.withColumn("code", code("payload", "target"))
+
+
+def round_anchors(anchors: DataFrame, artifacts: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
+    """turn_id, n_artifacts, root, fault of anchors(turn_id, artifact_count, leaf_hashes as hex texts, merkle_root as hex text): whether each commits to the artifacts of its turn.
+
+    artifacts(turn_id, seq, link as bytes) are committed to in the order of seq, link: leaf = hashed(0x00 and link), pairs as in levels(). fault is the first that holds:
+    "empty" (the turn has no artifacts), "artifact_count", "leaf_hashes" (another link, or another order), "merkle_root", else null. Turns without an
+    anchor are left out. A turn's artifacts are ranked by a window and gathered for the comparison of the list, which the anchor holds as one value.
+    """
+    from pyspark.sql import Window
+
+    place = Window.partitionBy("turn_id").orderBy("seq", "link")
+    a = artifacts.join(anchors.select("turn_id").distinct(), "turn_id", "left_semi").withColumn("idx", F.row_number().over(place) - 1)
+    a = materialize(a.select("turn_id", "idx", "link"), "artifacts")
+    leaf = hashed(F.concat(F.lit(H.LEAF), F.col("link")))
+    top = roots(levels(a.select(F.col("turn_id").alias("tree_id"), "idx", leaf.alias("node")), hashed)).withColumnRenamed("tree_id", "turn_id")
+    lists = a.groupBy("turn_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("idx", H.render_hex(F.col("link")).alias("x")))).alias("all"))
+    lists = lists.select("turn_id", "n", F.transform("all", lambda s: s["x"]).alias("made"))
+    rows = anchors.join(lists, "turn_id", "left").join(top, "turn_id", "left")
+    same = lambda x, y: F.coalesce(x == y, F.lit(False))
+    fault = (
+        F.when(F.col("n").isNull(), "empty")
+        .when(~same(F.col("artifact_count"), F.col("n")), "artifact_count")
+        .when(~same(F.col("leaf_hashes"), F.col("made")), "leaf_hashes")
+        .when(~same(F.col("merkle_root"), H.render_hex(F.col("root"))), "merkle_root")
+    )
+    return rows.select("turn_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_artifacts"), "root", fault.alias("fault"))

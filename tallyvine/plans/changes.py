@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import link_column
+from ..functions.canonical import leaves_column, link_column
 from ..functions.hashing import digest_column, render_hex
+from ..session import materialize
 
 # Foundation templates, the version, and content types by file name ending.
 VERSION = "https://aqua-protocol.org/docs/v4/schema"
@@ -83,6 +84,35 @@ def append_objects(tips: DataFrame, objects: DataFrame, now: int, seed: str, met
     return seal(rows.withColumn("raw", raw), algorithm).select("tree_id", "prev", "link", "raw")
 
 
+def link_trees(ends: DataFrame, links: DataFrame, names: DataFrame, now: int, seed: str, method: str = "scalar") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(revisions, files, refused) for links(tree_id, linked_id, ordinal): an anchor after the end of each tree that refers to the ends of the trees it is linked to.
+
+    revisions(tree_id, prev, link, raw): links by SHA3-256, compositional ones with the role "composition" in the order of ordinal, linked_id, and leaves for the tree method.
+    files(tree_id, link, file_name): the main file names of the linked trees by their ends. ends(tree_id, link) has the last revision on each tree's chain,
+    names(tree_id, main_file) its main file name. A linked tree without an end is skipped. refused(tree_id, fault): "no_end" (the tree has none), "no_links"
+    (it is linked to nothing that has an end), "no_file_name" (a linked tree has none); a refused tree gets nothing. An anchor's links are one value, so they are gathered.
+    """
+    wanted = links.select("tree_id", "linked_id", "ordinal").distinct()
+    tip = ends.select(F.col("tree_id").alias("linked_id"), F.col("link").alias("target"))
+    file = names.select(F.col("tree_id").alias("linked_id"), "main_file")
+    met = materialize(wanted.join(tip, "linked_id", "left").join(file, "linked_id", "left"), "linked")
+    one = F.struct("ordinal", "linked_id", F.struct(render_hex(F.col("target")).alias("hash"), F.lit("composition").alias("role")).alias("link"))
+    lists = met.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.when(F.col("target").isNotNull(), one))).alias("all"), F.max(F.col("target").isNotNull() & F.col("main_file").isNull()).alias("unnamed"))
+    rows = lists.join(ends.select("tree_id", F.col("link").alias("prev")), "tree_id", "left")
+    fault = F.when(F.col("prev").isNull(), "no_end").when(F.size("all") == 0, "no_links").when(F.col("unnamed"), "no_file_name")
+    rows = materialize(rows.withColumn("fault", fault), "linking")
+    good = rows.where("fault is null").withColumn("comp", F.transform("all", lambda x: x["link"]))
+    salt = nonce(seed, F.col("tree_id"), F.col("prev"), F.to_json("comp"))
+    none = F.array().cast("array<string>").alias("structural_links")
+    made = _revision(F.lit(ANCHOR_TEMPLATE), F.lit(now), salt, method, render_hex(F.col("prev")).alias("previous_revision"), none, F.col("comp").alias("compositional_links"))
+    made = seal(good.withColumn("raw", made))
+    if method == "tree":
+        with_leaves = F.concat(F.substring("raw", F.lit(1), F.length("raw") - 1), F.lit(',"leaves":'), F.to_json(leaves_column(F.col("raw"), F.lit("sha3"))), F.lit("}"))
+        made = made.withColumn("raw", with_leaves)
+    files = met.where("target is not null").join(made.select("tree_id"), "tree_id", "left_semi").select("tree_id", F.col("target").alias("link"), F.col("main_file").alias("file_name")).distinct()
+    return made.select("tree_id", "prev", "link", "raw"), files, rows.where("fault is not null").select("tree_id", "fault")
+
+
 def without_last(rev: DataFrame, tips: DataFrame) -> DataFrame:
     """rev without the revision of each tree that tips(tree_id, link) names; trees that tips lacks stay whole."""
     return rev.join(tips.select("tree_id", "link").distinct(), ["tree_id", "link"], "left_anti")
