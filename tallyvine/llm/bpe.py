@@ -19,8 +19,8 @@ from .common import small_batches, texts_of
 
 #: Bytes of text whose words are encoded together; a longer text is a batch of its own.
 BATCH_BYTES = 6 << 20
-#: Bytes of input that a task should take at least, where that leaves a task for every core: a word is folded once a task.
-TASK_BYTES = 32 << 20
+#: Documents whose repeated words are folded first, once for all tasks (a sample of about so many): this bounds what is broadcast, and only time depends on it.
+FIRST_DOCS = 8_000
 #: Words of one row, and the distinct words that a task remembers before it begins anew.
 ROW_WORDS, TASK_WORDS = 1 << 14, 1 << 20
 #: Bytes from which a word is merged by a heap where it is found, as the fold takes steps in the square of a word's length.
@@ -196,6 +196,41 @@ def cut_runs(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
     return _on_end(pa.py_buffer(data), np.r_[starts, len(data)], pa.string()), np.diff(np.searchsorted(starts, ends))
 
 
+def first_words(texts: DataFrame, pattern: str, known, single: list[int], folded, names: Column) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, pa.Array]:
+    """(number of each word, its ids on end, where each word's end, their bytes) of words that about FIRST_DOCS of texts(doc_id, text) have more than once.
+
+    folded(symbols) gives the ids of a word. Tokens, and words of LONG_WORD bytes and more, are left out.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        match, direct, of_byte = regex.compile(pattern), known.value[0], np.array(single, np.int32)
+        n: dict[bytes, int] = {}
+        for batch in batches:
+            runs = cut_runs(batch.column(1))[0].value_counts()
+            for x, c in zip(runs.field(0).to_pylist(), runs.field(1).to_pylist()):
+                for w in match.findall(x):
+                    w = w.encode("utf-8", "surrogatepass")
+                    if len(w) < LONG_WORD and w not in direct:
+                        n[w] = n.get(w, 0) + c
+        words = list(n)
+        for s in range(0, len(words), ROW_WORDS):
+            own = words[s : s + ROW_WORDS]
+            symbols = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]).astype(np.int32)), pa.array(of_byte[np.frombuffer(b"".join(own), np.uint8)]))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), symbols, pa.array([n[w] for w in own], pa.int64())], ["word", "symbols", "n"])
+
+    total = texts.count()
+    drawn = texts.sample(min(1.0, FIRST_DOCS / max(1, total)), 7)
+    words = drawn.mapInArrow(counted, "word binary, symbols array<int>, n long").groupBy("word").agg(F.first("symbols").alias("symbols"), F.sum("n").alias("n")).where("n > 1")
+    got = words.select("word", folded(F.col("symbols")).alias("ids")).select("word", "ids", decoded(F.col("ids"), names).alias("bytes")).toArrow().combine_chunks()
+    lists = got.column("ids").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    flat = lists.flatten().to_numpy().astype(np.int32)
+    ends = np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))
+    data = got.column("bytes").combine_chunks().cast(pa.binary()) if got.num_rows else pa.array([], pa.binary())
+    return {w: i for i, w in enumerate(got.column("word").to_pylist())}, flat, ends, data
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (decimal, parted by blanks), decoded (binary) for every row of docs.
 
@@ -206,7 +241,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     In one pass without a shuffle: a task cuts its texts into words, batch by batch, and hands on rows of the distinct words it
     has not met before, then a row that holds the batch's texts as word numbers; Spark folds the words and concatenates the
     binary pieces of what they became; then the documents' ids and bytes are put together from their words'. Rows of a
-    partition keep their order through these steps, so a word is folded once a task; small splits of the input are put together for that. A task that has met TASK_WORDS words
+    partition keep their order through these steps, so a word is folded once a task. Words that a sample of FIRST_DOCS documents has more than once are folded before that, for all tasks. A task that has met TASK_WORDS words
     forgets them all and says so in the next row, which bounds memory. Words of LONG_WORD bytes and more are merged by a heap.
     """
     spark = docs.sparkSession
@@ -214,12 +249,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     ranks, merges, (shift, _, slots) = _rank_map(ranks_path, os.stat(ranks_path).st_mtime_ns)
     known = spark.sparkContext.broadcast((ranks, merges))
     single = [ranks[bytes([b])] for b in range(256)]
+    names, texts = _pieces(ranks), texts_of(docs, id_col, text_col)
+    folded = lambda w: fold_merges(w, _literal(shift, "int"), _literal(slots))
+    first = spark.sparkContext.broadcast(first_words(texts, pattern, known, single, folded, names))
     kind = "doc_ids array<long>, words array<array<int>>, done array<array<int>>, of_run binary, sizes binary, codes binary, counts binary, reset boolean"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        match, (direct, merges) = regex.compile(pattern), known.value
+        match, (direct, merges), before = regex.compile(pattern), known.value, first.value[0]
+        base = IDS + len(before)
         pairs: dict[tuple[int, int], int] = {}
         words: dict[bytes, int] = {}
         of_byte = np.array(single, np.int32)
@@ -243,12 +282,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             for x in coded.dictionary.to_pylist():
                 plain = x.isascii() and (x.isalpha() or x[:1] == " " and x[1:].isalpha())
                 own = [w.encode("utf-8", "surrogatepass") for w in ([x] if plain else match.findall(x))]
-                # tokens keep their id; other words are numbered from IDS on, long ones after all others of the batch
+                # tokens keep their id; other words are numbered from IDS on: those folded first, then the task's, long ones after all others of the batch
                 for w in own:
                     if w in direct:
                         of_run.append(direct[w])
+                    elif w in before:
+                        of_run.append(IDS + before[w])
                     elif len(w) < LONG_WORD or w in words:
-                        of_run.append(IDS + words.setdefault(w, len(words)))
+                        of_run.append(base + words.setdefault(w, len(words)))
                     else:
                         long.append((len(of_run), w))
                         of_run.append(0)
@@ -264,7 +305,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     words[w] = len(words)
                     yield row([], [], [heap_merged(of_byte[np.frombuffer(w, np.uint8)].tolist(), pairs)], (b"", b"", b"", b""), reset)
                     reset = False
-                of_run[at] = IDS + words[w]
+                of_run[at] = base + words[w]
             blobs = (np.array(of_run, "<i4"), np.array(sizes, "<i4"), coded.indices.to_numpy().astype("<i4"), counts.astype("<i4"))
             yield row(ids, [], [], tuple(b.tobytes() for b in blobs), reset)
 
@@ -286,25 +327,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         if held:
             yield from flush(ids, held)
 
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
-    texts = texts_of(docs, id_col, text_col)
-    rows = (texts.coalesce(tasks) if tasks < 1 << 31 else texts).mapInArrow(cut, kind)
-    names = _pieces(ranks)
-    merged = F.concat(F.transform("words", lambda w: fold_merges(w, _literal(shift, "int"), _literal(slots))), "done")
+    rows = texts.mapInArrow(cut, kind)
+    merged = F.concat(F.transform("words", folded), "done")
     rows = rows.withColumn("words", merged).withColumn("bytes", F.transform("words", lambda ids: decoded(ids, names))).drop("done")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         direct = {i: t for t, i in known.value[0].items()}
         every = range(max(direct, default=-1) + 1)
         name, piece = pa.array([f" {i}" for i in every], pa.string()), pa.array([direct.get(i, b"") for i in every], pa.binary())
-        none = pa.array([], pa.binary())
-        flat, ends, data = [np.empty(0, np.int32)], [np.zeros(1, np.int64)], [none]  # ids of the task's words, where each word's end, their bytes
+        _, ids0, ends0, bytes0 = first.value
+        begin = lambda: ([ids0], [np.concatenate([[0], ends0])], [bytes0])  # noqa: E731  ids of the words, where each word's end, their bytes
+        flat, ends, data = begin()
         for batch in batches:
             for r in range(batch.num_rows):
                 one = {n: c[r] for n, c in zip(batch.schema.names, batch.columns)}
                 if one["reset"].as_py():
-                    flat, ends, data = [np.empty(0, np.int32)], [np.zeros(1, np.int64)], [none]
+                    flat, ends, data = begin()
                 lists = one["words"].values
                 if len(lists):
                     ends.append(ends[-1][-1] + np.cumsum(np.diff(lists.offsets.to_numpy())))
