@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, hashing
-from ..plans import audit, batches, catalogue, changes, export, topology, verify
+from ..plans import audit, batches, catalogue, changes, export, narrowing, topology, verify
 from ..session import materialize
 from ..sources import records
 from .queries import query, table
@@ -160,3 +160,56 @@ def round_commitments(spark, sf_dir):
     added = lists.where("case = 3").select("turn_id", (F.col("top") + 1).alias("seq"), F.unhex(F.lit(WRONG[2:])).alias("link"))
     found = batches.round_anchors(said, now.select("turn_id", "seq", "link").unionByName(added), sha3)
     return found.select("turn_id", "n_artifacts", F.coalesce("fault", F.lit("")).alias("fault"))
+
+
+#: What a planted child schema does to its parent's, by order mod 16: (fault, property, keyword).
+_NARROWED = (
+    None, None, ("new_property", "zz", ""), ("removed_required", "kind", ""), None, ("widened", "note", "maxLength"), ("widened", "note", "minLength"), ("widened", "id", "maximum"), ("widened", "id", "minimum"),
+    ("widened", "price", "exclusiveMaximum"), ("widened", "price", "exclusiveMinimum"), ("widened", "kind", "enum"), None, ("widened", "mode", "const"), ("widened", "kind", "pattern"), ("invalid_structure", "id", "maximum"),
+)
+_NARROWED_SQL = "VALUES " + ", ".join(f"({i}, '{x[0]}', '{x[1]}', '{x[2]}')" for i, x in enumerate(_NARROWED) if x)
+
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN o_custkey % 7 = 6 THEN 'unresolved' WHEN fault IS NOT NULL THEN fault WHEN o_custkey % 5 >= 3 THEN 'max_depth' ELSE '' END AS fault,
+  CASE WHEN o_custkey % 7 = 6 OR fault IS NULL THEN '' ELSE field END AS field, CASE WHEN o_custkey % 7 = 6 OR fault IS NULL THEN '' ELSE word END AS word,
+  CAST(CASE WHEN o_custkey % 7 = 6 OR fault IS NOT NULL OR o_custkey % 5 >= 3 THEN 0 ELSE o_custkey % 5 + 1 END AS INTEGER) AS n_ancestors, o_custkey % 7 = 6 OR fault IS NOT NULL OR o_custkey % 5 >= 3 OR true AS holds
+FROM orders LEFT JOIN ({_NARROWED_SQL}) AS n(f, fault, field, word) ON o_orderkey % 16 = f""")
+def derived_templates(spark, sf_dir):
+    """A template derived for every order from its customer's, which has up to four ancestors: narrowings are made, widenings of all rules are refused with the first one.
+
+    holds: what was made hashes to its link and names its parent last.
+    """
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", (F.col("o_orderkey") % 16).alias("f"), (F.col("o_custkey") + 10).alias("top"))
+    c = o.select("o_custkey").distinct()
+    most = F.col("o_custkey") + 10
+    lit = F.lit
+
+    def schema(required: Column, **props: Column) -> Column:
+        return F.struct(lit("object").alias("type"), required.alias("required"), F.struct(*(v.alias(k) for k, v in props.items())).alias("properties"))
+
+    def prop(**words: Column) -> Column:
+        return F.struct(*(v.alias(k) for k, v in words.items()))
+
+    parts = {
+        "id": prop(minimum=lit(0), maximum=most), "kind": prop(enum=F.array(lit("a"), lit("b"), lit("c")), pattern=lit("^[a-z]$")), "note": prop(maxLength=lit(100), minLength=lit(2)),
+        "price": prop(exclusiveMinimum=lit(0), exclusiveMaximum=lit(1000)), "mode": prop(const=lit("x")),
+    }
+    ancestor = F.transform(F.sequence(lit(1), lit(4)), lambda i: F.concat(lit("0x1620"), F.sha2(i.cast("string"), 256)))
+    body = F.struct(lit(META).alias("revision_type"), F.concat(lit("0x"), F.md5(F.col("o_custkey").cast("string"))).alias("nonce"), lit(1).alias("local_timestamp"), lit("v").alias("version"), lit("scalar").alias("method"),
+                    schema(F.array(lit("id"), lit("kind")), **parts).alias("schema"), F.when(F.col("o_custkey") % 5 > 0, F.slice(ancestor, lit(1), (F.col("o_custkey") % 5).cast("int"))).alias("ancestry"))
+    parents = materialize(c.withColumn("raw", F.to_json(body)).withColumn("link", _link(F.col("raw"))), "parents")
+    f, when = F.col("f"), lambda i, x, y: F.when(F.col("f") == i, x).otherwise(y)
+    top = F.when(f == 7, F.col("top") + 1).when(f == 1, F.col("top") - 1).otherwise(F.col("top"))
+    number = F.when(f == 15, lit('"many"')).otherwise(top.cast("string"))
+    kind = F.struct(F.when(f == 11, F.array(lit("a"), lit("d"))).when(f != 12, F.array(lit("c"), lit("a"))).alias("enum"), F.when(~f.isin(12, 14), lit("^[a-z]$")).alias("pattern"), F.when(f == 12, lit("b")).alias("const"))
+    child = schema(
+        F.when(f.isin(3, 4), F.array(lit("id"))).otherwise(F.array(lit("id"), lit("kind"))), id=F.struct(when(8, lit(-1), lit(0)).alias("minimum"), lit("TOP").alias("maximum")), kind=F.when(f != 3, kind),
+        note=prop(maxLength=when(5, lit(101), lit(100)), minLength=when(6, lit(1), lit(2))), price=prop(exclusiveMinimum=when(10, lit(-1), lit(0)), exclusiveMaximum=when(9, lit(1001), lit(1000))), mode=prop(const=when(13, lit("y"), lit("x"))), zz=F.when(f == 2, prop(type=lit("string"))),
+    )
+    rows = o.join(parents.select("o_custkey", "link"), "o_custkey")
+    rows = rows.select("id", F.when(F.col("o_custkey") % 7 == 6, F.unhex(lit(WRONG[2:]))).otherwise(F.col("link")).alias("parent"), F.replace(F.to_json(child), lit('"TOP"'), number).alias("schema"))
+    made, rejects = narrowing.derive(parents.select("link", "raw"), materialize(rows, "children"), 5, "planted")
+    good = (_link(F.col("raw")) == F.col("link")) & (F.get_json_object("raw", "$.derives_from") == F.element_at("ancestry", -1))
+    made = made.select("id", F.size("ancestry").alias("n_ancestors"), good.alias("holds"))
+    out = o.select("id").join(rejects, "id", "left").join(made, "id", "left")
+    return out.select("id", *(F.coalesce(x, lit("")).alias(x) for x in ("fault", "field", "word")), F.coalesce("n_ancestors", lit(0)).alias("n_ancestors"), F.coalesce("holds", lit(True)).alias("holds"))

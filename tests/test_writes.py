@@ -4,7 +4,7 @@ import hashlib
 import json
 
 from tallyvine.functions import canonical, hashing
-from tallyvine.plans import audit, batches, builtin, catalogue, changes, export, verify
+from tallyvine.plans import audit, batches, builtin, catalogue, changes, export, narrowing, verify
 from tallyvine.sources import records
 
 
@@ -110,5 +110,37 @@ def test_round_anchors(spark):
     assert {r["turn_id"]: r["fault"] for r in got} == {"good": None, "none": "empty", "null": "artifact_count", "order": "leaf_hashes", "root": "merkle_root"}
 
 
+def test_first_violations_of_narrowing(spark):
+    """Several violations: the first by rule, property and keyword stands; what is no schema has no properties."""
+    parent = {"required": ["b", "a"], "properties": {"a": {"minimum": 1, "enum": [1, "1", {"x": 1, "y": 2}], "const": None}, "b": {"maxLength": 5, "pattern": "x"}, "c": {}}}
+    cases = {
+        "same": (parent, None), "twice new": ({"properties": {"z": {}, "y": {}}}, ("new_property", "y", None)), "none left": ({}, ("removed_required", "b", None)),
+        "types": ({"required": ["b", "a"], "properties": {"a": {"minimum": 1, "enum": ["1"], "const": None}}}, None), "other type": ({"required": ["b", "a"], "properties": {"a": {"minimum": 1, "enum": [2], "const": None}}}, ("widened", "a", "enum")),
+        "keys": ({"required": ["b", "a"], "properties": {"a": {"minimum": 1.0, "enum": [{"y": 2, "x": 1}], "const": None}}}, None), "no const": ({"required": ["b", "a"], "properties": {"a": {"minimum": 1, "enum": [1]}}}, ("widened", "a", "const")),
+        "const for bounds": ({"required": ["b", "a"], "properties": {"b": {"const": "xx"}}}, None), "dropped": ({"required": ["b", "a"], "properties": {"b": {}, "c": {"minimum": 4}}}, ("widened", "b", "maxLength")),
+        "true": ({"required": ["b", "a"], "properties": {"c": True}}, None), "list": ([], ("removed_required", "b", None)),
+    }
+    rows = [(k, json.dumps(parent), json.dumps(child)) for k, (child, _) in cases.items()] + [("null", json.dumps(parent), None), ("no parent", None, '{"properties": {"q": {}}}'), ("neither", None, "{")]
+    got = {r["id"]: (r["fault"], r["field"], r["word"]) for r in narrowing.faults(spark.createDataFrame(rows, "id string, parent string, child string")).collect()}
+    want = {k: w for k, (_, w) in cases.items() if w} | {"null": ("removed_required", "b", None), "no parent": ("new_property", "q", None)}
+    assert got == want
+
+
+def test_derived_templates_verify(spark):
+    """A template derived from one that a tree holds is a template of that tree, and its objects are held against it."""
+    root, root_body = template(schema={"type": "object", "properties": {"n": {"maximum": 9}}})
+    parents = spark.createDataFrame([(bytearray(root), canonical.render(root_body))], "link binary, raw string")
+    children = spark.createDataFrame([(1, bytearray(root), json.dumps({"type": "object", "properties": {"n": {"maximum": 5}}})), (2, bytearray(root), "{"), (3, bytearray(b"x"), "{}")], "id int, parent binary, schema string")
+    made, rejects = narrowing.derive(parents, children, 3, "s")
+    assert {(r["id"], r["fault"]) for r in rejects.collect()} == {(2, "no_schema"), (3, "unresolved")}
+    (row,) = made.collect()
+    trees = {}
+    for name, n in (("good", 5), ("bad", 6)):
+        r = {"revision_type": text(bytes(row["link"])), "nonce": "0x" + "ab" * 16, "local_timestamp": 9, "version": "v", "method": "scalar", "payloads": {"n": n}}
+        trees[name] = {"revisions": {text(canonical.link_of(r, "sha3")): r, text(bytes(row["link"])): json.loads(row["raw"]), text(root): root_body}}
+    rev = records.decode(spark.createDataFrame([(k, json.dumps(v)) for k, v in trees.items()], "tree_id string, json string"))
+    assert {r["tree_id"]: r["outcome"] for r in verify.verify(rev)[0].collect()} == {"good": "verified", "bad": "failed"}
+
+
 def test_built_in_bodies_are_known(spark):
     assert {bytes(r["link"]) for r in builtin.templates(spark).collect()} < {bytes(r["link"]) for r in catalogue.catalogue(spark).collect()}
