@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import canonical, hashing
-from ..plans import audit, batches, catalogue, changes, export, narrowing, topology, verify
+from ..functions import canonical, hashing, sql
+from ..plans import audit, batches, catalogue, changes, create, export, narrowing, topology, verify
 from ..session import materialize
 from ..sources import records
 from .queries import query, table
@@ -172,7 +172,7 @@ _NARROWED_SQL = "VALUES " + ", ".join(f"({i}, '{x[0]}', '{x[1]}', '{x[2]}')" for
 
 @query(f"""SELECT o_orderkey AS id, CASE WHEN o_custkey % 7 = 6 THEN 'unresolved' WHEN fault IS NOT NULL THEN fault WHEN o_custkey % 5 >= 3 THEN 'max_depth' ELSE '' END AS fault,
   CASE WHEN o_custkey % 7 = 6 OR fault IS NULL THEN '' ELSE field END AS field, CASE WHEN o_custkey % 7 = 6 OR fault IS NULL THEN '' ELSE word END AS word,
-  CAST(CASE WHEN o_custkey % 7 = 6 OR fault IS NOT NULL OR o_custkey % 5 >= 3 THEN 0 ELSE o_custkey % 5 + 1 END AS INTEGER) AS n_ancestors, o_custkey % 7 = 6 OR fault IS NOT NULL OR o_custkey % 5 >= 3 OR true AS holds
+  CAST(CASE WHEN o_custkey % 7 = 6 OR fault IS NOT NULL OR o_custkey % 5 >= 3 THEN 0 ELSE o_custkey % 5 + 1 END AS INTEGER) AS n_ancestors, true AS holds
 FROM orders LEFT JOIN ({_NARROWED_SQL}) AS n(f, fault, field, word) ON o_orderkey % 16 = f""")
 def derived_templates(spark, sf_dir):
     """A template derived for every order from its customer's, which has up to four ancestors: narrowings are made, widenings of all rules are refused with the first one.
@@ -213,3 +213,43 @@ def derived_templates(spark, sf_dir):
     made = made.select("id", F.size("ancestry").alias("n_ancestors"), good.alias("holds"))
     out = o.select("id").join(rejects, "id", "left").join(made, "id", "left")
     return out.select("id", *(F.coalesce(x, lit("")).alias(x) for x in ("fault", "field", "word")), F.coalesce("n_ancestors", lit(0)).alias("n_ancestors"), F.coalesce("holds", lit(True)).alias("holds"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_custkey % 6 AS f FROM orders)
+SELECT id, CASE f WHEN 1 THEN 'TEMPLATE_NOT_FOUND' WHEN 2 THEN 'ANCESTOR_TEMPLATE_NOT_FOUND' WHEN 3 THEN 'SCHEMA_VIOLATION' WHEN 4 THEN 'METHOD' ELSE '' END AS fault, true AS told,
+  CASE WHEN f IN (0, 5) THEN 'verified' ELSE '' END AS outcome FROM o""")
+def validated_objects(spark, sf_dir):
+    """An object for every order, held against its template: four classes of rejects, and how the trees of the others verify.
+
+    told: whether a reject says what is missing or broken.
+    """
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 6).alias("f"), "o_totalprice")
+    lone = {"revision_type": META, "nonce": "0x" + "01" * 16, "local_timestamp": 1, "version": "v", "method": "scalar", "schema": {"type": "object", "required": ["price"], "properties": {"price": {"type": "number", "minimum": 0}}, "additionalProperties": False}}
+    orphan = lone | {"nonce": "0x" + "02" * 16, "derives_from": WRONG, "ancestry": [WRONG]}
+    links = [canonical.link_of(t, "sha3") for t in (lone, orphan)]
+    given = spark.createDataFrame([(None, bytearray(k), canonical.render(t)) for k, t in zip(links, (lone, orphan))], "tree_id string, link binary, raw string")
+    f = F.col("f")
+    kind = F.when(f == 1, WRONG).when(f == 2, "0x" + links[1].hex()).otherwise("0x" + links[0].hex())
+    price = F.round("o_totalprice").cast("long")
+    payload = F.when(f == 4, '{"price":').when(f == 3, F.to_json(F.struct((-price - 1).alias("price"), F.lit(1).alias("other")))).otherwise(F.to_json(F.struct(price.alias("price"))))
+    wanted = o.select("id", F.concat(F.lit("o"), F.col("id").cast("string")).alias("tree_id"), kind.alias("revision_type"), payload.alias("payloads"), F.lit(None).cast("string").alias("file_name"))
+    nothing = spark.createDataFrame([], "tree_id string, link binary")
+    rev = records.decode(spark.createDataFrame([], "tree_id string, json string"))
+    made, rejects = create.objects(wanted, nothing, rev, 7, "planted", given, method="tree")
+    grown = records.decode(export.as_trees(made.select("tree_id", "link", "raw", "file_name")))
+    outcomes = verify.verify(materialize(grown, "grown"), templates=given)[0].select(F.substring("tree_id", 2, 20).cast("long").alias("id"), "outcome")
+    told = F.when(F.col("fault") == "ANCESTOR_TEMPLATE_NOT_FOUND", F.col("detail") == WRONG).when(F.col("fault") == "SCHEMA_VIOLATION", F.col("detail") == "/price: minimum; /other: false").otherwise(F.lit(True))
+    out = o.select("id").join(rejects.select("id", "fault", told.alias("told")), "id", "left").join(outcomes, "id", "left")
+    return out.select("id", F.coalesce("fault", F.lit("")).alias("fault"), F.coalesce("told", F.lit(True)).alias("told"), F.coalesce("outcome", F.lit("")).alias("outcome"))
+
+
+@query("""WITH p AS (SELECT event_id, CAST(props AS JSON) AS j FROM events)
+SELECT event_id, '' AS pointer, '{}' AS value, 'Object' AS kind FROM p UNION ALL SELECT event_id, '/' || key, CAST(value AS VARCHAR), 'Unknown' FROM p, json_each(j)""")
+def pointers_in_sql(spark, sf_dir):
+    """The nodes of events' properties, from SQL alone: a table function, and functions by name."""
+    sql.register(spark)
+    table(spark, sf_dir, "events").createOrReplaceTempView("tallyvine_events")
+    return spark.sql("""
+        SELECT event_id, p.pointer, p.value, rev_kind(CASE WHEN p.pointer = '' THEN concat('0x1620', lower(hex(bare_digest(unhex(sha2(cast(event_id AS string), 256)))))) ELSE p.pointer END) AS kind
+        FROM tallyvine_events, LATERAL flatten_pointers(props) AS p
+    """)

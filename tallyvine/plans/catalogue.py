@@ -97,6 +97,17 @@ def kind_named(revision_type: Column) -> Column:
     )
 
 
+def kind_sql(text: str) -> str:
+    """kind_named() of an SQL expression, as SQL."""
+    import hashlib
+
+    first = hashlib.sha3_256(GENESIS_SEED).hexdigest()
+    signs = [d for n, d in FOUNDATION.items() if n.startswith("signature_")]
+    named = {"Template": [first, FOUNDATION["template_meta"]], "Anchor": [FOUNDATION["anchor_template"]], "Signature": signs, "Timestamp": list(TIMESTAMPS)}
+    cases = " ".join(f"WHEN {text} IN ({', '.join(repr('0x1620' + d) for d in digests)}) THEN '{kind}'" for kind, digests in named.items())
+    return f"CASE WHEN {text} IS NULL OR NOT {text} RLIKE '{LINK}' THEN 'Unknown' {cases} ELSE 'Object' END"
+
+
 def is_branch(kind: Column) -> Column:
     """Whether revisions of a named kind fork off their chain."""
     return kind.isin("Signature", "Anchor", "Timestamp")

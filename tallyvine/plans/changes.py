@@ -73,15 +73,16 @@ def file_trees(files: DataFrame, now: int, seed: str, method: str = "scalar") ->
 
 
 def append_objects(tips: DataFrame, objects: DataFrame, now: int, seed: str, method: str = "scalar", algorithm: str = "sha3") -> DataFrame:
-    """tree_id, prev, link, raw: an object for every row of objects(tree_id, revision_type, payloads as a JSON text), after the tip of its tree.
+    """tree_id, prev, link, raw, and id and file_name where objects has these: an object for every row of objects(tree_id, revision_type, payloads as a JSON text), after the tip of its tree.
 
     tips(tree_id, link) has one row a tree at most. An object of a tree that has no tip begins one. Payloads that are no JSON value give a null link.
     """
-    rows = objects.select("tree_id", "revision_type", "payloads").join(tips.select("tree_id", F.col("link").alias("prev")), "tree_id", "left")
-    salt = nonce(seed, F.col("tree_id"), F.col("prev"), F.col("revision_type"), F.col("payloads"))
+    more = [c for c in ("id", "file_name") if c in objects.columns]
+    rows = objects.select("tree_id", "revision_type", "payloads", *more).join(tips.select("tree_id", F.col("link").alias("prev")), "tree_id", "left")
+    salt = nonce(seed, F.col("tree_id"), F.col("prev"), F.col("revision_type"), F.col("payloads"), *map(F.col, more))
     head = _revision(F.col("revision_type"), F.lit(now), salt, method, render_hex(F.col("prev")).alias("previous_revision"))  # nulls are left out
     raw = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"payloads":'), F.col("payloads"), F.lit("}"))
-    return seal(rows.withColumn("raw", raw), algorithm).select("tree_id", "prev", "link", "raw")
+    return seal(rows.withColumn("raw", raw), algorithm).select("tree_id", "prev", "link", "raw", *more)
 
 
 def link_trees(ends: DataFrame, links: DataFrame, names: DataFrame, now: int, seed: str, method: str = "scalar") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -144,3 +144,44 @@ def test_derived_templates_verify(spark):
 
 def test_built_in_bodies_are_known(spark):
     assert {bytes(r["link"]) for r in builtin.templates(spark).collect()} < {bytes(r["link"]) for r in catalogue.catalogue(spark).collect()}
+
+
+def test_functions_by_name(spark):
+    from pyspark.sql import functions as F
+
+    from tallyvine.functions import sql
+
+    sql.register(spark)
+    good, body = template()
+    kinds = [None, "none", "0x1620" + "AB" * 32, *("0x1620" + d for d in (*catalogue.FOUNDATION.values(), *catalogue.TIMESTAMPS)), "0x1620" + "ab" * 32, audit.GENESIS_TYPE]
+    df = spark.createDataFrame([(k,) for k in kinds], "t string").select(F.expr("rev_kind(t)").alias("a"), catalogue.kind_named(F.col("t")).alias("b"))
+    assert all(r["a"] == r["b"] for r in df.collect())
+    rows = [(canonical.render(body), bytearray(good)), ("{", bytearray(good[2:])), (None, None), ("{}", bytearray(b"\x17\x20" + bytes(32)))]
+    spark.createDataFrame(rows, "raw string, link binary").createOrReplaceTempView("some_links")
+    got = spark.sql("SELECT rev_link(raw, 'sha3') AS made, bare_digest(link) AS bare, multihash_error(link) AS error, merkle_root(array(link)) AS root, schema_problems('{\"type\": \"array\"}', raw) AS problems FROM some_links").collect()
+    assert [r["made"] for r in got][:3] == [text(good), None, None] and [r["bare"] and bytes(r["bare"]) for r in got] == [good[2:], good[2:], None, None]
+    assert [r["error"] for r in got] == [None, hashing.link_error(good[2:]), "missing", "unknown_code"]
+    assert bytes(got[0]["root"]) == good and [r["problems"] for r in got] == [[": type"], ["unchecked"], ["unchecked"], [": type"]]
+    flat = spark.sql("SELECT p.idx, p.pointer, p.value, p.error FROM VALUES ('{\"b\": [1, null], \"a\": \"x\"}'), ('{') AS t(raw), LATERAL flatten_pointers(raw) AS p").collect()
+    assert sorted((r["idx"], r["pointer"], r["value"]) for r in flat if r["error"] is None) == [(0, "", "{}"), (1, "/a", '"x"'), (2, "/b", "[]"), (3, "/b/0", "1"), (4, "/b/1", "null")]
+    assert [r["error"] for r in flat if r["error"]] == ["invalid JSON"]
+
+
+def test_objects_after_ends(spark):
+    """Built-in templates, templates that the tree itself holds, ends and names; without the check only built-in payloads are looked at."""
+    from tallyvine.plans import create
+
+    own, body = template(schema={"type": "object", "properties": {"n": {"type": "integer"}}})
+    held = {"revisions": {text(own): body}}
+    rev = records.decode(spark.createDataFrame([("t", json.dumps(held))], "tree_id string, json string"))
+    ends = spark.createDataFrame([("t", bytearray(own))], "tree_id string, link binary")
+    file = catalogue.link_of_name("file")
+    rows = [(1, "t", text(own), '{"n": 1}', "one"), (2, "u", text(own), '{"n": 1}', None), (3, "t", file, '{"n": 1}', None), (4, "t", text(own), None, None), (5, None, None, "1", None)]
+    wanted = spark.createDataFrame(rows, "id int, tree_id string, revision_type string, payloads string, file_name string")
+    made, rejects = create.objects(wanted, ends, rev, 9, "s")
+    assert {r["id"]: r["fault"] for r in rejects.collect()} == {2: "TEMPLATE_NOT_FOUND", 3: "SCHEMA_VIOLATION", 4: "METHOD", 5: "TEMPLATE_NOT_FOUND"}
+    (row,) = made.collect()
+    value = json.loads(row["raw"])
+    assert (row["id"], row["file_name"], value["previous_revision"], value["payloads"]) == (1, "one", text(own), {"n": 1}) and canonical.link_of(value, "sha3") == bytes(row["link"])
+    made, rejects = create.objects(wanted.where("id < 4"), ends, rev, 9, "s", check=False)
+    assert {r["id"] for r in made.collect()} == {1, 2} and {r["id"]: r["fault"] for r in rejects.collect()} == {3: "SCHEMA_VIOLATION"}
