@@ -112,10 +112,13 @@ def fit_tree(sample: np.ndarray, fan: int = 16, depth: int = 2, seed: int = 7) -
     return Tree(levels, fan)
 
 
-def calibrate(tree: Tree, sample: np.ndarray, queries: np.ndarray, k: int, recall: float) -> int:
-    """Leaf visits, widened until the queries find that share of their k best sample vectors."""
-    at = tree.assign(sample)
-    true = np.argpartition(-(queries @ sample.T), min(k, len(sample) - 1), axis=1)[:, :k]
+def calibrate(tree: Tree, sample: np.ndarray, own: np.ndarray, k: int, recall: float) -> int:
+    """Leaf visits, widened until the sample vectors of the numbers own, as queries, find that share of their k best other sample vectors."""
+    at, queries = tree.assign(sample), sample[own]
+    scores = queries @ sample.T
+    scores[np.arange(len(own)), own] = -np.inf
+    k = max(1, min(k, len(sample) - 1))
+    true = np.argpartition(-scores, k - 1, axis=1)[:, :k]
     place = np.empty((len(queries), tree.leaves), np.int64)
     for r, order in enumerate(tree.visits(queries, tree.leaves)):
         place[r, order] = np.arange(tree.leaves)
@@ -201,8 +204,8 @@ def _in_tree(rows: DataFrame, dim: int, total: int, k: int, every: int, recall:
     sample = drawn["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.float64)
     depth = max(1, min(LEVELS, math.ceil(math.log(max(1.0, total / LEAF_ROWS), fan))))
     tree = fit_tree(sample, fan, depth)
-    tries = sample[:: max(1, len(sample) // CALIBRATION)][:CALIBRATION]
-    visits = calibrate(tree, sample, tries, min(k, len(sample)), recall) if total > k + 1 else tree.leaves
+    tries = np.arange(len(sample))[:: max(1, len(sample) // CALIBRATION)][:CALIBRATION]
+    visits = calibrate(tree, sample, tries, k, recall) if total > k + 1 else tree.leaves
     levels = spark.sparkContext.broadcast(tree.levels)  # fan ** LEVELS + ... centroids
 
     def to_leaf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -111,14 +111,15 @@ def _compare(x: pd.DataFrame, y: pd.DataFrame | None, bucket: int, threshold: fl
     return i[first], j[first]
 
 
-def classes_of(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
+def classes_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root: the smallest node that each of nodes(node) is joined to by edges(a, b), by min-label hooking and pointer jumping.
 
-    Each round is written to the shared folder; the number of rounds grows with the logarithm of the longest path.
+    Each round is written to the shared folder; the number of rounds grows with the logarithm of the longest path. Labels only fall, so the rounds end, and
+    they end when none fell.
     """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"), "labels")
-    for _ in range(rounds):
+    while True:
         own, other = labels.alias("l"), labels.alias("o")
         # hook: what a neighbour's label offers goes to the node and to the node's root
         offered = both.join(own, F.col("b") == F.col("l.node")).groupBy("a").agg(F.min("l.root").alias("offer"))
@@ -132,8 +133,7 @@ def classes_of(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFram
         moved = new.join(labels.withColumnRenamed("root", "was"), "node").where(F.col("root") != F.col("was")).limit(1).count()
         labels = new
         if not moved:
-            break
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+            return nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def _paths(sets: DataFrame, runs: int, small: int, depth: int, stay: float) -> DataFrame:
