@@ -106,20 +106,21 @@ ORACLE_SQL: dict[str, str] = {
     "op12_host_reputation": url_filter.judge_sql(URL_RULES),
     "op5_perspectives": chat.ROTATE_SQL,
     "op6_line_runs": """
-WITH lines AS (
-  SELECT d.doc_id, u.i, d.all_lines[u.i] AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents) d, unnest(range(1, len(d.all_lines) + 1)) AS u(i)
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents
+), lines AS (
+  SELECT d.r, d.doc_id, u.i, d.all_lines[u.i] AS line FROM d, unnest(range(1, len(d.all_lines) + 1)) AS u(i)
 ), keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM lines
 ), repeated AS (
-  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3
 ), marked AS (
-  SELECT k.doc_id, k.i, k.line, r.key IS NOT NULL AND k.doc_id <> r.keeper AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key
+  SELECT k.r, k.doc_id, k.i, k.line, r.key IS NOT NULL AND (k.doc_id IS DISTINCT FROM r.keeper OR r.keeper IS NULL) AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key
 )
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """,
     "op9_block_topk": """
 WITH v AS (
