@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, hashing, sql
-from ..plans import audit, batches, catalogue, changes, create, export, narrowing, topology, verify
+from ..plans import audit, batches, catalogue, changes, create, export, narrowing, templates, topology, verify
 from ..session import materialize
 from ..sources import records
 from .queries import query, table
@@ -253,3 +253,46 @@ def pointers_in_sql(spark, sf_dir):
         SELECT event_id, p.pointer, p.value, rev_kind(CASE WHEN p.pointer = '' THEN concat('0x1620', lower(hex(bare_digest(unhex(sha2(cast(event_id AS string), 256)))))) ELSE p.pointer END) AS kind
         FROM tallyvine_events, LATERAL flatten_pointers(props) AS p
     """)
+
+
+@query("""WITH d AS (SELECT doc_id, count(text) AS has, doc_id % 4 AS f FROM documents GROUP BY doc_id)
+SELECT doc_id, CAST(CASE WHEN f = 1 THEN 1 ELSE 2 END AS INTEGER) AS n_revisions, f % 2 = 1 AS leaves, CASE WHEN f = 3 THEN 'failed' ELSE 'verified' END AS outcome FROM d WHERE has > 0""")
+def new_file_trees(spark, sf_dir):
+    """A tree for every document's text: an anchor and an object, an object alone, or both from a digest taken elsewhere, by either method; how they verify, the digest being of another text in one of four."""
+    docs = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.min("text").alias("text")).where("text is not null")
+    f = F.col("doc_id") % 4
+    files = docs.select(F.col("doc_id").cast("string").alias("tree_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.encode("text", "UTF-8").alias("content"), f.alias("f"))
+    files = materialize(files, "files")
+    other = F.when(F.col("f") == 3, F.concat(F.reverse("content"), F.lit(b"!"))).otherwise(F.col("content"))
+    known = files.select("tree_id", "file_name", hashing.digest_column(other, "sha3").alias("digest"), F.octet_length("content").alias("size"), "f")
+    made = changes.file_trees(files.where("f = 0"), 50, "a").unionByName(changes.minimal_trees(files.where("f = 1"), 50, "b", "tree"))
+    made = made.unionByName(changes.metadata_trees(known.where("f = 2"), 50, "c")).unionByName(changes.metadata_trees(known.where("f = 3"), 50, "d", "tree"))
+    rev = materialize(records.decode(export.as_trees(made)), "revisions")
+    n = rev.groupBy("tree_id").agg(F.count("*").cast("int").alias("n_revisions"), F.max(F.col("leaves").isNotNull()).alias("leaves"))
+    out = n.join(verify.verify(rev, files=files.select("tree_id", "content"))[0], "tree_id")
+    return out.select(F.col("tree_id").cast("long").alias("doc_id"), "n_revisions", "leaves", "outcome")
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id, turn, turn % 5 AS s FROM conversations), t AS (
+  SELECT conv_id, min(CASE WHEN conv_id % 3 > 0 THEN 0 END) AS file, min(CASE s WHEN 1 THEN turn END) AS ed, min(CASE s WHEN 2 THEN turn END) AS p256, min(CASE s WHEN 3 THEN turn END) AS other FROM c GROUP BY conv_id
+) SELECT CAST(conv_id AS VARCHAR) AS tree_id, CAST(count(*) AS INTEGER) AS n, string_agg(name, ',' ORDER BY name) AS names, CASE WHEN bool_or(name = 'file') THEN 'file' ELSE '' END AS first
+FROM (SELECT conv_id, 'file' AS name FROM t WHERE file = 0 UNION ALL SELECT conv_id, 'signature_ed25519' FROM t WHERE ed IS NOT NULL UNION ALL SELECT conv_id, 'signature_p256' FROM t WHERE p256 IS NOT NULL) GROUP BY conv_id""")
+def dependency_trees(spark, sf_dir):
+    """The built-in templates that conversations rest on as trees: an anchor to the file template in two of three, and a signature of one of five suites or of none for every turn."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    suite = F.get(F.array(F.lit("none"), F.lit("ed25519"), F.lit("ecdsa:p256"), F.lit("unknown"), F.lit("rsa")), (F.col("turn") % 5).cast("int"))
+    link = lambda *x: F.concat(F.unhex(F.lit("1620")), F.unhex(F.sha2(F.concat_ws("/", *x), 256)))
+    signs = turns.select(F.col("conv_id").cast("string").alias("tree_id"), link("conv_id", "turn").alias("link"), F.lit("signature").alias("kind"), link("conv_id").alias("prev"), F.array().cast("array<binary>").alias("structural_links"), F.to_json(F.struct(F.struct(suite.alias("signature_type")).alias("signature"))).alias("raw"))
+    file = F.array(F.unhex(F.lit("1620" + catalogue.FOUNDATION["file"])), F.unhex(F.lit(catalogue.FOUNDATION["file"])), F.unhex(F.lit(WRONG[2:])))
+    anchors = turns.select("conv_id").distinct().where("conv_id % 3 > 0").select(F.col("conv_id").cast("string").alias("tree_id"), link("conv_id").alias("link"), F.lit("anchor").alias("kind"), F.lit(None).cast("binary").alias("prev"), file.alias("structural_links"), F.lit("{}").alias("raw"))
+    rev = materialize(signs.unionByName(anchors).withColumn("parse_error", F.lit(None).cast("string")), "dependent")
+    found = export.dependencies(rev)
+    first = F.max(F.when((F.col("ordinal") == 0) & (F.col("name") == "file"), "file"))
+    return found.groupBy("tree_id").agg(F.count("*").cast("int").alias("n"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"), F.coalesce(first, F.lit("")).alias("first"))
+
+
+@query("""SELECT 'c' || c_custkey AS name, true AS is_derived, 2 AS depth, 'permissive' AS bounds FROM customer UNION ALL SELECT 'n' || n_nationkey, true, 1, 'permissive' FROM nation UNION ALL SELECT 'r' || r_regionkey, false, 0, 'permissive' FROM region""")
+def template_facts(spark, sf_dir):
+    """Whether the templates of customers, nations and regions derive from others, from how many, and the bounds that they declare."""
+    t = _catalogue(spark, sf_dir)
+    return templates.facts(t.select("link", "raw"), "permissive").join(t.select("name", "link"), "link").select("name", "is_derived", "depth", "bounds")

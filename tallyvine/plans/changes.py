@@ -12,6 +12,7 @@ from ..session import materialize
 # Foundation templates, the version, and content types by file name ending.
 VERSION = "https://aqua-protocol.org/docs/v4/schema"
 FILE_TEMPLATE = "0x162000f3abb3d74fc9dfc2b961cea906b3211716188f4de6f588180fdfcbbfa3fe53"
+META_TEMPLATE = "0x1620f3040850a8836717dd73e87d046723e11f9e9870e3b2e246803ad842fbf01155"
 ANCHOR_TEMPLATE = "0x1620479a304927c47f4308d027a858060ce287a9bdb45f2203f8130574a73511e899"
 CONTENT_TYPES = {
     "json": "application/json", "txt": "text/plain", "html": "text/html", "htm": "text/html", "css": "text/css", "js": "application/javascript",
@@ -45,18 +46,16 @@ def _revision(kind: Column, at: Column, salt: Column, method: str, *more: Column
     return F.to_json(F.struct(*head, *more))
 
 
-def file_trees(files: DataFrame, now: int, seed: str, method: str = "scalar") -> DataFrame:
-    """tree_id, pos, link, raw, file_name: an anchor and an object for every row of files(tree_id, file_name, content), links by SHA3-256.
+def published(rows: DataFrame, algorithm: str = "sha3") -> DataFrame:
+    """rows(raw) of revisions by the tree method with their leaves put into raw; leaves are no part of what is hashed. What has none stays as it is."""
+    leaves = leaves_column(F.col("raw"), F.lit(algorithm))
+    whole = F.concat(F.substring("raw", F.lit(1), F.length("raw") - 1), F.lit(',"leaves":'), F.to_json(leaves), F.lit("}"))
+    return rows.withColumn("raw", F.coalesce(whole, F.col("raw")))
 
-    The anchor refers to the file template and is a second older than the object, which holds the file's digest, size and type.
-    Files with null content have no tree; null names are empty; equal rows give equal trees; further columns are ignored.
-    """
-    f = files.where("content is not null").select("tree_id", F.coalesce("file_name", F.lit("")).alias("file_name"), "content")
-    f = f.withColumn("digest", digest_column(F.col("content"), "sha3")).withColumn("size", F.octet_length("content")).drop("content")
-    own = lambda part: nonce(seed, F.col("tree_id"), F.col("file_name"), F.col("digest"), F.lit(part))
-    anchor = _revision(F.lit(ANCHOR_TEMPLATE), F.lit(now - 1), own("anchor"), method, F.array(F.lit(FILE_TEMPLATE)).alias("structural_links"))
-    anchors = seal(f.withColumn("raw", anchor)).withColumnRenamed("raw", "first").withColumnRenamed("link", "prev")
-    payloads = F.struct(
+
+def _file_payload() -> Column:
+    """The payload of a file object of columns digest, size and file_name."""
+    return F.struct(
         F.lit("file").alias("type"),
         render_hex(F.col("digest")).alias("hash"),
         F.lit("FIPS_202-SHA3-256").alias("hash_type"),
@@ -64,12 +63,56 @@ def file_trees(files: DataFrame, now: int, seed: str, method: str = "scalar") ->
         F.col("size"),
         content_type(F.col("file_name")).alias("content_type"),
     )
-    both = anchors.withColumn("raw", _revision(F.lit(FILE_TEMPLATE), F.lit(now), own("object"), method, render_hex(F.col("prev")).alias("previous_revision"), payloads.alias("payloads")))
+
+
+def _hashed(files: DataFrame) -> DataFrame:
+    f = files.where("content is not null").select("tree_id", F.coalesce("file_name", F.lit("")).alias("file_name"), "content")
+    return f.withColumn("digest", digest_column(F.col("content"), "sha3")).withColumn("size", F.octet_length("content")).drop("content")
+
+
+def file_trees(files: DataFrame, now: int, seed: str, method: str = "scalar") -> DataFrame:
+    """tree_id, pos, link, raw, file_name: an anchor and an object for every row of files(tree_id, file_name, content), links by SHA3-256.
+
+    The anchor refers to the file template and is a second older than the object, which holds the file's digest, size and type; by the tree method both publish their leaves.
+    Files with null content have no tree; null names are empty; equal rows give equal trees; further columns are ignored.
+    """
+    return _trees_of(_hashed(files), now, seed, method)
+
+
+def metadata_trees(files: DataFrame, now: int, seed: str, method: str = "scalar") -> DataFrame:
+    """The rows of file_trees() for files(tree_id, file_name, digest, size) that were hashed elsewhere: contents are not read. Files with a null digest or size have no tree."""
+    f = files.where("digest is not null and size is not null").select("tree_id", F.coalesce("file_name", F.lit("")).alias("file_name"), "digest", F.col("size").cast("long").alias("size"))
+    return _trees_of(f, now, seed, method)
+
+
+def _trees_of(f: DataFrame, now: int, seed: str, method: str) -> DataFrame:
+    own = lambda part: nonce(seed, F.col("tree_id"), F.col("file_name"), F.col("digest"), F.lit(part))
+    whole = (lambda rows: published(rows)) if method == "tree" else (lambda rows: rows)
+    anchor = _revision(F.lit(ANCHOR_TEMPLATE), F.lit(now - 1), own("anchor"), method, F.array(F.lit(FILE_TEMPLATE)).alias("structural_links"))
+    anchors = whole(seal(f.withColumn("raw", anchor))).withColumnRenamed("raw", "first").withColumnRenamed("link", "prev")
+    both = anchors.withColumn("raw", _revision(F.lit(FILE_TEMPLATE), F.lit(now), own("object"), method, render_hex(F.col("prev")).alias("previous_revision"), _file_payload().alias("payloads")))
     rows = F.array(
         F.struct(F.lit(0).alias("pos"), F.col("prev").alias("link"), F.col("first").alias("raw"), F.concat(F.lit("anchor_"), F.substring(render_hex(F.col("prev")), 1, 8)).alias("file_name")),
         F.struct(F.lit(1).alias("pos"), F.col("link"), F.col("raw"), F.col("file_name")),
     )
-    return seal(both).select("tree_id", F.inline(rows))
+    return whole(seal(both)).select("tree_id", F.inline(rows))
+
+
+def minimal_trees(files: DataFrame, now: int, seed: str, method: str = "scalar") -> DataFrame:
+    """tree_id, pos, link, raw, file_name: one object alone for every row of files(tree_id, file_name, content), as the object of file_trees() without an anchor before it."""
+    f = _hashed(files)
+    salt = nonce(seed, F.col("tree_id"), F.col("file_name"), F.col("digest"), F.lit("minimal"))
+    made = seal(f.withColumn("raw", _revision(F.lit(FILE_TEMPLATE), F.lit(now), salt, method, _file_payload().alias("payloads"))))
+    made = published(made) if method == "tree" else made
+    return made.select("tree_id", F.lit(0).alias("pos"), "link", "raw", "file_name")
+
+
+def new_templates(schemas: DataFrame, now: int, seed: str, method: str = "scalar") -> DataFrame:
+    """name, link, raw of schemas(name, schema as JSON text): a template that derives from nothing for each, link null where the schema is no JSON."""
+    salt = nonce(seed, F.col("name"), F.col("schema"))
+    head = _revision(F.lit(META_TEMPLATE), F.lit(now), salt, method)
+    raw = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"schema":'), F.col("schema"), F.lit("}"))
+    return seal(schemas.select("name", raw.alias("raw"))).select("name", "link", "raw")
 
 
 def append_objects(tips: DataFrame, objects: DataFrame, now: int, seed: str, method: str = "scalar", algorithm: str = "sha3") -> DataFrame:
@@ -108,8 +151,7 @@ def link_trees(ends: DataFrame, links: DataFrame, names: DataFrame, now: int, se
     made = _revision(F.lit(ANCHOR_TEMPLATE), F.lit(now), salt, method, render_hex(F.col("prev")).alias("previous_revision"), none, F.col("comp").alias("compositional_links"))
     made = seal(good.withColumn("raw", made))
     if method == "tree":
-        with_leaves = F.concat(F.substring("raw", F.lit(1), F.length("raw") - 1), F.lit(',"leaves":'), F.to_json(leaves_column(F.col("raw"), F.lit("sha3"))), F.lit("}"))
-        made = made.withColumn("raw", with_leaves)
+        made = published(made)
     files = met.where("target is not null").join(made.select("tree_id"), "tree_id", "left_semi").select("tree_id", F.col("target").alias("link"), F.col("main_file").alias("file_name")).distinct()
     return made.select("tree_id", "prev", "link", "raw"), files, rows.where("fault is not null").select("tree_id", "fault")
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import Refused, leaves_column, load
+from ..functions.canonical import Refused, load
 from ..functions.schemas import problems
 from ..session import materialize
 from . import changes, verify
@@ -66,8 +66,7 @@ def objects(
     facts = facts.withColumn("fault", fault)
     made = changes.append_objects(ends, facts.where("fault is null"), now, seed, method, algorithm)
     if method == "tree":
-        leaves = F.to_json(leaves_column(F.col("raw"), F.lit(algorithm)))
-        made = made.withColumn("raw", F.concat(F.substring("raw", F.lit(1), F.length("raw") - 1), F.lit(',"leaves":'), leaves, F.lit("}")))
+        made = changes.published(made, algorithm)
     made = materialize(made, "made_objects")
     detail = F.when(F.col("fault") == "ANCESTOR_TEMPLATE_NOT_FOUND", F.col("gone")).when(F.col("fault") == "METHOD", F.col("failure")).when(F.col("fault") == "SCHEMA_VIOLATION", F.array_join("errors", "; "))
     unhashed = made.where("link is null").select("id", F.lit("METHOD").alias("fault"), F.lit("cannot be hashed").alias("detail"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import link_column
 from ..functions.hashing import render_hex
 from ..session import materialize
-from . import builtin, catalogue
+from . import builtin, catalogue, topology
 from .templates import resolve
 from .verify import _digest
 
@@ -82,6 +82,28 @@ def self_describing(rev: DataFrame, extra: DataFrame | None = None, names: DataF
     return rows.join(refused.select("tree_id").distinct(), "tree_id", "left_anti"), refused
 
 
+def dependencies(rev: DataFrame) -> DataFrame:
+    """tree_id, ordinal, link, name: the built-in templates that each tree rests on, ancestors before what derives from them, each once where it comes first.
+
+    They are what the first anchor's structural links name, in their order, then the templates of the suites of the tree's signatures, by the signatures' links.
+    """
+    spark = rev.sparkSession
+    good = rev.where("parse_error is null")
+    first = topology.genesis(good).groupBy("tree_id").agg(F.min("link").alias("link"))
+    links = good.where("kind = 'anchor'").join(first, ["tree_id", "link"], "left_semi").select("tree_id", F.posexplode("structural_links").alias("at", "target"))
+    asked = links.select("tree_id", F.struct(F.lit(0).alias("part"), F.lit(None).cast("binary").alias("by"), "at").alias("place"), F.when(F.length("target") == 34, F.substring("target", 3, 32)).otherwise(F.col("target")).alias("digest"))
+    suite = catalogue.suite_template(F.get_json_object("raw", "$.signature.signature_type"))
+    signs = good.where("kind = 'signature'").select("tree_id", F.struct(F.lit(1).alias("part"), F.col("link").alias("by"), F.lit(0).alias("at")).alias("place"), suite.alias("digest"))
+    body = builtin.templates(spark).select(F.substring("link", 3, 32).alias("digest"), "link", F.from_json("raw", PARTS)["ancestry"].alias("line"))
+    line = F.concat(F.coalesce("line", F.array().cast("array<string>")), F.array(render_hex(F.col("link"))))
+    chains = body.select("digest", F.posexplode(line).alias("step", "name")).select("digest", "step", _digest("name").alias("member"))
+    known = catalogue.catalogue(spark).select(F.col("link").alias("member"), "name")
+    chains = chains.join(body.select(F.col("link").alias("member")), "member", "left_semi").join(known, "member")
+    met = asked.unionByName(signs).join(F.broadcast(chains), "digest")  # the built-in templates
+    once = met.groupBy("tree_id", F.col("member").alias("link"), "name").agg(F.min(F.struct("place", "step")).alias("place"))
+    return once.select("tree_id", (F.row_number().over(Window.partitionBy("tree_id").orderBy("place")) - 1).alias("ordinal"), "link", "name")  # as many as are built in
+
+
 def as_trees(rows: DataFrame) -> DataFrame:
     """tree_id, json of rows(tree_id, link, raw, file_name): members by link. A tree is one text, so it is gathered."""
     key = render_hex(F.col("link"))

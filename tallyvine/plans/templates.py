@@ -94,6 +94,16 @@ def over_bounds(rev: DataFrame, bounds: dict[str, int]) -> DataFrame:
     return counts.where(over)
 
 
+def facts(templates: DataFrame, permissive: str) -> DataFrame:
+    """link, is_derived, depth, declared, bounds of templates(link, raw as JSON text): whether it derives from another, how many ancestors it has, the bounds that it declares, and those or else permissive.
+
+    bounds are JSON texts as declared, and not those of ancestors (see bounds_of). What is no JSON object derives from nothing.
+    """
+    p = F.from_json("raw", "struct<derives_from: string, ancestry: array<string>>")
+    declared = F.get_json_object("raw", "$.bounds")
+    return templates.select("link", p["derives_from"].isNotNull().alias("is_derived"), F.coalesce(F.size(p["ancestry"]), F.lit(0)).alias("depth"), declared.alias("declared"), F.coalesce(declared, F.lit(permissive)).alias("bounds"))
+
+
 def bounds_of(templates: DataFrame, permissive: str) -> DataFrame:
     """link, bounds of templates(link, bounds, ancestry from the root down): a template's own, else those of the nearest ancestor that is known and has any, else permissive."""
     own = templates.select("link", "bounds").where("link is not null")
