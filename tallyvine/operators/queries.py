@@ -360,7 +360,9 @@ def sha3_links(spark, sf_dir):
     return docs.select("doc_id", hashing.render_hex(F.concat(F.unhex(F.lit("1620")), digest)).alias("link"))
 
 
-@query()
+@query("""WITH p AS (SELECT event_id, CAST(props AS JSON) AS j FROM events), k AS (SELECT event_id, key, CAST(value AS VARCHAR) AS value FROM p, json_each(j))
+SELECT event_id, CAST(0 AS BIGINT) AS idx, '' AS pointer, '{}' AS value, CAST(NULL AS VARCHAR) AS error FROM p
+UNION ALL SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY key), '/' || key, value, NULL FROM k""")
 def event_pointers(spark, sf_dir):
     """The pointer map of every event's properties."""
     return canonical.flatten_rows(table(spark, sf_dir, "events"), "props", "event_id")
@@ -369,10 +371,10 @@ def event_pointers(spark, sf_dir):
 @query(f"""WITH {CONDITIONS_SQL}, j AS (
   SELECT tree_id, bool_or(code NOT IN ('TEMPLATE_NOT_FOUND', 'TIMESTAMP_UNAVAILABLE')) AS failed,
     string_agg('{{"code":"' || code || '","revision_hash":""}}', ',' ORDER BY stage, code) FILTER (WHERE code IN ('TEMPLATE_NOT_FOUND', 'TIMESTAMP_UNAVAILABLE')) AS warnings,
-    string_agg('{{"code":"' || code || '","revision_hash":""}}', ',' ORDER BY stage, code) FILTER (WHERE code NOT IN ('TEMPLATE_NOT_FOUND', 'TIMESTAMP_UNAVAILABLE')) AS errors FROM g GROUP BY tree_id
+    string_agg('{{"code":"' || code || '","revision_hash":""}}', ',' ORDER BY stage, code) FILTER (WHERE code NOT IN ('TEMPLATE_NOT_FOUND', 'TIMESTAMP_UNAVAILABLE')) AS errors FROM c GROUP BY tree_id
 ) SELECT t.tree_id, CASE WHEN j.tree_id IS NULL THEN '{{"result":"verified"}}' WHEN failed THEN '{{"result":"failed","errors":[' || errors || ']}}'
   ELSE '{{"result":"verified_with_warnings","warnings":[' || warnings || ']}}' END AS json FROM (SELECT DISTINCT conv_id AS tree_id FROM conversations) t LEFT JOIN j ON j.tree_id = t.tree_id""")
 def outcome_json(spark, sf_dir):
     """Outcomes with their errors or warnings as JSON texts."""
-    trees, found = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("tree_id")), conditions(spark, sf_dir).withColumn("link", F.lit(None).cast("binary"))
+    trees, found = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("tree_id")), conditions(spark, sf_dir, "offline").withColumn("link", F.lit(None).cast("binary"))
     return outcome.as_json(outcome.outcomes(trees, found, "offline"), found, "offline")
