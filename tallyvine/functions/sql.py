@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from . import canonical, hashing, schemas
 
 
-@F.pandas_udf("string")
 def rev_link(raws: pd.Series, algorithms: pd.Series) -> pd.Series:
     """The link (hex text) that a revision's JSON text gives under "sha3" or "blake3"; null if it gives none."""
     out = []
@@ -21,13 +20,11 @@ def rev_link(raws: pd.Series, algorithms: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("string")
 def multihash_error(links: pd.Series) -> pd.Series:
     """Why bytes are no multihash link; null if they are one."""
     return pd.Series([hashing.link_error(None if x is None else bytes(x)) for x in links], dtype=object)
 
 
-@F.pandas_udf("array<string>")
 def schema_problems(texts: pd.Series, values: pd.Series) -> pd.Series:
     """Where a JSON text breaks a JSON Schema text, as pointer: keyword; "unchecked" if that cannot be told."""
     out = []
@@ -39,13 +36,11 @@ def schema_problems(texts: pd.Series, values: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf("binary")
 def merkle_root(leaves: pd.Series) -> pd.Series:
     """The SHA3-256 Merkle root of an array of nodes; null of an empty one and of one with a null."""
     return pd.Series([None if x is None or any(n is None for n in x) else hashing.merkle_root([bytes(n) for n in x], "sha3") for x in leaves], dtype=object)
 
 
-@F.udtf(returnType="idx: int, pointer: string, value: string, error: string")
 class FlattenPointers:
     """A row for each node of a JSON text, numbered in pointer order; one row with an error for what is no strict JSON."""
 
@@ -66,8 +61,8 @@ def register(spark: SparkSession) -> None:
     """
     from ..plans import catalogue
 
-    for f in (rev_link, multihash_error, schema_problems, merkle_root):
-        spark.udf.register(f.func.__name__, f)
-    spark.udtf.register("flatten_pointers", FlattenPointers)
+    for f, kind in ((rev_link, "string"), (multihash_error, "string"), (schema_problems, "array<string>"), (merkle_root, "binary")):
+        spark.udf.register(f.__name__, F.pandas_udf(f, kind))
+    spark.udtf.register("flatten_pointers", F.udtf(FlattenPointers, returnType="idx: int, pointer: string, value: string, error: string"))
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION bare_digest(link BINARY) RETURNS BINARY RETURN CASE WHEN length(link) = 32 THEN link WHEN length(link) = 34 AND hex(substr(link, 1, 2)) IN ('1620', '1E20') THEN substr(link, 3) END")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION rev_kind(type STRING) RETURNS STRING RETURN {catalogue.kind_sql('type')}")

@@ -15,7 +15,6 @@ from . import changes, verify
 from . import templates as resolution
 
 
-@F.pandas_udf("errors array<string>, failure string")
 def _checked(bodies: pd.Series, payloads: pd.Series) -> pd.DataFrame:
     """(where the payload breaks the template's schema, why that cannot be told) of JSON texts; each template is read once a batch."""
     schemas: dict[str, object] = {}
@@ -57,7 +56,7 @@ def objects(
     met = resolution.resolve(above.select("scope", "digest").distinct(), *sources).where("template is null").select("scope", "digest")
     gone = above.join(met, ["scope", "digest"]).groupBy("scope", F.col("below").alias("digest")).agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("gone"))
     facts = found.join(gone, ["scope", "digest"], "left").withColumnRenamed("scope", "tree_id")
-    facts = rows.join(facts, ["tree_id", "digest"], "left").withColumn("c", _checked("template", "payloads"))
+    facts = rows.join(facts, ["tree_id", "digest"], "left").withColumn("c", F.pandas_udf(_checked, "errors array<string>, failure string")("template", "payloads"))
     facts = materialize(facts.select("id", "tree_id", "revision_type", "payloads", "file_name", F.col("template").isNotNull().alias("there"), "gone", "c.errors", "c.failure"), "checked")
     none = F.lit(None).cast("string")
     wrong = F.size("errors") > 0
