@@ -6,6 +6,7 @@ import pytest
 
 from tallyvine.functions import canonical
 from tallyvine.plans import builtin, catalogue, verify
+from tallyvine.plans.changes import VERSION
 from tallyvine.sources import records
 
 # A file tree (its file holds "test content"), and a signature and two timestamps that follow its anchor.
@@ -16,7 +17,7 @@ FILE_TREE = {
         "revision_type": "0x1620479a304927c47f4308d027a858060ce287a9bdb45f2203f8130574a73511e899",
         "nonce": "0x1a5f49342762a8282bc53f736b96d580",
         "local_timestamp": 1783616147,
-        "version": "https://aqua-protocol.org/docs/v4/schema",
+        "version": VERSION,
         "method": "scalar",
         "structural_links": ["0x162000f3abb3d74fc9dfc2b961cea906b3211716188f4de6f588180fdfcbbfa3fe53"],
     },
@@ -25,7 +26,7 @@ FILE_TREE = {
         "revision_type": "0x162000f3abb3d74fc9dfc2b961cea906b3211716188f4de6f588180fdfcbbfa3fe53",
         "nonce": "0x4313fd67ac7d5b6bbd62abe5e8ec226e",
         "local_timestamp": 1783616148,
-        "version": "https://aqua-protocol.org/docs/v4/schema",
+        "version": VERSION,
         "method": "scalar",
         "payloads": {
             "type": "file",
@@ -42,7 +43,7 @@ SIGNATURE = ("0x16200ca0d8732000a8f6d68804281832b7c1479ec9d7e7cbb4eb45ff45109080
     "revision_type": "0x1620baf1d5d47eef50dcde3931956879bb30c5580064a92ce43ed4c6bd8b878b659a",
     "nonce": "0x43b3b02ccc27e2d194d88e61ce008f2e",
     "local_timestamp": 1783616148,
-    "version": "https://aqua-protocol.org/docs/v4/schema",
+    "version": VERSION,
     "method": "scalar",
     "signer": "did:key:z6MkneMkZqwqRiU5mJzSG3kDwzt9P8C59N4NGTfBLfSGE7c7",
     "signature": {
@@ -56,7 +57,7 @@ CHAIN_STAMP = ("0x162067958d0adfbfe1e5169648516fd8cde1fea2e553edc75bcb1c9c71ca8d
     "revision_type": "0x1620d16cba5ad81745c8d41c0423fb55437af60ecc4db491c943ea261f418ec0a530",
     "nonce": "0x9650a2b78cf6a863209486173c212c86",
     "local_timestamp": 1783616148,
-    "version": "https://aqua-protocol.org/docs/v4/schema",
+    "version": VERSION,
     "method": "tree",
     "payloads": {
         "type": "timestamp",
@@ -98,7 +99,7 @@ AUTHORITY_STAMP = ("0x1620fc106e7390ee8f88386f35629cfaa7931f890a3dc2b07c1c31be7a
     "revision_type": "0x162065fbe67e03cd437326c8491155b6fb2949eb528a249452eafff0cc6738d501a8",
     "nonce": "0x9e727cf1837cc4c3ae2c0224023f3dee",
     "local_timestamp": 1783616148,
-    "version": "https://aqua-protocol.org/docs/v4/schema",
+    "version": VERSION,
     "method": "tree",
     "payloads": {
         "type": "timestamp",
