@@ -105,3 +105,20 @@ def test_files_by_size_and_digest(spark, alg, name):
     rev = spark.createDataFrame([(t, bytearray(b"x"), "object", kind, json.dumps({"payloads": p}), None) for t, p in rows], "tree_id string, link binary, kind string, revision_type string, raw string, parse_error string")
     files = spark.createDataFrame([("a", bytearray(content)), ("a", bytearray(content)), ("c", bytearray(content)), ("b", bytearray(b"other byte"))], "tree_id string, content binary")
     assert sorted(r["tree_id"] for r in verify.file_faults(rev, files).collect()) == ["b", "c", "d", "e"]
+
+
+def test_types_that_revisions_count_as(spark):
+    from pyspark.sql import functions as F
+
+    from tallyvine.sources import records
+
+    meta, anchor, file = (catalogue.link_of_name(n) for n in ("template_meta", "anchor_template", "file"))
+    rows = [("template", "0x00"), ("anchor", file), ("object", file), ("signature", None), ("object", "0x12")]
+    df = spark.createDataFrame(rows, "kind string, t string")
+    got = df.select(catalogue.type_of(F.col("kind"), F.col("t")).alias("a"), catalogue.named_type(F.col("t")).alias("b")).collect()
+    assert [r["a"] for r in got] == [meta, anchor, file, None, "0x12"]
+    assert [r["b"] and bytes(r["b"]).hex() for r in got] == [None, file[6:], file[6:], None, None]
+    from tallyvine.plans import builtin
+
+    trees = records.template_trees(builtin.templates(spark)).collect()
+    assert {r["tree_id"] for r in trees} == {catalogue.link_of_name(n) for n in builtin.bodies()}
