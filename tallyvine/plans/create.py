@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import Refused, load
 from ..functions.schemas import problems
-from ..session import materialize
+from ..session import materialize, shuffled
 from . import changes, verify
 from . import templates as resolution
 
@@ -54,9 +54,9 @@ def objects(
     above = found.where("template is not null").select("scope", F.col("digest").alias("below"), F.explode(F.from_json("template", "struct<ancestry: array<string>>")["ancestry"]).alias("name"))
     above = above.withColumn("digest", verify._digest("name"))
     met = resolution.resolve(above.select("scope", "digest").distinct(), *sources).where("template is null").select("scope", "digest")
-    gone = above.join(met, ["scope", "digest"]).groupBy("scope", F.col("below").alias("digest")).agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("gone"))
-    facts = found.join(gone, ["scope", "digest"], "left").withColumnRenamed("scope", "tree_id")
-    facts = rows.join(facts, ["tree_id", "digest"], "left").withColumn("c", F.pandas_udf(_checked, "errors array<string>, failure string")("template", "payloads"))
+    gone = above.join(shuffled(met), ["scope", "digest"]).groupBy("scope", F.col("below").alias("digest")).agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("gone"))
+    facts = found.join(shuffled(gone), ["scope", "digest"], "left").withColumnRenamed("scope", "tree_id")
+    facts = rows.join(shuffled(facts), ["tree_id", "digest"], "left").withColumn("c", F.pandas_udf(_checked, "errors array<string>, failure string")("template", "payloads"))
     facts = materialize(facts.select("id", "tree_id", "revision_type", "payloads", "file_name", F.col("template").isNotNull().alias("there"), "gone", "c.errors", "c.failure"), "checked")
     none = F.lit(None).cast("string")
     wrong = F.size("errors") > 0

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyvine import session
 from tallyvine.functions import canonical
-from tallyvine.plans import catalogue, disclosure
+from tallyvine.functions import hashing as H
+from tallyvine.plans import batches, catalogue, disclosure, outcome, templates, topology, verify
 
 
 def plan(df) -> str:
@@ -45,3 +46,36 @@ def test_a_text_is_read_once_a_batch():
         with pytest.raises(ZeroDivisionError):
             f(0)
     assert calls == [2, 0]
+
+
+def test_no_side_that_grows_is_broadcast(spark):
+    rev = session.materialize(typed(spark, 5).withColumn("prev", F.lit(b"y")).withColumn("ts", F.lit(1)), "rows")
+    found = rev.select("tree_id", F.lit(1.0).alias("stage"), F.lit("HASH_VERIFICATION_FAILED").alias("code"), "link")
+    wanted = rev.select(F.col("tree_id").alias("scope"), F.col("link").alias("digest"))
+    own = wanted.withColumn("template", F.lit("{}"))
+    parts = [topology.missing_parents(rev), topology.timestamp_violations(rev), outcome.gate(found), outcome.outcomes(rev, found), verify.dangling_links(rev.withColumn("structural_links", F.array("link")), rev.select("tree_id", F.col("prev").alias("target")))]
+    for df in parts:
+        text = plan(df)
+        assert "SortMergeJoin" in text
+        assert "BroadcastHashJoin" not in text.replace("BroadcastHashJoin [target", "")  # what has no tree is built in
+    assert "SortMergeJoin" in plan(templates.resolve(wanted, own))
+
+
+def test_inclusion_shuffles_a_tree_once(spark):
+    sha = lambda x: F.unhex(F.sha2(x, 256))
+    sizes = F.element_at(F.array(*map(F.lit, [1, 2, 3, 7, 64, 65, 130])), (F.col("id") + 1).cast("int"))
+    rows = spark.range(7).select(F.col("id").alias("tree_id"), F.explode(F.sequence(F.lit(0), sizes - 1)).alias("idx"))
+    leaves = rows.withColumn("node", sha(F.concat_ws("/", "tree_id", "idx")))
+    lied = F.when(F.col("idx") % 3 == 1, sha(F.col("node"))).otherwise(F.col("node"))
+    claims = leaves.withColumn("node", lied).unionByName(spark.sql("SELECT 3L AS tree_id, 7 AS idx, X'00' AS node UNION ALL SELECT 3L, -1, X'00' UNION ALL SELECT 99L, 0, X'00' UNION ALL SELECT 6L, 130, X'00'"))
+    nodes = session.materialize(batches.levels(leaves, sha), "nodes")
+    made = {(r["tree_id"], r["idx"]): bytes(r["node"]) for r in leaves.collect()}
+    roots = {r["tree_id"]: bytes(r["root"]) for r in batches.roots(nodes).collect()}
+    assert roots == {t: H.merkle_root([made[t, i] for i in range(n)], "sha256") for t, n in enumerate([1, 2, 3, 7, 64, 65, 130])}
+    key = lambda df: sorted((r["tree_id"], r["idx"], r["included"]) for r in df.collect())
+    got = key(batches.included_in(claims, leaves, sha))
+    assert got == key(batches.included(claims, nodes, sha))
+    assert got == sorted((t, i, (t, i) in made and i % 3 != 1) for t, i in [*made, (3, 7), (3, -1), (99, 0), (6, 130)])
+    few = session.materialize(leaves.where("tree_id < 4"), "few")
+    text = plan(batches._whole(batches._apart(few)[0], sha))
+    assert text.count("Exchange hashpartitioning(tree_id") == 2 == text.count("Exchange ")
