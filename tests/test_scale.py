@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyvine import session
 from tallyvine.functions import canonical
 from tallyvine.functions import hashing as H
+from tallyvine.operators import queries
 from tallyvine.plans import batches, catalogue, changes, disclosure, outcome, templates, topology, verify
 
 
@@ -32,6 +33,26 @@ def test_pointers_are_picked_where_the_revision_is(spark):
     assert {tuple(r["pointers"]) for r in policy.collect()} == {("/payloads/signer_did",)}
 
 
+def test_workers_get_batches_of_bounded_size(spark, tmp_path):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    seen = F.pandas_udf(lambda x: x * 0 + len(x), "long")
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        spark.range(0, 30000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 20000).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+        docs = queries.table(spark, str(tmp_path), "documents")
+        assert docs.select(seen("doc_id").alias("n")).agg(F.max("n")).first()[0] <= session.BATCH_ROWS
+        long = docs.select(F.pandas_udf(lambda x: x.str.len() * 0 + len(x), "long")("text").alias("n"))
+        assert long.agg(F.max("n")).first()[0] <= session.BATCH_BYTES // 20000 + 1
+        spark.conf.set(keys[0], "10")
+        session.small_batches(spark)
+        assert spark.conf.get(keys[0]) == "10"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_batches_leave_tasks_in_slices():
     frames = list(canonical.sliced(((i,) for i in range(10)), ["a"], most=4))
     assert [len(f) for f in frames] == [4, 4, 2]
