@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -48,37 +47,70 @@ class Tree:
                 out[at] = i * self.fan + _nearest(x[at], level[i * self.fan : (i + 1) * self.fan])
         return out
 
-    def visits(self, q: np.ndarray, n: int, rows: np.ndarray | None = None, least: int = 0) -> list[list[int]]:
-        """The first n leaves for each query, best bin first, or more, until they hold `least` rows (rows: by leaf).
+    def _above(self, q: np.ndarray) -> list[np.ndarray]:
+        """For each level above the leaves, from the lowest up: what each query is promised at most on the way from there down to the nodes of the lowest of them.
 
-        One queue holds what was seen and not yet opened: leaves by the inner product with their centroid, other nodes by that plus what the
-        best of their children may add. Children are scored when their parent is opened.
+        A node promises its inner product with the query, plus what the best of its children may add.
         """
-        out, last = [], len(self.levels) - 1
-        norm = np.sqrt((q * q).sum(1))
-        top = q @ self.levels[0].T
-        for r in range(len(q)):
-
-            def promised(level: int, first: int, scores: np.ndarray) -> list[tuple[float, int, int]]:
-                if level < last:
-                    scores = scores + EXCESS * norm[r] * self.spread[level][first : first + len(scores)]
-                return [(-p, level, first + i) for i, p in enumerate(scores.tolist())]
-
-            queue = promised(0, 0, top[r])
-            heapq.heapify(queue)
-            got: list[int] = []
-            held = 0
-            while queue and (len(got) < n or held < least):
-                _, level, node = heapq.heappop(queue)
-                if level == last:
-                    got.append(node)
-                    held += int(rows[node]) if rows is not None else 0
-                else:
-                    first = node * self.fan
-                    for x in promised(level + 1, first, self.levels[level + 1][first : first + self.fan] @ q[r]):
-                        heapq.heappush(queue, x)
-            out.append(got)
-        return out
+        norm = np.sqrt((q * q).sum(1))[:, None]
+        ways: list[np.ndarray] = []
+        for level, spread in zip(self.levels, self.spread):
+            promise = q @ level.T + EXCESS * norm * spread[None, :]
+            ways = [promise, *(np.minimum(np.repeat(w, self.fan, axis=1), promise) for w in ways)]
+        return ways
+
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """All leaves for each query, best bin first: the order in which one queue of what was seen and not yet opened gives them away.
+
+        A queue gives a leaf away no sooner than the least promising node on its way is the best there is, so leaves come by the least on their way
+        from the top; those that have it in common by the least on their way below it, and so on.
+        """
+        scores = q @ self.levels[-1].T
+        keys = [scores, *(np.minimum(np.repeat(w, self.fan, axis=1), scores) for w in self._above(q))]
+        return np.lexsort([-k for k in keys], axis=1)
+
+    def visits(self, q: np.ndarray, n: int, rows: np.ndarray | None = None, least: int = 0) -> list[np.ndarray]:
+        """The first n leaves of order() for each query, or more, until they hold `least` rows (rows: by leaf), by number.
+
+        Leaves are scored when their branch is opened. Branches are opened for many queries at once, from the best on in rounds that double, until n leaves are
+        no worse than the best branch that is left.
+        """
+        n = min(n, self.leaves)
+        if len(self.levels) == 1 or n == self.leaves:
+            got = [np.sort(o[:n]) for o in self.order(q)]
+        else:
+            got = self._opened(q, n)
+        if rows is not None:
+            for r in [r for r, leaves in enumerate(got) if rows[leaves].sum() < least]:
+                order = self.order(q[r : r + 1])[0]
+                got[r] = np.sort(order[: max(n, int(np.searchsorted(np.cumsum(rows[order]), least)) + 1)])
+        return got
+
+    def _opened(self, q: np.ndarray, n: int) -> list[np.ndarray]:
+        ways, fan = self._above(q), self.fan
+        least = ways[-1]
+        branches = np.argsort(-least, axis=1)
+        best = np.take_along_axis(least, branches, axis=1)
+        keys = np.full((len(q), self.leaves), -np.inf)
+        asking, opened, upto = np.arange(len(q)), 0, -(-n // fan)
+        while len(asking):
+            new = branches[asking, opened:upto]
+            who = np.repeat(asking, new.shape[1])[np.argsort(new, axis=None, kind="stable")]
+            which, times = np.unique(new, return_counts=True)
+            for b, r in zip(which.tolist(), np.split(who, np.cumsum(times)[:-1])):
+                scores = q[r] @ self.levels[-1][b * fan : (b + 1) * fan].T
+                keys[r, b * fan : (b + 1) * fan] = np.minimum(scores, least[r, b][:, None])
+            if upto >= branches.shape[1]:
+                break
+            nth = -np.partition(-keys[asking], n - 1, axis=1)[:, n - 1]
+            asking = asking[nth <= best[asking, upto]]
+            opened, upto = upto, min(2 * upto, branches.shape[1])
+        nth = -np.partition(-keys, n - 1, axis=1)[:, n - 1]
+        taken = keys >= nth[:, None]
+        for r in np.nonzero(taken.sum(1) > n)[0]:  # leaves below one node that is the least on the way of all: order() tells them apart
+            taken[r] = False
+            taken[r, self.order(q[r : r + 1])[0][:n]] = True
+        return [np.nonzero(t)[0] for t in taken]
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -120,8 +152,7 @@ def calibrate(tree: Tree, sample: np.ndarray, own: np.ndarray, k: int, recall: f
     k = max(1, min(k, len(sample) - 1))
     true = np.argpartition(-scores, k - 1, axis=1)[:, :k]
     place = np.empty((len(queries), tree.leaves), np.int64)
-    for r, order in enumerate(tree.visits(queries, tree.leaves)):
-        place[r, order] = np.arange(tree.leaves)
+    np.put_along_axis(place, tree.order(queries), np.arange(tree.leaves)[None, :], axis=1)
     needed = np.sort(np.take_along_axis(place, at[true], axis=1).ravel())
     return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) + 1
 
@@ -134,7 +165,8 @@ def nearest(
     Each of the TREES most frequent dimensions with TREE_ROWS rows or more, and the most frequent one in any case, gets a tree
     with as many levels as its count of rows asks for, LEVELS at most. It is fitted on sample_rows rows at most (of the lowest
     hashes of their ids), and leaf visits are widened on some of them until `recall` of the sample's true neighbours are found; a query whose
-    leaves hold k rows or fewer visits more. Every row is indexed: it goes to its leaf, and a lowest branch's rows are dealt over as
+    leaves hold k rows or fewer visits more. Every row is indexed: it goes to its leaf. Leaves that follow each other meet their queries together, up to
+    TOGETHER rows, so a query is sent to, and gets k rows from, each such cell and not each branch; the rows of a leaf that is larger are dealt over as
     many groups of bounded size as its count asks for, so one crowded leaf is shared out. Queries of other dimensions meet
     all rows of theirs. Scores are inner products in doubles of the original vectors, summed in one fixed order. Vectors that
     are null, empty or zero or hold a null or non-finite component, and rows without an id, take no part; a query meets
@@ -150,20 +182,20 @@ def nearest(
     dims = materialize(rows.groupBy("dim").count(), "dims")
     treed = [(r["dim"], r["count"]) for r in dims.orderBy(F.desc("count"), "dim").limit(TREES).collect()]
     treed = [(d, n) for i, (d, n) in enumerate(treed) if not i or n >= TREE_ROWS]
-    # all that meet in pairs of groups: branch (of a dimension), what a query asks of it, what lies in it
+    # all that meet in pairs of groups: cell (of a dimension), what a query asks of it, what lies in it
     left = right = None
     for dim, n in treed:
         asked, indexed = _in_tree(rows.where(F.col("dim") == dim).drop("dim"), dim, n, k, every, recall, fan, sample_rows)
         left = asked if left is None else left.unionByName(asked)
         right = indexed if right is None else right.unionByName(indexed)
-    rest = rows.where(~F.col("dim").isin([d for d, _ in treed])).select("vec_id", "v", "dim", F.lit(-1).alias("branch"))
+    rest = rows.where(~F.col("dim").isin([d for d, _ in treed])).select("vec_id", "v", "dim", F.lit(-1).alias("cell"))
     if dims.count() > len(treed):
         left_over = rest.where(F.col("vec_id") % every == 0).withColumn("leaves", F.array(F.lit(-1)))
         left, right = (left_over, rest.withColumn("leaf", F.lit(-1))) if left is None else (left.unionByName(left_over), right.unionByName(rest.withColumn("leaf", F.lit(-1))))
     if left is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     indexed, asked = materialize(right, "leaves"), materialize(left, "visits")
-    key = ["dim", "branch"]
+    key = ["dim", "cell"]
     sizes = indexed.groupBy(*key).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("vgs"))
     asks = asked.groupBy(*key).agg(F.ceil(F.count("*") / QUERIES_TOGETHER).cast("int").alias("qgs"))
     both = materialize(sizes.join(asks, key), "sizes")
@@ -180,15 +212,20 @@ def nearest(
         ids, v_ids, leaf = qs["vec_id"].to_numpy(), vs["vec_id"].to_numpy(), vs["leaf"].to_numpy()
         eps = 1e-9 * float(np.abs(q).sum(1).max() * np.abs(x).max() + 1e-300)
         best = TopK(ids, k, eps=eps)
-        visited = qs["leaves"].tolist()
-        asking = np.repeat(np.arange(len(q)), [len(a) for a in visited])
-        wanted = np.concatenate([np.asarray(a) for a in visited])
-        for one in np.unique(leaf):
-            r, c = asking[wanted == one], np.nonzero(leaf == one)[0]
-            for at in range(0, len(c), 1024):
-                if len(r):
-                    cc = c[at : at + 1024]
-                    best.add(r, q[r] @ x[cc].T, v_ids[cc], lambda i, j, r=r, cc=cc: np.einsum("ij,ij->i", q[r[i]], x[cc[j]]))
+        own, at = np.unique(leaf, return_inverse=True)
+        wanted = np.zeros((len(q), len(own)), bool)  # whether a query visits a leaf
+        for r, a in enumerate(qs["leaves"].tolist()):
+            wanted[r] = np.isin(own, a, assume_unique=True)
+        order = np.argsort(at, kind="stable")
+        for first in range(0, len(order), 1024):
+            c = order[first : first + 1024]
+            r = np.nonzero(wanted[:, at[c[0]] : at[c[-1]] + 1].any(1))[0]
+            scores = np.full((len(r), len(c)), -np.inf)
+            ends = np.searchsorted(at[c], np.arange(at[c[0]], at[c[-1]] + 2))
+            for one, lo, hi in zip(range(at[c[0]], at[c[-1]] + 1), ends, ends[1:]):
+                asking = np.nonzero(wanted[r, one])[0]
+                scores[asking, lo:hi] = q[r[asking]] @ x[c[lo:hi]].T
+            best.add(r, scores, v_ids[c], lambda i, j, r=r, c=c: np.einsum("ij,ij->i", q[r[i]], x[c[j]]))
         return pd.DataFrame({"query_id": ids[best.q], "vec_id": best.v, "score": best.s})
 
     by = [*key, "qg", "vg"]
@@ -198,7 +235,7 @@ def nearest(
 
 
 def _in_tree(rows: DataFrame, dim: int, total: int, k: int, every: int, recall: float, fan: int, sample_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(vec_id, v, dim, branch, leaves) of the queries, a row for each branch that they visit, and (vec_id, v, dim, branch, leaf) of all rows(vec_id, v)."""
+    """(vec_id, v, dim, cell, leaves) of the queries, a row for each cell that they visit, and (vec_id, v, dim, cell, leaf) of all rows(vec_id, v)."""
     spark = rows.sparkSession
     drawn = draw(rows, sample_rows, "vec_id", "v").toArrow().sort_by("vec_id")
     sample = drawn["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.float64)
@@ -218,21 +255,30 @@ def _in_tree(rows: DataFrame, dim: int, total: int, k: int, every: int, recall:
     held = np.zeros(tree.leaves, np.int64)
     for r in indexed.groupBy("leaf").count().collect():  # a row a leaf
         held[r["leaf"]] = r["count"]
+    cells = _cells(held, TOGETHER)
 
     def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Tree(levels.value, fan)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            out = []
-            for qid, vec, leaves in zip(pdf["vec_id"], pdf["v"], own.visits(np.stack(pdf["v"].tolist()).astype(np.float64), visits, held, k + 1)):
-                by: dict[int, list[int]] = {}
-                for x in leaves:
-                    by.setdefault(x // fan, []).append(x)
-                out += [(qid, vec, b, own_leaves) for b, own_leaves in by.items()]
-            yield pd.DataFrame(out, columns=["vec_id", "v", "branch", "leaves"]).astype({"branch": "int32"})
-
-    asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(to_visits, "vec_id long, v array<double>, branch int, leaves array<int>")
-    branch = F.floor(F.col("leaf") / fan).cast("int").alias("branch")
+            for at in range(0, len(pdf), 512):
+                some, out = pdf.iloc[at : at + 512], []
+                for qid, vec, leaves in zip(some["vec_id"], some["v"], own.visits(np.stack(some["v"].tolist()).astype(np.float64), visits, held, k + 1)):
+                    leaves = leaves[held[leaves] > 0]
+                    asked, first = np.unique(cells[leaves], return_index=True)
+                    out += [(qid, vec, c, part) for c, part in zip(asked.tolist(), np.split(leaves, first[1:]))]
+                yield pd.DataFrame(out, columns=["vec_id", "v", "cell", "leaves"]).astype({"cell": "int32"})
+
+    asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(to_visits, "vec_id long, v array<double>, cell int, leaves array<int>")
+    indexed = indexed.join(F.broadcast(spark.createDataFrame(list(enumerate(cells.tolist())), "leaf int, cell int")), "leaf")  # a row a leaf
     at = F.lit(dim).alias("dim")
-    return asked.select("vec_id", "v", at, "branch", "leaves"), indexed.select("vec_id", "v", at, branch, "leaf")
+    return asked.select("vec_id", "v", at, "cell", "leaves"), indexed.select("vec_id", "v", at, "cell", "leaf")
+
+
+def _cells(held: np.ndarray, together: int) -> np.ndarray:
+    """The cell of each leaf, by the rows that leaves hold: runs of leaves that hold so many rows at most, or one leaf that holds more."""
+    cells, cell, n = np.empty(len(held), np.int64), 0, 0
+    for leaf, rows in enumerate(held.tolist()):
+        if n and n + rows > together:
+            cell, n = cell + 1, 0
+        cells[leaf], n = cell, n + rows
+    return cells

@@ -470,6 +470,52 @@ def test_best_bin_first_opens_what_it_needs():
         assert len(got) >= 3 and rows[got].sum() >= 200
 
 
+def test_leaves_come_as_from_one_queue():
+    """Leaves opened for many queries at once are those that a queue of one query's seen nodes gives away."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 5)) + 4 * rng.integers(0, 3, size=(3000, 1))
+    for fan, depth in ((8, 1), (8, 2), (6, 3)):
+        tree = ann.fit_tree(x, fan, depth)
+        for q, order, few in zip(x[:40], tree.order(x[:40]), tree.visits(x[:40], 5)):
+            seen, want = [(0, i) for i in range(fan)], []
+
+            def promise(node):
+                level, i = node
+                extra = ann.EXCESS * np.sqrt(q @ q) * tree.spread[level][i] if level < depth - 1 else 0
+                return tree.levels[level][i] @ q + extra
+
+            while seen:
+                level, i = best = max(seen, key=promise)
+                seen.remove(best)
+                if level == depth - 1:
+                    want.append(i)
+                else:
+                    seen += [(level + 1, i * fan + c) for c in range(fan)]
+            assert order.tolist() == want and few.tolist() == sorted(want[:5])
+
+
+def test_queries_meet_cells_not_branches(spark, monkeypatch):
+    """Leaves share cells of bounded size, so what queries get from them grows with the cells; results are those of whole leaves, here of all."""
+    assert ann._cells(np.array([3, 4, 0, 9, 30, 1, 1]), 10).tolist() == [0, 0, 0, 1, 2, 3, 3]
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sent = {}
+    plain = ann.materialize
+    monkeypatch.setattr(ann, "materialize", lambda d, name: sent.setdefault(name, plain(d, name)) if name == "visits" else plain(d, name))
+    monkeypatch.setattr(ann, "LEAF_ROWS", 8)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, 5, recall=1.0, fan=4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert sent["visits"].count() == 60  # one row a query, not one for each branch
+    hits = 0
+    for q, found in got.items():
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(set(found) & set(np.argsort(-scores)[:5].tolist()))
+    assert len(got) == 60 and all(len(v) == 5 for v in got.values()) and hits / 300 >= 0.9
+
+
 @pytest.mark.parametrize("k", [3, 50])
 def test_vector_search(spark, k):
     rng = np.random.default_rng(k)
