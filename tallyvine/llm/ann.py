@@ -14,6 +14,8 @@ from .common import TopK, draw, materialize, small_batches, usable_vector
 
 #: Bounds of the fitting sample, and of what meets in one task.
 SAMPLE, CALIBRATION, TOGETHER, QUERIES_TOGETHER = 65_536, 256, 8192, 4096
+#: Cells that a tree's rows are meant to make, and the rows and the components that one holds: at least, and at most.
+CELLS, CELL_ROWS, CELL_VALUES = 12, 512, 4 << 20
 #: Rows that a leaf is meant to hold, levels at most, and the expected excess, in deviations, of the best of a node's children.
 LEAF_ROWS, LEVELS, EXCESS = 200, 3, 1.77
 #: Dimensions that get a tree of their own, and the rows from which one other than the most frequent does; all others are searched exactly.
@@ -165,8 +167,8 @@ def nearest(
     Each of the TREES most frequent dimensions with TREE_ROWS rows or more, and the most frequent one in any case, gets a tree
     with as many levels as its count of rows asks for, LEVELS at most. It is fitted on sample_rows rows at most (of the lowest
     hashes of their ids), and leaf visits are widened on some of them until `recall` of the sample's true neighbours are found; a query whose
-    leaves hold k rows or fewer visits more. Every row is indexed: it goes to its leaf. Leaves that follow each other meet their queries together, up to
-    TOGETHER rows, so a query is sent to, and gets k rows from, each such cell and not each branch; the rows of a leaf that is larger are dealt over as
+    leaves hold k rows or fewer visits more. Every row is indexed: it goes to its leaf. Leaves that follow each other meet their queries together, as one cell: a query is sent to, and gets k rows from,
+    each of about CELLS cells, and more only where they would pass CELL_VALUES components. The rows of a leaf that is larger are dealt over as
     many groups of bounded size as its count asks for, so one crowded leaf is shared out. Queries of other dimensions meet
     all rows of theirs. Scores are inner products in doubles of the original vectors, summed in one fixed order. Vectors that
     are null, empty or zero or hold a null or non-finite component, and rows without an id, take no part; a query meets
@@ -196,7 +198,10 @@ def nearest(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     indexed, asked = materialize(right, "leaves"), materialize(left, "visits")
     key = ["dim", "cell"]
-    sizes = indexed.groupBy(*key).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("vgs"))
+    most = F.lit(TOGETHER)
+    for dim, n in treed:
+        most = F.when(F.col("dim") == dim, _cell_rows(n, dim)).otherwise(most)
+    sizes = indexed.groupBy(*key).count().select(*key, F.ceil(F.col("count") / most).cast("int").alias("vgs"))
     asks = asked.groupBy(*key).agg(F.ceil(F.count("*") / QUERIES_TOGETHER).cast("int").alias("qgs"))
     both = materialize(sizes.join(asks, key), "sizes")
     both = F.broadcast(both) if both.count() <= 100_000 else both
@@ -255,7 +260,7 @@ def _in_tree(rows: DataFrame, dim: int, total: int, k: int, every: int, recall:
     held = np.zeros(tree.leaves, np.int64)
     for r in indexed.groupBy("leaf").count().collect():  # a row a leaf
         held[r["leaf"]] = r["count"]
-    cells = _cells(held, TOGETHER)
+    cells = _cells(held, _cell_rows(total, dim))
 
     def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Tree(levels.value, fan)
@@ -274,6 +279,11 @@ def _in_tree(rows: DataFrame, dim: int, total: int, k: int, every: int, recall:
     return asked.select("vec_id", "v", at, "cell", "leaves"), indexed.select("vec_id", "v", at, "cell", "leaf")
 
 
+def _cell_rows(total: int, dim: int) -> int:
+    """Rows that a cell of a tree holds at most."""
+    return max(CELL_ROWS, min(-(-total // CELLS), CELL_VALUES // dim))
+
+
 def _cells(held: np.ndarray, together: int) -> np.ndarray:
     """The cell of each leaf, by the rows that leaves hold: runs of leaves that hold so many rows at most, or one leaf that holds more."""
     cells, cell, n = np.empty(len(held), np.int64), 0, 0

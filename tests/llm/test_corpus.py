@@ -497,6 +497,9 @@ def test_leaves_come_as_from_one_queue():
 def test_queries_meet_cells_not_branches(spark, monkeypatch):
     """Leaves share cells of bounded size, so what queries get from them grows with the cells; results are those of whole leaves, here of all."""
     assert ann._cells(np.array([3, 4, 0, 9, 30, 1, 1]), 10).tolist() == [0, 0, 0, 1, 2, 3, 3]
+    for rows in (3, 50, 150):
+        assert ann._cells(np.full(4096, rows), ann._cell_rows(4096 * rows, 64)).max() + 1 <= ann.CELLS + 1
+    assert ann._cell_rows(10**8, 64) == 65_536
     rng = np.random.default_rng(6)
     x = rng.normal(size=(1200, 4))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
@@ -507,7 +510,7 @@ def test_queries_meet_cells_not_branches(spark, monkeypatch):
     got = collections.defaultdict(list)
     for r in ann.nearest(df, 5, recall=1.0, fan=4).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
-    assert sent["visits"].count() == 60  # one row a query, not one for each branch
+    assert sent["visits"].count() <= 60 * 3  # a row for each cell of 512 rows or less, not for each of 16 branches
     hits = 0
     for q, found in got.items():
         scores = x @ x[q]
