@@ -83,6 +83,13 @@ def test_a_revision_by_the_tree_method_is_hashed_once(spark):
     assert {(r["stage"], r["code"]) for r in verify.contents(rev).collect()} == {(1.0, "HASH_VERIFICATION_FAILED"), (1.0, "LEAVES_MISSING")}
 
 
+def test_a_proof_is_checked_once(spark):
+    stamp = {"link": b"x", "kind": "object", "revision_type": "0x1620" + min(catalogue.TIMESTAMPS), "raw": '{"payloads":{}}', "parse_error": None}
+    rev = session.materialize(spark.createDataFrame([stamp | {"tree_id": "1", "prev": b"y"}], "tree_id string, link binary, kind string, revision_type string, prev binary, raw string, parse_error string"), "rows")
+    assert plan(verify.batch_proofs(rev)).count("ArrowEvalPython") == 1
+    assert verify.batch_proofs(rev).count() == 1
+
+
 def test_no_side_that_grows_is_broadcast(spark):
     rev = session.materialize(typed(spark, 5).withColumn("prev", F.lit(b"y")).withColumn("ts", F.lit(1)), "rows")
     found = rev.select("tree_id", F.lit(1.0).alias("stage"), F.lit("HASH_VERIFICATION_FAILED").alias("code"), "link")
